@@ -243,7 +243,7 @@ FORMAT_B = register_format(
             lambda text: F.struct(
                 text.try_cast("timestamp").alias("ts"),
                 # the seventh fractional digit, if there is one
-                F.coalesce(F.substring(text, 27, 1).try_cast("tinyint"), F.lit(0)).alias("sub"),
+                F.coalesce(F.substring(text, 27, 1).try_cast("tinyint"), F.lit(0).cast("tinyint")).alias("sub"),
             ),
         ),
     )

@@ -9,6 +9,7 @@ independent of the order and partitioning of the input.
 from __future__ import annotations
 
 from datetime import timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,12 @@ def window_millis(window: timedelta) -> int:
 
 
 def generation(arrival_ts: Column, window: timedelta) -> Column:
-    return F.floor(F.unix_millis(arrival_ts) / window_millis(window)).cast("bigint")
+    millis, width = F.unix_millis(arrival_ts), window_millis(window)
+    return F.floor((millis - F.pmod(millis, F.lit(width))) / width).cast("bigint")
 
 
-def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW) -> DataFrame:
-    """One row per key and generation: its first arrival, its copies, and whether it is accepted.
+def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[str] = KEY) -> DataFrame:
+    """One row per key and generation: first and last arrival, copies, and whether it is accepted.
 
     Copies are counted before the first shuffle, so a key that holds a large share of all rows
     arrives as one row per task. What follows works on at most one row per key and generation.
@@ -40,28 +42,44 @@ def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW) -> DataFrame
     """
     candidates = (
         ticks.withColumn("gen", generation(F.col("arrival_ts"), window))
-        .groupBy(*KEY, "gen")
-        .agg(_first_arrival().alias("_first"), F.count(F.lit(1)).alias("copies"))
+        .groupBy(*key, "gen")
+        .agg(
+            F.min("arrival_ts").alias("arrival_ts"),
+            F.max("arrival_ts").alias("last_arrival_ts"),
+            F.min(_arrival_order()).alias("_order"),
+            F.count(F.lit(1)).alias("copies"),
+        )
+        # All keys of a source start alike; sorting by a hash first settles nearly every comparison.
+        .withColumn("_hash", F.xxhash64(*key))
     )
-    by_key = Window.partitionBy(*KEY).orderBy("gen")
+    by_key = Window.partitionBy("_hash", *key).orderBy("gen")
     previous = F.lag("gen").over(by_key)
     run_start = F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         candidates.withColumn("_starts", F.when(previous.isNull() | (F.col("gen") - previous > 1), F.col("gen")))
         .withColumn("accepted", (F.col("gen") - run_start) % 2 == 0)
         .select(
-            *KEY,
+            *key,
             "gen",
-            F.col("_first.arrival_ts").alias("arrival_ts"),
-            F.col("_first.frame_seq").alias("frame_seq"),
+            "arrival_ts",
+            "last_arrival_ts",
+            (F.col("_order") - _order_base()).cast("bigint").alias("frame_seq"),
             "copies",
             "accepted",
         )
     )
 
 
-def _first_arrival() -> Column:
-    return F.min(F.struct("arrival_ts", "frame_seq"))
+def _order_base() -> Column:
+    return F.unix_micros("arrival_ts").cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19))
+
+
+def _arrival_order() -> Column:
+    """(arrival_ts, frame_seq) as one number, which a hash aggregate can keep in place.
+
+    Microseconds are spaced wider than any two 64-bit ``frame_seq`` are apart.
+    """
+    return (_order_base() + F.col("frame_seq")).cast("decimal(38,0)")
 
 
 def accepted_ticks(decided: DataFrame) -> DataFrame:
@@ -82,19 +100,36 @@ def decision_counts(decided: DataFrame) -> DataFrame:
     )
 
 
-def tracked_keys(decided: DataFrame) -> DataFrame:
-    """Per generation with traffic: keys remembered in it, its own plus the previous one's."""
-    per_gen = decided.groupBy("gen").agg(F.count_if("accepted").alias("current_keys"))
-    # Each generation also counts one generation later, where that one has any traffic.
-    carried = per_gen.select(
-        (F.col("gen") + 1).alias("gen"), F.lit(None).cast("bigint").alias("current_keys"),
-        F.col("current_keys").alias("previous_keys"),
+def tracked_keys(per_generation: DataFrame) -> DataFrame:
+    """Add ``tracked_keys``: keys remembered in a generation, its own plus the previous one's.
+
+    Takes one row per generation with ``gen`` and ``accepted``; generations without traffic have no
+    row and none is made up for them.
+    """
+    others = [c for c in per_generation.columns if c not in ("gen", "accepted")]
+    own = F.struct(
+        F.col("gen").alias("gen"), F.col("accepted").alias("accepted"), F.lit(0).cast("bigint").alias("carried"),
+        *[F.col(c).alias(c) for c in others],
+    )
+    # The same keys once more, one generation on.
+    types = dict(per_generation.dtypes)
+    later = F.struct(
+        (F.col("gen") + 1).alias("gen"), F.lit(None).cast("bigint").alias("accepted"),
+        F.col("accepted").alias("carried"), *[F.lit(None).cast(types[c]).alias(c) for c in others],
     )
-    own = per_gen.select("gen", "current_keys", F.lit(0).cast("bigint").alias("previous_keys"))
     return (
-        own.unionByName(carried)
+        per_generation.select(F.inline(F.array(own, later)))
         .groupBy("gen")
-        .agg(F.sum("current_keys").alias("current_keys"), F.sum("previous_keys").alias("previous_keys"))
-        .filter(F.col("current_keys").isNotNull())
-        .withColumn("tracked_keys", F.col("current_keys") + F.col("previous_keys"))
+        .agg(
+            F.max("accepted").alias("accepted"),
+            F.sum("carried").alias("carried"),
+            *[F.max(c).alias(c) for c in others],
+        )
+        .filter(F.col("accepted").isNotNull())
+        .withColumn("tracked_keys", F.col("accepted") + F.col("carried"))
+        .drop("carried")
     )
+
+
+def accepted_per_generation(decided: DataFrame) -> DataFrame:
+    return decided.groupBy("gen").agg(F.count_if("accepted").alias("accepted"))

@@ -97,12 +97,3 @@ def encode_ticks(ticks_df: DataFrame) -> DataFrame:
     """Add ``raw``: each tick as wire text in the format named by its ``format`` column."""
     cols = ["ticker", "price", "volume", "ts", "ts_sub_us"]
     return ticks_df.withColumn("raw", encode(F.col("format"), *[F.col(c) for c in cols]))
-
-
-def frame_status_counts(classified: DataFrame) -> DataFrame:
-    """Per source: frames received as ticks, refused, and ignored."""
-    return classified.groupBy("source").agg(
-        F.count_if(F.col("status") == STATUS_TICK).alias("received"),
-        F.count_if(F.col("status") == STATUS_PARSE_ERROR).alias("parse_errors"),
-        F.count_if(F.col("status") == STATUS_IGNORED).alias("ignored"),
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     # Event times are instants; text without an offset is read as UTC.
@@ -40,3 +40,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix=f"quoteflow-{purpose}-")
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to scratch space and read it back, for results that several readers share.
+
+    Unlike cached blocks, the files outlive the executors that wrote them.
+    """
+    path = f"{scratch_dir(df.sparkSession, purpose)}/data"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
