@@ -225,9 +225,11 @@ def sessions(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame:
     )
 
 
-def live_sources(flow: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame:
+def live_sources(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame:
     """Per source, whether it was heard from within ``timeout`` of the last frame of any source."""
-    everyone = Window.partitionBy(F.lit("all"))
     micros = int(timeout.total_seconds() * 1_000_000)
-    quiet = F.unix_micros(F.max("last_arrival_ts").over(everyone)) - F.unix_micros("last_arrival_ts")
-    return flow_by_source(flow).select("source", "last_arrival_ts", (quiet <= micros).alias("connected"))
+    heard = frames.groupBy("source").agg(F.max("arrival_ts").alias("last_arrival_ts"))
+    # one row per source from here on
+    latest = F.max("last_arrival_ts").over(Window.partitionBy(F.lit("all")))
+    quiet = F.unix_micros(latest) - F.unix_micros("last_arrival_ts")
+    return heard.select("source", "last_arrival_ts", (quiet <= micros).alias("connected"))
