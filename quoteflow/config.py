@@ -28,7 +28,7 @@ class Source:
 class SinkOptions:
     """How a batch reaches the store, and what happens if it does not."""
 
-    batch_size: int = 500  # rows per write: JDBC batches, or records per file when files are bounded
+    batch_size: int = 500  # rows per round trip to a database
     max_latency: timedelta = timedelta(seconds=1)  # time between micro-batches
     max_attempts: int = 5
     backoff_initial: timedelta = timedelta(milliseconds=200)

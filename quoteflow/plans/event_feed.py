@@ -23,6 +23,7 @@ from quoteflow.functions import strict_json, times
 from quoteflow.functions.numbers import decimal_to_text
 from quoteflow.operators.normalize import encode_ticks
 from quoteflow.schemas import DECIMAL, FRAMES
+from quoteflow.session import spread
 
 EVENTS = T.StructType(
     [
@@ -47,7 +48,7 @@ KINDS_OF_MALFORMED = 6
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

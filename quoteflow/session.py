@@ -50,3 +50,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession, purpose)}/data"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table that comes in fewer pieces than there are cores among all of them.
+
+    Parsing costs far more than moving such a small table once. A table in many files is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from quoteflow.config import SinkOptions
+from quoteflow.config import JobConfig, SinkOptions
 from quoteflow.operators import audit, dedup, normalize
 from quoteflow.schemas import CLASSIFIED, STATUS_TICK, TICKS
-from quoteflow.sources.store import Sink, TickStore
+from quoteflow.sources.registry import bind_formats
+from quoteflow.sources.store import Sink, StoreMissing, TickStore
 from quoteflow.streaming import dedup as stream_dedup
 from quoteflow.streaming.sink import batch_writer, read_counters, read_dead_letter
 
@@ -123,6 +124,23 @@ def run_available(
     start_store(ticks, folders, sink=sink, options=options, window=window).awaitTermination()
 
 
+def start_flow(frames: DataFrame, config: JobConfig, sink: Sink | None = None) -> list[StreamingQuery]:
+    """Run both queries until they are stopped. The store must exist.
+
+    What is already there is landed first, so that the store query finds the landed table.
+    """
+    spark, folders, every = frames.sparkSession, Folders(config.store), config.sink.max_latency
+    if not folders.store.exists(spark):
+        raise StoreMissing(f"no tick table at {folders.store.path}; create it first")
+    bound = bind_formats(frames, config.sources)
+    start_land(bound, folders).awaitTermination()
+    ticks = landed_ticks(spark, folders)
+    store = start_store(
+        ticks, folders, sink=sink, options=config.sink, window=config.dedup_window, every=every
+    )
+    return [start_land(bound, folders, every), store]
+
+
 def stop_gracefully(queries: list[StreamingQuery], deadline: timedelta = timedelta(seconds=10)) -> bool:
     """Let running micro-batches finish, then stop; False if the deadline cut one short.
 
