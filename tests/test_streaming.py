@@ -196,11 +196,12 @@ def test_a_crash_between_store_and_checkpoint_leaves_one_copy(spark, folder):
         sink(batch, batch_id)
         if not crashed:
             crashed.append(batch_id)
-            raise KeyboardInterrupt("killed after the write")
+            raise RuntimeError("killed after the write")
 
+    options = SinkOptions(max_attempts=1, on_exhausted="fail")
     frames = land(spark, folder, frame_rows(0, 50, 0))
     with pytest.raises(StreamingQueryException):
-        jobs.run_available(frames, folders, sink=write_then_crash)
+        jobs.run_available(frames, folders, sink=write_then_crash, options=options)
     jobs.run_available(frames, folders, sink=write_then_crash)
     assert folders.store.rows(spark).count() == 40
     balanced(spark, folders)
