@@ -63,8 +63,7 @@ def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) ->
         plain = F.substring(parts[index], 2, 64) if index == 0 else parts[index]
         return F.when(parts.isNotNull(), plain.cast(DECIMAL)).otherwise(read[field])
 
-    return df.select(
-        *base,
+    outcome = F.struct(
         F.when(ignored, STATUS_IGNORED)
         .when(reason.isNotNull(), STATUS_PARSE_ERROR)
         .otherwise(STATUS_TICK)
@@ -76,6 +75,9 @@ def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) ->
         F.when(tick, F.coalesce(F.col("_time.sub"), read["ts_sub_us"])).alias("ts_sub_us"),
         F.when(~ignored, reason).alias("reason"),
     )
+    # Filters on the outcome must stay above it: pushed down, they would repeat the whole parse.
+    # A generator stops them, and still lets those on source or arrival through.
+    return df.select(*base, F.inline(F.array(outcome)))
 
 
 def ticks(classified: DataFrame) -> DataFrame:
