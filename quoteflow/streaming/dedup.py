@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from datetime import timedelta
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,45 +35,48 @@ DECISIONS = T.StructType(
 _Decision = Row(*DECISIONS.fieldNames())
 
 
+# Keys are kept in this many groups. It is part of the state layout, so it stays the same for the life
+# of a checkpoint, and it should be well above the number of shuffle partitions.
+BUCKETS = 256
+
+
 class GenerationRule(StatefulProcessor):
-    """Remembers, per key, the last generation it was accepted in, until that cannot matter."""
+    """Remembers, per bucket of keys, the last generation each key was accepted in.
+
+    A bucket's memory is read and written once per micro-batch, as one block, instead of key by key.
+    What cannot matter any more leaves it with every batch, and a timer clears a bucket that falls
+    silent.
+    """
 
     def __init__(self, window_ms: int) -> None:
         self.window_ms = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_accepted", "gen long")
+        self.memory = handle.getValueState("memory", "block binary, timer long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        # At most one entry per generation, however many copies arrive.
-        seen: dict[int, list] = {}
+        # One entry per key and generation, however many copies arrive.
+        seen: dict[tuple[str, int], list] = {}
         for row in rows:
-            entry = seen.get(row.gen)
-            if entry is None:
-                seen[row.gen] = [row.first_ts, row.frame_seq, row.copies]
-            else:
-                if (row.first_ts, row.frame_seq) < (entry[0], entry[1]):
-                    entry[0], entry[1] = row.first_ts, row.frame_seq
-                entry[2] += row.copies
-
-        state = self.last.get()
-        before = last = None if state is None else state[0]
-        for gen in sorted(seen):
-            first_ts, frame_seq, copies = seen[gen]
-            accepted = last is None or gen >= last + 2
+            entry = seen.setdefault((row.identity, row.gen), [row, row.first_ts, row.frame_seq, 0])
+            if (row.first_ts, row.frame_seq) < (entry[1], entry[2]):
+                entry[1], entry[2] = row.first_ts, row.frame_seq
+            entry[3] += row.copies
+
+        last, timer = self._load()
+        for identity, gen in sorted(seen):
+            row, first_ts, frame_seq, copies = seen[identity, gen]
+            before = last.get(identity)
+            accepted = before is None or gen >= before + 2
             if accepted:
-                last = gen
-            yield _Decision(*key, gen, first_ts, frame_seq, copies, accepted)
-
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(self._forget_at(before))
-            self.last.update((last,))
-            self.handle.registerTimer(self._forget_at(last))
+                last[identity] = gen
+            yield _Decision(*[row[c] for c in KEY], gen, first_ts, frame_seq, copies, accepted)
+        self._save(last, timer, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        self.last.clear()
+        last, _ = self._load()
+        self._save(last, None, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:
@@ -81,9 +85,43 @@ class GenerationRule(StatefulProcessor):
     def _forget_at(self, gen: int) -> int:
         return (gen + 2) * self.window_ms
 
+    def _load(self) -> tuple[dict[str, int], int | None]:
+        state = self.memory.get()
+        if state is None:
+            return {}, None
+        table = pa.ipc.open_stream(bytes(state[0])).read_all()
+        return dict(zip(table["key"].to_pylist(), table["gen"].to_pylist(), strict=True)), state[1]
+
+    def _save(self, last: dict[str, int], timer: int | None, watermark_ms: int) -> None:
+        kept = {k: gen for k, gen in last.items() if self._forget_at(gen) > watermark_ms}
+        due = self._forget_at(max(kept.values())) if kept else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if not kept:
+            self.memory.clear()
+            return
+        table = pa.table({"key": pa.array(kept, pa.string()), "gen": pa.array(kept.values(), pa.int64())})
+        block = pa.BufferOutputStream()
+        with pa.ipc.new_stream(block, table.schema) as writer:
+            writer.write_table(table)
+        self.memory.update((block.getvalue().to_pybytes(), due))
+        if timer != due:
+            self.handle.registerTimer(due)
+
+
+def _identity() -> Column:
+    """The key as one text, different for different keys."""
+    lengths = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in ("source", "ticker")]
+    numbers = [F.col("price"), F.col("volume"), F.unix_micros("ts"), F.col("ts_sub_us")]
+    return F.concat(*lengths, *[F.concat(F.lit("|"), n.cast("string")) for n in numbers])
+
 
 def exact(
-    ticks: DataFrame, window: timedelta = dedup.DEFAULT_WINDOW, lateness: timedelta | None = None, fold: bool = True
+    ticks: DataFrame,
+    window: timedelta = dedup.DEFAULT_WINDOW,
+    lateness: timedelta | None = None,
+    fold: bool = True,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Decisions as in ``operators.dedup.decisions``, as ticks stream in.
 
@@ -93,8 +131,10 @@ def exact(
     late_ms = dedup.window_millis(window if lateness is None else lateness)
     return (
         combine(ticks, window, fold)
+        .withColumn("identity", _identity())
+        .withColumn("bucket", F.pmod(F.xxhash64("identity"), F.lit(buckets)))
         .withWatermark("arrival_ts", f"{late_ms} milliseconds")
-        .groupBy(*KEY)
+        .groupBy("bucket")
         .transformWithState(GenerationRule(dedup.window_millis(window)), DECISIONS, "Append", "EventTime")
     )
 
@@ -109,6 +149,4 @@ def within_watermark(
         .withWatermark("arrival_ts", f"{retention_ms} milliseconds")
         .dropDuplicatesWithinWatermark(KEY)
     )
-    return survivors.select(
-        *KEY, F.col("first_ts").alias("arrival_ts"), "frame_seq"
-    )
+    return survivors.select(*KEY, F.col("first_ts").alias("arrival_ts"), "frame_seq")
