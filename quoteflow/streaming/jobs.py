@@ -165,6 +165,12 @@ def backlog(spark: SparkSession, folders: Folders) -> DataFrame:
     )
 
 
+def tracked_keys(spark: SparkSession, folders: Folders) -> DataFrame:
+    """Keys the deduplication remembers, per generation, from the counters of all batches."""
+    accepted = F.sum(F.col("received") - F.col("deduplicated")).alias("accepted")
+    return dedup.tracked_keys(read_counters(spark, folders.counters).groupBy("gen").agg(accepted))
+
+
 def reconciliation(spark: SparkSession, folders: Folders) -> DataFrame:
     """The accounting of a finished flow: landed ticks against re-sends, stored and dropped rows."""
     counted = read_counters(spark, folders.counters).groupBy("source").agg(

@@ -29,6 +29,7 @@ log = logging.getLogger(__name__)
 COUNTERS = T.StructType(
     [
         T.StructField("source", T.StringType()),
+        T.StructField("gen", T.LongType()),
         T.StructField("received", T.LongType()),
         T.StructField("deduplicated", T.LongType()),
         T.StructField("written", T.LongType()),
@@ -103,7 +104,7 @@ def batch_writer(
 
 def _counters(decided: DataFrame, stored: bool) -> DataFrame:
     accepted, none = F.count_if("accepted"), F.lit(0).cast("bigint")
-    return decided.groupBy("source").agg(
+    return decided.groupBy("source", "gen").agg(
         F.sum("copies").alias("received"),
         (F.sum("copies") - accepted).alias("deduplicated"),
         (accepted if stored else none).alias("written"),
@@ -126,7 +127,7 @@ def _replace(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    """Received, deduplicated, written and dropped per batch and source."""
+    """Received, deduplicated, written and dropped per batch, source and generation."""
     return _read_or_empty(spark, path, COUNTERS)
 
 

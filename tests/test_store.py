@@ -160,7 +160,7 @@ def test_counters_of_a_replayed_batch_are_replaced(spark, store, folder):
     write(df, 7)
     write(df, 7)
     counted = read_counters(spark, f"{folder}/counters").collect()
-    assert [tuple(r) for r in counted] == [("exchange-a", 3, 1, 2, 0, 7)]
+    assert [tuple(r)[2:] for r in counted] == [(3, 1, 2, 0, 7)]
 
 
 def test_an_empty_batch_writes_nothing(spark, store, folder):

@@ -133,6 +133,7 @@ def test_flow_from_frames_to_store(spark, folder):
     landed = jobs.landed(spark, folders)
     assert normalize.quarantine(landed).count() == 20 and normalize.ignored(landed).count() == 20
     assert jobs.backlog(spark, folders).first().backlog == 0
+    assert [r.tracked_keys for r in jobs.tracked_keys(spark, folders).collect()] == [80]
     # nothing new: nothing happens
     jobs.run_available(frames, folders)
     assert folders.store.rows(spark).count() == 80
