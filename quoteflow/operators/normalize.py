@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ from quoteflow.schemas import DECIMAL, FRAMES, STATUS_IGNORED, STATUS_PARSE_ERRO
 _MARK = "\x01"
 
 
+@lru_cache(maxsize=16)
+def _full_reading(application_id: str, formats: tuple[tuple[str, WireFormat], ...]) -> Column:
+    """Every format's full reading as one column; large, so built once per application."""
+    fmt, raw = F.col("_format"), F.col("raw")
+    unknown = F.raise_error(F.concat(F.lit("unknown source format: "), F.coalesce("format", F.lit("null"))))
+    full = F.when(fmt.isNull() | ~fmt.isin(*[name for name, _ in formats]), unknown)
+    for name, wire in formats:
+        full = full.when(fmt == name, wire.read(raw))
+    return full
+
+
 def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) -> DataFrame:
     """Parse every frame with its source's format and say what became of it.
 
@@ -40,10 +53,7 @@ def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) ->
     )
 
     # All others: the format's own full reading.
-    unknown = F.raise_error(F.concat(F.lit("unknown source format: "), F.coalesce("format", F.lit("null"))))
-    full = F.when(fmt.isNull() | ~fmt.isin(*formats), unknown)
-    for name, wire in formats.items():
-        full = full.when(fmt == name, wire.read(raw))
+    full = _full_reading(frames.sparkSession.sparkContext.applicationId, tuple(formats.items()))
     df = df.select(*base, fmt, "_parts", F.when(F.col("_parts").isNull(), full).alias("_read"))
 
     parts, read = F.col("_parts"), F.col("_read")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteflow.config import SinkOptions, Source
+from quoteflow.functions.formats import FORMATS
 from quoteflow.operators import audit, dedup, fanin, monitor, normalize
 from quoteflow.plans import batch, event_feed
 from quoteflow.schemas import KEY, STORE_COLUMNS, TICKS
@@ -85,7 +86,8 @@ def encode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalize_format(fmt: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _plain(normalize.ticks(normalize.classify(_frames(spark, sf_dir).filter(F.col("format") == fmt))))
+        frames = _frames(spark, sf_dir).filter(F.col("format") == fmt)
+        return _plain(normalize.ticks(normalize.classify(frames, {fmt: FORMATS[fmt]})))
 
     return query
 
@@ -134,7 +136,10 @@ def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def fan_in_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir)
-    feeds = [normalize.classify(frames.filter(F.col("source") == s.name)) for s in SOURCES]
+    feeds = [
+        normalize.classify(frames.filter(F.col("source") == s.name), {s.format: FORMATS[s.format]})
+        for s in SOURCES
+    ]
     return _plain(normalize.ticks(fanin.fan_in(feeds)).select("source", "ticker", "price", "volume", "ts", "frame_seq"))
 
 
