@@ -23,11 +23,11 @@ ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS t
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
     FROM documents
 ), s AS (
     SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1),
-        i -> t[i] || chr(10) || t[i + 1] || chr(10) || t[i + 2]))
+        lambda i: t[i] || chr(10) || t[i + 1] || chr(10) || t[i + 2]))
         WHEN len(t) > 0 THEN [array_to_string(t, chr(10))] ELSE [] END AS g
     FROM w
 ), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
