@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quoteflow.llm.common import table
+from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.ngram_join import jaccard_classes
 
 
@@ -15,8 +16,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item of which a document has 0.8 or more of the 5-word shingles."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {
@@ -40,5 +47,26 @@ o AS (
 )
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) c ON c.node = s.doc_id
+""",
+    "op3_benchmark_decontamination": r"""
+WITH b AS (
+    SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+    FROM benchmark WHERE item_id IS NOT NULL
+), d AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+    FROM documents WHERE doc_id IS NOT NULL
+), bi AS (
+    SELECT DISTINCT item_id, least(len(t), 5) AS w, array_to_string(t[i:i + least(len(t), 5) - 1], chr(10)) AS g
+    FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM b WHERE len(t) > 0)
+), di AS (
+    SELECT DISTINCT doc_id, w, array_to_string(t[i:i + w - 1], chr(10)) AS g
+    FROM (SELECT doc_id, t, w, unnest(range(1, len(t) - w + 2)) AS i
+          FROM d, (SELECT DISTINCT w FROM bi) WHERE len(t) >= w)
+), n AS (SELECT item_id, count(*) AS n FROM bi GROUP BY item_id)
+SELECT di.doc_id, bi.item_id, n.n AS n_shingles, count(*) AS n_shared, count(*) / n.n AS containment
+FROM di JOIN bi ON di.g = bi.g AND di.w = bi.w JOIN n ON n.item_id = bi.item_id
+GROUP BY di.doc_id, bi.item_id, n.n HAVING 5 * count(*) >= 4 * n.n
 """,
 }

@@ -89,25 +89,34 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, begin, end), np.searchsorted(begin, ends)
 
 
+def _run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    out = hashes[: len(hashes) - n + 1].copy()
+    for k in range(1, n):
+        out *= _STEP
+        out += hashes[k : len(hashes) - n + 1 + k]
+    return mix(out + _U((n * 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF))
+
+
+def runs(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of n words inside a text, text by text, and how many each text has."""
+    lens = np.maximum(np.diff(at) - n + 1, 0)
+    total = int(lens.sum())
+    if not total:
+        return hashes[:0], lens
+    place = np.arange(total) + np.repeat(at[:-1] - (np.cumsum(lens) - lens), lens)
+    return _run_hashes(hashes, n)[place], lens
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each text the hashes of its n-word shingles in order, repeats included.
 
     A text with fewer words has its whole sequence as one shingle; one without words has none.
     """
-    whole = None
-    if len(hashes) >= n:
-        whole = hashes[: len(hashes) - n + 1].copy()
-        for k in range(1, n):
-            whole *= _STEP
-            whole += hashes[k : len(hashes) - n + 1 + k]
-        whole = mix(whole)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= n:
-            yield whole[a : b - n + 1]
-        elif b > a:
-            value = 0
-            for h in hashes[a:b].tolist():
-                value = (value * int(_STEP) + h) & 0xFFFFFFFFFFFFFFFF
-            yield mix(np.array([(value + (b - a) * 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+    whole, lens = runs(hashes, at, n)
+    end = 0
+    for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), lens.tolist(), strict=True):
+        if k:
+            yield whole[end : end + k]
+            end += k
         else:
-            yield hashes[:0]
+            yield _run_hashes(hashes[a:b], b - a) if b > a else hashes[:0]
