@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.ngram_join import jaccard_classes
+from quoteflow.llm.pieces import digests, piece_ids
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,15 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's SentencePiece ids and what they decode to, as count and digests."""
+    return digests(piece_ids(table(spark, sf_dir, "documents"), decoded=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {

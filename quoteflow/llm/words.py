@@ -67,15 +67,21 @@ def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span; spans come in order and don't overlap."""
+    return polynomials(data, begin, end, _BYTE)
+
+
+def polynomials(values: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the values of each span, or of what ``table`` has for them."""
     out = np.zeros(len(begin), np.uint64)
     i = 0
     while i < len(begin):
         at = int(begin[i])
         j = max(i + 1, int(np.searchsorted(end, at + _PIECE, side="right")))
         n = int(end[j - 1]) - at
-        power, inverse = _tables(max(n + 1, _PIECE + 1) if n <= _PIECE else n + 1)
+        power, inverse = _tables(max(n, _PIECE) + 1)
+        part = values[at : at + n]
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data[at : at + n]] * power[:n], out=total[1:])
+        np.cumsum((part if table is None else table[part]) * power[:n], out=total[1:])
         b, e = begin[i:j] - at, end[i:j] - at
         out[i:j] = (total[e] - total[b]) * inverse[b]
         i = j
