@@ -10,6 +10,8 @@ from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.ngram_join import jaccard_classes
 from quoteflow.llm.pieces import digests, piece_ids
+from quoteflow.llm.token_counts import token_counts
+from quoteflow.llm.url_filters import judged, rule_table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: its longest rule's, else a block of one of its aliases, else allow."""
+    return judged(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item of which a document has 0.8 or more of the 5-word shingles."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -27,10 +34,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(piece_ids(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes and tokens, and whether it has more than 1024 tokens."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filters": op2_url_filters,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
@@ -75,5 +89,44 @@ WITH b AS (
 SELECT di.doc_id, bi.item_id, n.n AS n_shingles, count(*) AS n_shared, count(*) / n.n AS containment
 FROM di JOIN bi ON di.g = bi.g AND di.w = bi.w JOIN n ON n.item_id = bi.item_id
 GROUP BY di.doc_id, bi.item_id, n.n HAVING 5 * count(*) >= 4 * n.n
+""",
+    "op2_url_filters": r"""
+WITH RECURSIVE rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+    ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+links AS (
+    SELECT DISTINCT url, lower(regexp_extract(tag, '(?is)[\s"''/](?:href|content)\s*=\s*["'']([^"'']*)', 1)) AS raw, tag
+    FROM (SELECT url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'),
+        '(?is)<(?:link|meta)\b[^<>]*>')) AS tag FROM pages)
+    WHERE regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh')
+), named AS (
+    SELECT url, CASE WHEN contains(raw, 'url=') THEN regexp_extract(raw, '(?s)url=(.*)', 1) ELSE raw END AS link FROM links
+), urls AS (
+    SELECT url FROM pages WHERE contains(url, '://') UNION SELECT link FROM named WHERE contains(link, '://')
+), nodes AS (
+    SELECT url, regexp_replace(h, ':(80|443)$', '') || CASE WHEN p = '' THEN '/' ELSE p END
+        || CASE WHEN q = '?' THEN '' ELSE q END AS node, h, CASE WHEN p = '' THEN '/' ELSE p END AS p
+    FROM (SELECT url, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) AS h,
+        regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS q
+        FROM urls) WHERE h <> ''
+), edges AS (
+    SELECT DISTINCT a.node AS u, b.node AS v FROM named n JOIN nodes a ON a.url = n.url JOIN nodes b ON b.url = n.link
+), sides AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT DISTINCT node, node AS other FROM nodes UNION SELECT r.node, b.v FROM reach r JOIN sides b ON b.u = r.other),
+node_rule AS (
+    SELECT node, arg_max(verdict, length(rules.h) + length(rules.p)) AS verdict FROM nodes
+    JOIN rules ON (nodes.h = rules.h OR ends_with(nodes.h, '.' || rules.h)) AND starts_with(nodes.p, rules.p) GROUP BY node
+), bad AS (SELECT DISTINCT r.node FROM reach r JOIN node_rule x ON x.node = r.other AND x.verdict = 'block'),
+placed AS (
+    SELECT row_number() OVER () AS k, page_id, url, coalesce(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fit AS (
+    SELECT k, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(verdict, length(h) + length(p)) AS verdict
+    FROM placed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k
+)
+SELECT page_id, host, path, fit.rule,
+    coalesce(fit.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+    fit.verdict IS NULL AND bad.node IS NOT NULL AS inherited
+FROM placed LEFT JOIN fit ON fit.k = placed.k
+LEFT JOIN (SELECT DISTINCT url, node FROM nodes) n ON n.url = placed.url LEFT JOIN bad ON bad.node = n.node
 """,
 }
