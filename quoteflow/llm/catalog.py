@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
+from quoteflow.llm.embedding_dedup import near_duplicates
 from quoteflow.llm.ngram_join import jaccard_classes
 from quoteflow.llm.pieces import digests, piece_ids
 from quoteflow.llm.token_counts import token_counts
@@ -29,6 +30,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98: links and component of each."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's SentencePiece ids and what they decode to, as count and digests."""
     return digests(piece_ids(table(spark, sf_dir, "documents"), decoded=True))
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
@@ -128,5 +135,21 @@ SELECT page_id, host, path, fit.rule,
     fit.verdict IS NULL AND bad.node IS NOT NULL AS inherited
 FROM placed LEFT JOIN fit ON fit.k = placed.k
 LEFT JOIN (SELECT DISTINCT url, node FROM nodes) n ON n.url = placed.url LEFT JOIN bad ON bad.node = n.node
+""",
+    "op5_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+        AND list_dot_product(e, e) > 0
+), o AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) >= 0.98 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+), r AS (
+    SELECT vec_id AS node, vec_id AS reach FROM v UNION SELECT r.node, o.b FROM r JOIN o ON o.a = r.reach
+), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM o GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """,
 }
