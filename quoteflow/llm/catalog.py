@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quoteflow.llm import language, quality
 from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.embedding_dedup import near_duplicates
@@ -35,11 +37,25 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being junk, and whether it is kept."""
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's SentencePiece ids and what they decode to, as count and digests."""
     return digests(piece_ids(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's main language, learned from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.learn(docs.filter("doc_id is not null").filter(~held))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's bytes and tokens, and whether it has more than 1024 tokens."""
     return token_counts(table(spark, sf_dir, "documents"))
@@ -50,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
