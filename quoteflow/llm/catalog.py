@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import language, quality
+from quoteflow.llm import language, pii, quality
 from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.embedding_dedup import near_duplicates
 from quoteflow.llm.ngram_join import jaccard_classes
+from quoteflow.llm.packing import packed
 from quoteflow.llm.pieces import digests, piece_ids
 from quoteflow.llm.token_counts import token_counts
 from quoteflow.llm.url_filters import judged, rule_table
@@ -32,6 +33,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts, digest of the patterns' spans, all spans."""
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.98: links and component of each."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
@@ -42,6 +48,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts' ids as packed rows of 2048."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's SentencePiece ids and what they decode to, as count and digests."""
     return digests(piece_ids(table(spark, sf_dir, "documents"), decoded=True))
@@ -65,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_pii": op4_pii,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_packing": op7_token_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,

@@ -8,7 +8,8 @@ pair remains. Merging one place at a time keeps the library's order exactly, als
 better rank. Segments of over ``LONG`` symbols, where rounds would be quadratic, go through the same merges with
 a heap instead.
 
-Segments are told apart by 64-bit hashes of their characters and length.
+Segments are told apart by 64-bit hashes of their characters and length. A worker keeps the ids of the first
+segments it met. Long texts are encoded in parts that are cut at single spaces.
 
 Defined cases: null and empty texts have no ids. U+2581 in a text is the same symbol as a space and decodes to one.
 Characters outside the vocabulary become their UTF-8 bytes' pieces. Decoding gives U+FFFD for each byte that is not
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,9 @@ from quoteflow.llm.words import mix, polynomials
 
 MODEL = "piece_bpe_32k.model"
 LONG = 400
-#: Bytes of text whose segments are encoded together.
-SLICE = 4 << 20
+#: Characters of text whose segments are encoded together, and of a part of a long text.
+SLICE = 2 << 20
+PART = 1 << 20
 _NONE = np.int64(1) << np.int64(62)
 _PLACE = np.int64(32)
 
@@ -75,6 +78,7 @@ class Vocabulary:
         for b, i in byte.items():
             surface[i] = bytes([b])
         self.surface = Strings(surface)
+        self.known = Known()
 
     def _characters(self, symbol: dict, whole: dict) -> None:
         chars = sorted({c for x in symbol for c in x})
@@ -259,31 +263,97 @@ def _distinct(v: Vocabulary, cid: np.ndarray, begin: np.ndarray, lens: np.ndarra
     return _gathered(values, np.cumsum(all_lens) - all_lens, all_lens, order), all_lens[order]
 
 
+class Known:
+    """Ids of segments met before by this worker, by hash; the first ``most`` segments stay."""
+
+    def __init__(self, most: int = 250_000):
+        self.most, self.number = most, {}
+        self.ids, self.each = np.zeros(1 << 20, np.int32), np.zeros(most, np.int64)
+        self.begin, self.used = np.zeros(most, np.int64), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        get = self.number.get
+        return np.array([get(h, -1) for h in hashes.tolist()], np.int64)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, each: np.ndarray) -> None:
+        have = len(self.number)
+        room = min(self.most - have, len(each))
+        size = int(each[:room].sum())
+        if room <= 0:
+            return
+        if self.used + size > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(size, len(self.ids)), np.int32)))
+        self.ids[self.used : self.used + size] = ids[:size]
+        self.each[have : have + room] = each[:room]
+        self.begin[have : have + room] = self.used + np.cumsum(each[:room]) - each[:room]
+        self.used += size
+        self.number.update(zip(hashes[:room].tolist(), range(have, have + room), strict=True))
+
+
+def _parts(text: str) -> list[str]:
+    """A long text cut in front of single spaces, each part without its own: encoding puts it back."""
+    out, begin = [], 0
+    while len(text) - begin > PART:
+        at = begin + PART // 2
+        while 0 <= at < len(text):
+            at = text.find(" ", at + 1)
+            if 0 <= at < len(text) - 1 and text[at - 1] not in " ▁" and text[at + 1] not in " ▁":
+                break
+        if not 0 <= at < len(text) - 1:
+            break
+        out.append(text[begin:at])
+        begin = at + 1
+    return [*out, text[begin:]]
+
+
 def encode(v: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, and where each text's begin and the last's end."""
-    length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    parts, at, ids = [], [0], []
+    for t in texts:
+        parts += _parts(t) if t else []
+        at.append(len(parts))
+    edges, held, begin = [np.zeros(1, np.int64)], 0, 0
+    for i, t in enumerate(parts):
+        held += len(t)
+        if held >= SLICE or i + 1 == len(parts):
+            got, ends = _encode(v, parts[begin : i + 1])
+            ids.append(got)
+            edges.append(ends[1:] + edges[-1][-1])
+            held, begin = 0, i + 1
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(edges)[at]
+
+
+def _encode(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    length = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(length)
-    points = np.frombuffer("".join([f" {t}" for t in texts if t]).encode("utf-32-le"), np.uint32)
-    if not len(points):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    points = np.frombuffer(" ".join(["", *texts]).encode("utf-32-le"), np.uint32)
     cid = v.char[points]
     joint = np.zeros(len(points), bool)  # whether a place goes on with the segment before it
     joint[1:] = v.meets[cid[:-1], cid[1:]]
-    joint[(ends - length)[length > 0]] = False
+    joint[ends - length] = False
     begin = np.flatnonzero(~joint)
     lens = np.diff(np.append(begin, len(points)))
     known = v.char_hash[cid]
     other = cid == 0
     if other.any():
         known[other] = mix(points[other].astype(np.uint64) << np.uint64(20))
-    hashes = polynomials(known, begin, begin + lens)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, each = _distinct(v, np.where(other, 0, cid), begin[first], lens[first])
-    ids, each = _finished(v, ids, each, points[begin[first]])
-    at = np.cumsum(each) - each
-    counts = each[which]
-    out = _gathered(ids, at, each, which)
-    upto = np.concatenate(([0], np.cumsum(counts)))
+    which, hashes = pd.factorize(polynomials(known, begin, begin + lens))
+    first = np.empty(len(hashes), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    place = v.known.find(hashes)
+    new = np.flatnonzero(place < 0)
+    each, at = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    old = place >= 0
+    each[old], at[old] = v.known.each[place[old]], v.known.begin[place[old]]
+    flat_ids = v.known.ids[: v.known.used]
+    if len(new):
+        ids, sizes = _distinct(v, cid, begin[first[new]], lens[first[new]])
+        ids, sizes = _finished(v, ids, sizes, points[begin[first[new]]])
+        each[new], at[new] = sizes, len(flat_ids) + np.cumsum(sizes) - sizes
+        flat_ids = np.concatenate((flat_ids, ids))
+        v.known.add(hashes[new], ids, sizes)
+    out = _gathered(flat_ids, at, each, which)
+    upto = np.concatenate(([0], np.cumsum(each[which])))
     return out, upto[np.searchsorted(begin, np.concatenate(([0], ends)))]
 
 
@@ -318,7 +388,7 @@ def decode(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[str]:
 def _encoder(model: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path(model))
-        for batch in sliced(batches, "text", SLICE):
+        for batch in sliced(batches, "text", 2 * SLICE):
             ids, at = encode(v, batch.column("text").to_pylist())
             columns = [batch.column("id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids, pa.int32()))]
             if decoded:
