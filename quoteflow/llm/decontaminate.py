@@ -159,5 +159,6 @@ def contained_items(
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that contain no item."""
     held = contained_items(docs, items, **how).select(F.col("doc_id").alias("__held")).distinct()
+    held = cut(held, "held")  # its size is known then: small lists are broadcast, large ones joined
     key = F.col(f"`{how.get('doc_id', 'doc_id')}`").cast("long")
     return docs.join(held, key == F.col("__held"), "left_anti")

@@ -254,7 +254,8 @@ class NgramJoin:
         facts = self.sets.agg(
             F.count("id").alias("rows"), F.countDistinct("id").alias("ids"), F.sum("n").alias("grams")
         ).first()
-        if facts["rows"] > facts["ids"]:
+        self.repeated = facts["rows"] > facts["ids"]
+        if self.repeated:
             self.docs = self.docs.groupBy("id").agg(F.min("text").alias("text"))
             self.sets = cut(self.docs.mapInArrow(_sets(n), _SETS), "sets")
         self.grams = facts["grams"] or 0
@@ -361,6 +362,16 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Da
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents whose id is the least of their class; rows of a null id stay."""
-    first = jaccard_classes(docs, n, num, den).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each class, that of the least id; of rows with one id, that of the least text.
+
+    Rows of a null id stay. Columns stay as they are.
+    """
+    joined = NgramJoin(docs, n, num, den)
+    gone = cut(joined.classes().filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if joined.repeated:
+        first = F.struct(F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        lone = kept.filter("doc_id is null")
+        kept = kept.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(first).alias("x"))
+        kept = kept.select("x.row.*").unionByName(lone)
+    return kept
