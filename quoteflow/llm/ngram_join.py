@@ -256,7 +256,8 @@ class NgramJoin:
         ).first()
         self.repeated = facts["rows"] > facts["ids"]
         if self.repeated:
-            self.docs = self.docs.groupBy("id").agg(F.min("text").alias("text"))
+            known = self.docs.filter("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+            self.docs = known.unionByName(self.docs.filter("id is null"))
             self.sets = cut(self.docs.mapInArrow(_sets(n), _SETS), "sets")
         self.grams = facts["grams"] or 0
         self.equal = cut(

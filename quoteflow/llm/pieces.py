@@ -60,7 +60,7 @@ class Vocabulary:
         size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) for i in range(size)]
-        self.size, self.unknown = size, sp.unk_id()
+        self.size, self.unknown, self.plain = size, sp.unk_id(), plain
         symbol = {x: i for i, x in enumerate(names) if plain[i]}
         whole = dict(symbol)
         for x in list(symbol):
@@ -379,9 +379,13 @@ def decode(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[str]:
     data, edges = v.surface.laid(ids)
     data, edges = data.tobytes(), edges[at].tolist()
     out = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
+    for a, b, i, j in zip(edges[:-1], edges[1:], at[:-1].tolist(), at[1:].tolist(), strict=True):
         text = data[a:b].decode("utf-8", "each_byte")
-        out.append(text[1:] if text[:1] == " " else text)
+        if text[:1] == " ":
+            while i < j and not v.surface.lens[ids[i]]:
+                i += 1
+            text = text[1:] if v.plain[ids[i]] else text  # the dummy space, not one that came as a byte
+        out.append(text)
     return out
 
 
