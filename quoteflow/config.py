@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import timedelta
@@ -28,7 +29,7 @@ class Source:
 class SinkOptions:
     """How a batch reaches the store, and what happens if it does not."""
 
-    batch_size: int = 500  # rows per round trip to a database
+    batch_size: int = 500  # rows per round trip to a database, see sources.store.jdbc_sink
     max_latency: timedelta = timedelta(seconds=1)  # time between micro-batches
     max_attempts: int = 5
     backoff_initial: timedelta = timedelta(milliseconds=200)
@@ -96,4 +97,12 @@ def check_sources(rows: list[Mapping[str, Any]]) -> tuple[Source, ...]:
         if fmt not in FORMATS:
             raise ConfigError(f"source '{name}': unknown format '{row['format']}', expected one of {sorted(FORMATS)}")
         sources.append(Source(name, str(row["uri"]).strip(), fmt))
+    check_names([s.name for s in sources])
     return tuple(sources)
+
+
+def check_names(names: list[str]) -> None:
+    """Every frame of a name listed twice would count twice."""
+    twice = sorted(n for n, k in Counter(names).items() if k > 1)
+    if twice:
+        raise ConfigError(f"source '{twice[0]}' is configured more than once")

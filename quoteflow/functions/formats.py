@@ -23,6 +23,7 @@ from quoteflow.functions.binding import let
 # that is not there ``missing_<field>``.
 INVALID_JSON = "invalid_json"
 FIELD_COUNT = "field_count"
+UNKNOWN_FORMAT = "unknown_format"
 DECIMAL_RANGE = "decimal_out_of_range"
 TS_RANGE = "ts_out_of_range"
 
@@ -84,6 +85,15 @@ def reading(
     return let(texts, _typed)
 
 
+def unreadable(reason: str) -> Column:
+    """The reading of a frame that no format could be asked about."""
+    none = F.lit(None).cast("string")
+    return reading(
+        ignored=F.lit(False), reason=F.lit(reason), ticker=none, price=none, volume=none,
+        ts=F.lit(None).cast("timestamp"),
+    )
+
+
 def _typed(t: Column) -> Column:
     price, volume = numbers.exact_decimal(t["price"]), numbers.exact_decimal(t["volume"])
     return F.struct(
@@ -146,14 +156,20 @@ _INSTANT = (
 # ---- A: JSON object, JSON numbers, Unix milliseconds ------------------------------------------
 
 _NUMERIC = r"^(?:BIGINT|DOUBLE|DECIMAL)"
-# Literals too long for a decimal are held as doubles too; they cannot be exact.
-_LONG_LITERAL = r"[0-9.]{39}"
+_JSON_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
 def _read_a(raw: Column) -> Column:
+    names = {"ticker": "symbol", "price": "price", "volume": "size", "ts": "ts"}
+
     def of_members(m: Column) -> Column:
         def number(field: str) -> Column:
-            double = F.when(~raw.rlike(_LONG_LITERAL), numbers.json_double_text(m[field]))
+            # Numbers with an exponent, or too long for a decimal, were parsed to doubles. Their digits are
+            # still in the frame; a quote inside a text is escaped and so can't be mistaken for the name's.
+            literals = F.regexp_extract_all(raw, F.lit(rf'"{names[field]}"{_SEP}({_JSON_NUMBER})'))
+            value = m[field].try_cast("double")
+            literal = F.get(F.reverse(F.filter(literals, lambda x: x.try_cast("double") == value)), 0)
+            double = F.coalesce(numbers.plain_number(literal), F.when(literal.isNull(), numbers.json_double_text(m[field])))
             return F.when(m[f"{field}_type"] == "DOUBLE", double).otherwise(m[field])
 
         def number_checks(field: str) -> list[tuple[Column, str]]:
@@ -181,7 +197,7 @@ def _read_a(raw: Column) -> Column:
             ts=times.from_unix_millis(millis),
         )
 
-    return _members(raw, {"ticker": "symbol", "price": "price", "volume": "size", "ts": "ts"}, of_members)
+    return _members(raw, names, of_members)
 
 
 FORMAT_A = register_format(

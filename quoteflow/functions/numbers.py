@@ -30,6 +30,23 @@ def exact_decimal(number: Column) -> Column:
     return F.when(number.rlike(_FITS), number.try_cast("decimal(38,18)"))
 
 
+def plain_number(literal: Column) -> Column:
+    """A JSON number literal without its exponent, digit for digit; null if that runs to absurd lengths."""
+    whole, part = F.regexp_extract(literal, r"^-?([0-9]+)", 1), F.regexp_extract(literal, r"\.([0-9]+)", 1)
+    power = F.regexp_extract(literal, r"[eE]\+?(-?[0-9]+)$", 1)
+    shift = F.when(power == "", 0).otherwise(power.try_cast("int"))
+    digits = F.concat(whole, part)
+    point = F.length(whole) + shift
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    sign = F.regexp_extract(literal, "^(-?)", 1)
+    nothing = F.regexp_replace(digits, "0", "") == ""
+    return F.when(nothing, "0").when(F.abs(shift) <= 400, F.concat(sign, moved))
+
+
 def json_double_text(text: Column) -> Column:
     """The text of a JSON number that was held as a double, without exponent.
 

@@ -86,13 +86,14 @@ def adjacent_duplicates(ticks: DataFrame) -> DataFrame:
 
 
 def reconcile(counters: DataFrame, stored: DataFrame, dead: DataFrame) -> DataFrame:
-    """Per source: every received tick must be a re-send, written, or counted as dropped.
+    """Per source: every received tick must be a re-send, written, counted as dropped, or late.
 
-    ``counters`` has received and deduplicated per source as counted on the way; written and dropped
-    are counted in the tables themselves. ``unaccounted`` must be 0.
+    ``counters`` has received, deduplicated and, where a policy drops late ticks, late_dropped per
+    source as counted on the way; written and dropped are counted in the tables themselves.
+    ``unaccounted`` must be 0.
     """
     zero = F.lit(0).cast("bigint")
-    names = ["received", "deduplicated", "written", "dropped"]
+    names = ["received", "deduplicated", "late_dropped", "written", "dropped"]
 
     def side(df: DataFrame, **given) -> DataFrame:
         return df.select("source", *[given.get(n, zero).alias(n) for n in names])
@@ -100,20 +101,35 @@ def reconcile(counters: DataFrame, stored: DataFrame, dead: DataFrame) -> DataFr
     def rows(df: DataFrame) -> DataFrame:
         return df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
+    known = {n: F.col(n) for n in names[:3] if n in counters.columns}
     return (
-        side(counters, received=F.col("received"), deduplicated=F.col("deduplicated"))
+        side(counters, **known)
         .unionByName(side(rows(stored), written=F.col("n")))
         .unionByName(side(rows(dead), dropped=F.col("n")))
         .groupBy("source")
         .agg(*[F.sum(n).alias(n) for n in names])
         .withColumn(
             "unaccounted",
-            F.col("received") - F.col("deduplicated") - F.col("written") - F.col("dropped"),
+            F.col("received") - F.col("deduplicated") - F.col("late_dropped") - F.col("written") - F.col("dropped"),
         )
         .withColumn("balanced", F.col("unaccounted") == 0)
     )
 
 
+def written_equals_stored(counters: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per source: rows the writer counted as written, rows in the store, and whether they agree."""
+    zero = F.lit(0).cast("bigint")
+    counted = counters.groupBy("source").agg(F.sum("written").alias("written"))
+    there = stored.groupBy("source").agg(F.count(F.lit(1)).alias("stored"))
+    return (
+        counted.select("source", "written", zero.alias("stored"))
+        .unionByName(there.select("source", zero.alias("written"), "stored"))
+        .groupBy("source")
+        .agg(F.sum("written").alias("written"), F.sum("stored").alias("stored"))
+        .withColumn("equal", F.col("written") == F.col("stored"))
+    )
+
+
 def first_rows(store: DataFrame, n: int) -> DataFrame:
     """The first ``n`` stored ticks by event time, with ties broken by the other columns."""
     return store.orderBy("ts", "source", "ticker", "price", "volume").limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteflow.functions.encoders import encode
-from quoteflow.functions.formats import FORMATS, WireFormat
+from quoteflow.functions.formats import FORMATS, UNKNOWN_FORMAT, WireFormat, unreadable
 from quoteflow.schemas import DECIMAL, FRAMES, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK, TICKS
 
 
@@ -21,8 +21,7 @@ _MARK = "\x01"
 def _full_reading(application_id: str, formats: tuple[tuple[str, WireFormat], ...]) -> Column:
     """Every format's full reading as one column; large, so built once per application."""
     fmt, raw = F.col("_format"), F.col("raw")
-    unknown = F.raise_error(F.concat(F.lit("unknown source format: "), F.coalesce("format", F.lit("null"))))
-    full = F.when(fmt.isNull() | ~fmt.isin(*[name for name, _ in formats]), unknown)
+    full = F.when(fmt.isNull() | ~fmt.isin(*[name for name, _ in formats]), unreadable(UNKNOWN_FORMAT))
     for name, wire in formats:
         full = full.when(fmt == name, wire.read(raw))
     return full
@@ -31,8 +30,9 @@ def _full_reading(application_id: str, formats: tuple[tuple[str, WireFormat], ..
 def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) -> DataFrame:
     """Parse every frame with its source's format and say what became of it.
 
-    Narrow and shuffle-free, so it works the same on batch and streaming frames. A frame whose
-    format is not registered is an error of the configuration and fails the job.
+    Narrow and shuffle-free, so it works the same on batch and streaming frames. A frame without a
+    registered format, such as one of a source that is not in the registry, is malformed for that reason
+    and does not stop the others.
     """
     formats = FORMATS if formats is None else formats
     base = [F.col(f.name) for f in FRAMES.fields]
@@ -70,7 +70,7 @@ def classify(frames: DataFrame, formats: dict[str, WireFormat] | None = None) ->
     tick = ~ignored & reason.isNull()
 
     def number(index: int, field: str) -> Column:
-        plain = F.substring(parts[index], 2, 64) if index == 0 else parts[index]
+        plain = F.substring(parts[index], 2, 2**31 - 1) if index == 0 else parts[index]
         return F.when(parts.isNotNull(), plain.cast(DECIMAL)).otherwise(read[field])
 
     outcome = F.struct(

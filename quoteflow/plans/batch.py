@@ -9,21 +9,33 @@ from pyspark.sql import functions as F
 
 from quoteflow.config import SinkOptions
 from quoteflow.operators import dedup, normalize
-from quoteflow.schemas import STATUS_TICK
+from quoteflow.schemas import CLASSIFIED, STATUS_TICK
 from quoteflow.sources.store import Sink
-from quoteflow.streaming.jobs import Folders, landed
+from quoteflow.streaming.jobs import Folders
 from quoteflow.streaming.sink import batch_writer
 
+# Batch runs count from here, far beyond the ids of micro-batches in the same folders.
+FIRST_RUN = 1 << 40
+
 
 def run_batch(
-    frames: DataFrame, folders: Folders, *, sink: Sink | None = None, options: SinkOptions | None = None,
-    window: timedelta = dedup.DEFAULT_WINDOW,
+    frames: DataFrame, folders: Folders, *, run: int = 0, sink: Sink | None = None,
+    options: SinkOptions | None = None, window: timedelta = dedup.DEFAULT_WINDOW,
 ) -> None:
-    """Normalize, deduplicate and store. Frames are parsed once; all later steps read the result."""
-    spark = frames.sparkSession
-    normalize.classify(frames).write.mode("overwrite").partitionBy("status").parquet(folders.normalized)
-    ticks = normalize.ticks(landed(spark, folders).filter(F.col("status") == STATUS_TICK))
+    """Normalize, deduplicate and store. Frames are parsed once; all later steps read the result.
+
+    ``run`` tells runs into the same folders apart. Runs add up; one that is repeated replaces itself.
+    Each run deduplicates its own frames.
+    """
+    spark, batch_id = frames.sparkSession, FIRST_RUN + run
+    (
+        normalize.classify(frames).withColumn("run", F.lit(run).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "status").parquet(folders.normalized_runs)
+    )
+    mine = spark.read.schema(CLASSIFIED).parquet(f"{folders.normalized_runs}/run={run}")
+    ticks = normalize.ticks(mine.filter(F.col("status") == STATUS_TICK))
     write = batch_writer(
-        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions()
+        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions(), folders.store.ledger
     )
-    write(dedup.decisions(ticks, window), 0)
+    write(dedup.decisions(ticks, window), batch_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from quoteflow.config import SinkOptions, Source
 from quoteflow.functions.formats import FORMATS
 from quoteflow.operators import audit, dedup, fanin, monitor, normalize
 from quoteflow.plans import batch, event_feed
-from quoteflow.schemas import KEY, STORE_COLUMNS, TICKS
+from quoteflow.schemas import KEY, TICKS
 from quoteflow.session import configure, scratch_dir
 from quoteflow.sources.frames import read_frames, stream_frames
 from quoteflow.sources.registry import bind_formats, registry_table
@@ -22,6 +22,7 @@ from quoteflow.streaming import jobs, sink
 Query = Callable[[SparkSession, str], DataFrame]
 
 SOURCES = tuple(Source(*row) for row in event_feed.EXCHANGES)
+STREAM_BUCKETS = 32
 SILENCE = timedelta(minutes=30)  # the events are sparse; the default of seconds is for live feeds
 
 QUERIES: dict[str, Query] = {}
@@ -52,8 +53,36 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.decisions(_ticks(spark, sf_dir))
 
 
+def _batch_flow(spark: SparkSession, sf_dir: str) -> jobs.Folders:
+    """A store filled from all frames, one run for each source into the same folders."""
+    folders = jobs.Folders(scratch_dir(spark, "batch-flow"))
+    folders.store.create(spark)
+    frames = _frames(spark, sf_dir)
+    for run, source in enumerate(SOURCES):
+        batch.run_batch(frames.filter(F.col("source") == source.name), folders, run=run)
+    return folders
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.accepted_ticks(_decided(spark, sf_dir)).select(STORE_COLUMNS)
+    return _batch_flow(spark, sf_dir).store.rows(spark)
+
+
+def _stretches(frames: DataFrame, count: int) -> list[DataFrame]:
+    """The frames cut into consecutive stretches of arrival time."""
+    at = F.unix_micros("arrival_ts")
+    low, high = frames.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [frames]
+    width = (high - low) // count + 1
+    nth = F.floor((at - low) / width)
+    return [frames.filter(nth == i) for i in range(count)]
+
+
+def _landing(spark: SparkSession, sf_dir: str, base: str, count: int = 4) -> Iterator[str]:
+    """Land the frames stretch by stretch in one folder, which is given after each."""
+    for stretch in _stretches(_frames(spark, sf_dir), count):
+        stretch.write.mode("append").parquet(f"{base}/frames")
+        yield f"{base}/frames"
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +181,18 @@ def source_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def frame_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames landed as files and read back as a table."""
+    path = f"{scratch_dir(spark, 'landed-frames')}/frames"
+    _frames(spark, sf_dir).write.parquet(path)
+    return _plain(
+        read_frames(spark, path).groupBy("source", "format").agg(
+            F.count(F.lit(1)).alias("frames"), F.min("arrival_ts").alias("first"), F.max("arrival_ts").alias("last")
+        )
+    )
+
+
 # ---- deduplication ----------------------------------------------------------------------------
 
 
@@ -170,9 +211,8 @@ def tracked_keys_by_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.tracked_keys(dedup.accepted_per_generation(_decided(spark, sf_dir)))
 
 
-def _run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
-    """Drain a streaming table into files and read them back."""
-    base = scratch_dir(stream.sparkSession, purpose)
+def _run_to_table(stream: DataFrame, base: str) -> DataFrame:
+    """Drain a streaming table into files, after those of earlier drains, and read all of them."""
     (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
@@ -186,8 +226,11 @@ def _run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
 
 @_query
 def stream_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = normalize.ticks(normalize.classify(_stream(spark, sf_dir)))
-    decided = _run_to_table(stream_dedup.exact(ticks), "stream-dedup")
+    """Four micro-batches, each a restart from the checkpoint; what they remember is carried and forgotten."""
+    base, decided = scratch_dir(spark, "stream-dedup"), None
+    for landing in _landing(spark, sf_dir, base):
+        ticks = normalize.ticks(normalize.classify(stream_frames(spark, landing)))
+        decided = _run_to_table(stream_dedup.exact(ticks, buckets=STREAM_BUCKETS), base)
     return _plain(decided.filter("accepted").select(TICKS.fieldNames()))
 
 
@@ -196,7 +239,7 @@ def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retention beyond the last re-send, so every key survives exactly once."""
     ticks = normalize.ticks(normalize.classify(_stream(spark, sf_dir)))
     survivors = stream_dedup.within_watermark(ticks, timedelta(minutes=10))
-    return _plain(_run_to_table(survivors.select(KEY), "stream-watermark"))
+    return _plain(_run_to_table(survivors.select(KEY), scratch_dir(spark, "stream-watermark")))
 
 
 @_query
@@ -237,11 +280,25 @@ def stream_ticks_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def reconcile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folders = jobs.Folders(scratch_dir(spark, "batch-flow"))
+def stream_ticks_landed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the JVM's own operator as the policy, over several micro-batches."""
+    folders = jobs.Folders(scratch_dir(spark, "stream-flow-watermark"))
     folders.store.create(spark)
-    batch.run_batch(_frames(spark, sf_dir), folders)
-    return jobs.reconciliation(spark, folders)
+    policy = lambda ticks: stream_dedup.within_watermark(ticks, timedelta(minutes=10))
+    for landing in _landing(spark, sf_dir, folders.base, 3):
+        jobs.run_available(stream_frames(spark, landing), folders, deduplicate=policy)
+    return _plain(folders.store.rows(spark))
+
+
+@_query
+def reconcile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.reconciliation(spark, _batch_flow(spark, sf_dir))
+
+
+@_query
+def written_equals_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer counted against what the store holds."""
+    return jobs.written_equals_stored(spark, _batch_flow(spark, sf_dir))
 
 
 @_query
@@ -279,7 +336,8 @@ def sink_outage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     received = monitor.source_counters(normalize.classify(read_frames(spark, landing)))
     counters = received.join(counted, "source").select("source", "received", "deduplicated")
-    return audit.reconcile(counters, store.rows(spark), sink.read_dead_letter(spark, folders.dead_letter))
+    dead = sink.read_dead_letter(spark, folders.dead_letter, store.ledger)
+    return audit.reconcile(counters, store.rows(spark), dead)
 
 
 # ---- monitoring -------------------------------------------------------------------------------
@@ -369,6 +427,15 @@ def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_coverage(_stored(spark, sf_dir), expected)
 
 
+@_query
+def store_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by day and source in the last week; only those days are read."""
+    last = event_feed.read_events(configure(spark), sf_dir).agg(F.to_date(F.max("ts"))).first()[0]
+    scan = _batch_flow(spark, sf_dir).store.scan(spark)
+    week = scan.filter(F.col("event_date") >= F.lit(last - timedelta(days=6)))
+    return week.groupBy("source", "event_date").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @_query
 def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-sends from beyond the dedup window are stored again and show up here."""

@@ -52,7 +52,8 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # the pattern names just that entry, be it one file or a folder of them, which a plain path may not
+    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def quotes(events: DataFrame) -> DataFrame:
@@ -91,28 +92,28 @@ def _malformed(fmt: Column, kind: Column) -> Column:
     fields = dict(t=ticker, n=F.col("ticker"), p=price, v=volume, ms=millis, s=seconds, iso=iso)
     texts = {
         "A": [
-            '{"symbol":<t>,"price":<p>,"size":<v>}',
-            '{"symbol":<t>,"price":"oops","size":<v>,"ts":<ms>}',
-            "not json at all <n>",
-            '{"symbol":<t>,"price":"<p>","size":<v>,"ts":<ms>}',
-            '{"symbol":<t>,"price":<p>,"size":<v>,"ts":9<ms>00000}',
-            '{"symbol":<t>,"price":0.12345678901234567891,"size":<v>,"ts":<ms>}',
+            '{"symbol":<t>,"size":<v>,"ts":<ms>}',
+            '{"symbol":<t>,"price":[<p>],"size":<v>,"ts":<ms>}',
+            '{"symbol":<t>,"price":<p>,"size":<v>,"ts":<ms>',
+            '{"symbol":<t>,"price":<p>,"size":false,"ts":<ms>}',
+            '{"symbol":<t>,"price":<p>,"size":<v>,"ts":<ms>7000000}',
+            '{"symbol":<t>,"price":<p>,"size":3.0000000000000000000007,"ts":<ms>}',
         ],
         "B": [
-            '{"s":<t>,"p":"<p>","v":"<v>"}',
-            '{"s":<t>,"p":"oops","v":"<v>","t":"<iso>"}',
-            "not json at all <n>",
-            '{"s":<t>,"p":<p>,"v":"<v>","t":"<iso>"}',
-            '{"s":<t>,"p":"<p>","v":"<v>","t":"not-a-time"}',
-            '{"s":<t>,"p":"1e2","v":"<v>","t":"<iso>"}',
+            '{"s":<t>,"p":"<p>","t":"<iso>"}',
+            '{"s":<t>,"p":"<p> per lot","v":"<v>","t":"<iso>"}',
+            '"s":<t>,"p":"<p>","v":"<v>","t":"<iso>"',
+            '{"s":<t>,"p":"<p>","v":{"lots":"<v>"},"t":"<iso>"}',
+            '{"s":<t>,"p":"<p>","v":"<v>","t":"day <iso>"}',
+            '{"s":<t>,"p":"<p>","v":"<v>E1","t":"<iso>"}',
         ],
         "C": [
-            "<n>|<p>|<v>",
-            "<n>|oops|<v>|<s>",
-            "<n>|<p>|<v>|<s>|extra",
-            "<n>|<p>||<s>",
-            "<n>|<p>|<v>|notanumber",
-            "<n>|<p>|<v>|9<s>00000",
+            "<n>;<p>;<v>;<s>",
+            "<n>|$<p>|<v>|<s>",
+            "<n>|<p>|<v>|<s>|<s>",
+            "<n>|<p>|-|<s>",
+            "<n>|<p>|<v>|<s>s",
+            "<n>|<p>|<v>|<s>7000000",
         ],
     }
     chosen = None
@@ -124,8 +125,8 @@ def _malformed(fmt: Column, kind: Column) -> Column:
 
 # The reason each kind of malformed frame is refused for.
 MALFORMED_REASONS = {
-    "A": ["missing_ts", "bad_price", "invalid_json", "bad_price", "ts_out_of_range", "decimal_out_of_range"],
-    "B": ["missing_ts", "bad_price", "invalid_json", "bad_price", "bad_ts", "bad_price"],
+    "A": ["missing_price", "bad_price", "invalid_json", "bad_volume", "ts_out_of_range", "decimal_out_of_range"],
+    "B": ["missing_volume", "bad_price", "invalid_json", "bad_volume", "bad_ts", "bad_volume"],
     "C": ["field_count", "bad_price", "field_count", "bad_volume", "bad_ts", "ts_out_of_range"],
 }
 
@@ -140,7 +141,7 @@ def frames(events: DataFrame) -> DataFrame:
         )
 
     kind = (F.floor(event_id / 13) % KINDS_OF_MALFORMED).cast("int")
-    heartbeat = F.when(fmt == "C", F.lit("   ")).otherwise(F.lit('{"type":"heartbeat"}'))
+    heartbeat = F.when(fmt == "C", F.lit("   ")).otherwise(F.lit('{"alive":true}'))
     copies = F.array_compact(
         F.array(
             copy(0, 0, F.col("raw")),

@@ -96,30 +96,33 @@ _WIRE = f"""CASE format
   WHEN 'B' THEN '{{"s":"' || ticker || '","p":"' || {_P} || '","v":"' || {_V} || '","t":"' || {_ISO} || '"}}'
   ELSE ticker || '|' || {_P} || '|' || {_V} || '|' || {_S} END"""
 
+_A = f"""'{{"symbol":"' || ticker || '","price":' || {_P} || ',"size":' || {_V} || ',"ts":' || {_MS}"""
+_B = f"""'{{"s":"' || ticker || '","p":"' || {_P} || '"'"""
+_C = f"ticker || '|' || {_P} || '|' || {_V} || '|' || {_S}"
 _BROKEN = {
     "A": [
-        f"""'{{"symbol":"' || ticker || '","price":' || {_P} || ',"size":' || {_V} || '}}'""",
-        f"""'{{"symbol":"' || ticker || '","price":"oops","size":' || {_V} || ',"ts":' || {_MS} || '}}'""",
-        "'not json at all ' || ticker",
-        f"""'{{"symbol":"' || ticker || '","price":"' || {_P} || '","size":' || {_V} || ',"ts":' || {_MS} || '}}'""",
-        f"""'{{"symbol":"' || ticker || '","price":' || {_P} || ',"size":' || {_V} || ',"ts":9' || {_MS} || '00000}}'""",
-        f"""'{{"symbol":"' || ticker || '","price":0.12345678901234567891,"size":' || {_V} || ',"ts":' || {_MS} || '}}'""",
+        f"""'{{"symbol":"' || ticker || '","size":' || {_V} || ',"ts":' || {_MS} || '}}'""",
+        f"""'{{"symbol":"' || ticker || '","price":[' || {_P} || '],"size":' || {_V} || ',"ts":' || {_MS} || '}}'""",
+        _A,
+        f"""'{{"symbol":"' || ticker || '","price":' || {_P} || ',"size":false,"ts":' || {_MS} || '}}'""",
+        f"""{_A} || '7000000}}'""",
+        f"""'{{"symbol":"' || ticker || '","price":' || {_P} || ',"size":3.0000000000000000000007,"ts":' || {_MS} || '}}'""",
     ],
     "B": [
-        f"""'{{"s":"' || ticker || '","p":"' || {_P} || '","v":"' || {_V} || '"}}'""",
-        f"""'{{"s":"' || ticker || '","p":"oops","v":"' || {_V} || '","t":"' || {_ISO} || '"}}'""",
-        "'not json at all ' || ticker",
-        f"""'{{"s":"' || ticker || '","p":' || {_P} || ',"v":"' || {_V} || '","t":"' || {_ISO} || '"}}'""",
-        f"""'{{"s":"' || ticker || '","p":"' || {_P} || '","v":"' || {_V} || '","t":"not-a-time"}}'""",
-        f"""'{{"s":"' || ticker || '","p":"1e2","v":"' || {_V} || '","t":"' || {_ISO} || '"}}'""",
+        f"""{_B} || ',"t":"' || {_ISO} || '"}}'""",
+        f"""'{{"s":"' || ticker || '","p":"' || {_P} || ' per lot","v":"' || {_V} || '","t":"' || {_ISO} || '"}}'""",
+        f"""'"s":"' || ticker || '","p":"' || {_P} || '","v":"' || {_V} || '","t":"' || {_ISO} || '"'""",
+        f"""{_B} || ',"v":{{"lots":"' || {_V} || '"}},"t":"' || {_ISO} || '"}}'""",
+        f"""{_B} || ',"v":"' || {_V} || '","t":"day ' || {_ISO} || '"}}'""",
+        f"""{_B} || ',"v":"' || {_V} || 'E1","t":"' || {_ISO} || '"}}'""",
     ],
     "C": [
-        f"ticker || '|' || {_P} || '|' || {_V}",
-        f"ticker || '|oops|' || {_V} || '|' || {_S}",
-        f"ticker || '|' || {_P} || '|' || {_V} || '|' || {_S} || '|extra'",
-        f"ticker || '|' || {_P} || '||' || {_S}",
-        f"ticker || '|' || {_P} || '|' || {_V} || '|notanumber'",
-        f"ticker || '|' || {_P} || '|' || {_V} || '|9' || {_S} || '00000'",
+        f"ticker || ';' || {_P} || ';' || {_V} || ';' || {_S}",
+        f"ticker || '|$' || {_P} || '|' || {_V} || '|' || {_S}",
+        f"{_C} || '|' || {_S}",
+        f"ticker || '|' || {_P} || '|-|' || {_S}",
+        f"{_C} || 's'",
+        f"{_C} || '7000000'",
     ],
 }
 
@@ -141,8 +144,8 @@ def _reconciled(dropped: str) -> str:
     return _with(
         _DECIDED,
         f"""
-SELECT t.source, t.received, t.received - a.accepted AS deduplicated, a.accepted - a.lost AS written,
-       a.lost AS dropped, CAST(0 AS BIGINT) AS unaccounted, TRUE AS balanced
+SELECT t.source, t.received, t.received - a.accepted AS deduplicated, CAST(0 AS BIGINT) AS late_dropped,
+       a.accepted - a.lost AS written, a.lost AS dropped, CAST(0 AS BIGINT) AS unaccounted, TRUE AS balanced
 FROM (SELECT source, count(*) AS received FROM tk GROUP BY source) t
 JOIN (SELECT source, count(*) AS accepted, count(*) FILTER ({dropped}) AS lost FROM acc GROUP BY source) a
   ON a.source = t.source""",
@@ -168,7 +171,7 @@ FROM fr WHERE status = 'parse_error'""",
         ),
         "ignored_frames": _with(
             _FRAMES,
-            """SELECT source, format, CASE format WHEN 'C' THEN '   ' ELSE '{"type":"heartbeat"}' END AS raw,
+            """SELECT source, format, CASE format WHEN 'C' THEN '   ' ELSE '{"alive":true}' END AS raw,
        at_us AS arrival_us, frame_seq FROM fr WHERE status = 'ignored'""",
         ),
         "format_round_trip": _with(
@@ -215,6 +218,17 @@ FROM fr GROUP BY 1, 2""",
 FROM fr GROUP BY 1, 2""",
         ),
         "reconcile_by_source": _reconciled("FALSE"),
+        "written_equals_stored": _with(
+            _DECIDED,
+            "SELECT source, count(*) AS written, count(*) AS stored, TRUE AS equal FROM acc GROUP BY source",
+        ),
+        "stream_ticks_landed_watermark": _with(_TICKS, f"SELECT DISTINCT {_FIVE} FROM tk"),
+        "store_day_counts": _with(
+            _DECIDED,
+            """SELECT source, CAST(make_timestamp(acc.ts_us) AS DATE) AS event_date, count(*) AS row_count FROM acc
+WHERE acc.ts_us >= (SELECT epoch_us(date_trunc('day', max(ts)) - INTERVAL 6 DAY) FROM events) GROUP BY 1, 2""",
+        ),
+        "frame_batch_scan": _with(_FRAMES, "SELECT source, format, count(*) AS frames, min(at_us) AS first_us, max(at_us) AS last_us FROM fr GROUP BY 1, 2"),
         "sink_outage_accounting": _reconciled(
             "at_us >= epoch_us(TIMESTAMP '2024-01-11') AND at_us < epoch_us(TIMESTAMP '2024-01-21')"
         ),

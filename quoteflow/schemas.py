@@ -66,13 +66,14 @@ STORE = T.StructType(
     ]
 )
 
-# Physical layout of the store: pruned by event day, replaced by micro-batch.
-STORE_PARTITIONS = ["event_date", "batch_id"]
+# Physical layout of the store: pruned by event day; a batch's attempts lie side by side.
+STORE_PARTITIONS = ["event_date", "batch_id", "attempt"]
 STORE_LAYOUT = T.StructType(
     STORE.fields
     + [
         T.StructField("event_date", T.DateType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 

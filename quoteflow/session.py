@@ -42,16 +42,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return tempfile.mkdtemp(prefix=f"quoteflow-{purpose}-")
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to scratch space and read it back, for results that several readers share.
-
-    Unlike cached blocks, the files outlive the executors that wrote them.
-    """
-    path = f"{scratch_dir(df.sparkSession, purpose)}/data"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Share a table that comes in fewer pieces than there are cores among all of them.
 

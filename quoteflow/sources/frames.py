@@ -27,10 +27,11 @@ def text_frames(
     spark: SparkSession, path: str, source: str, fmt: str, stream: bool = False,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """One feed landed as plain text, a frame per line.
+    """One feed landed as plain text, a frame per line, as a table or as a stream.
 
-    Lines carry no arrival time of their own; their file's modification time stands in, and lines
-    of one file keep their order by position.
+    Lines carry no arrival time of their own; their file's modification time stands in. ``frame_seq`` is a
+    hash of file and line, the same however the file is read and split: it settles which of two equal
+    arrival times is first, and does not give the order of lines in a file.
     """
     reader = spark.readStream if stream else spark.read
     if stream and max_files_per_trigger is not None:
@@ -40,7 +41,7 @@ def text_frames(
         F.lit(fmt).alias("format"),
         F.col("value").alias("raw"),
         F.col("_metadata.file_modification_time").alias("arrival_ts"),
-        F.monotonically_increasing_id().alias("frame_seq"),
+        F.xxhash64("_metadata.file_path", "value").alias("frame_seq"),
     )
 
 

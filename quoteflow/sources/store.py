@@ -1,33 +1,96 @@
-"""The table of stored ticks.
+"""The table of stored ticks, and the ledger that says which batches count.
 
 Files are laid out by event day, so queries by time read only the days they need, and below that by
-micro-batch. Writing a batch replaces exactly that batch's partitions, so writing it again after a
-failure leaves one copy.
+batch and attempt. A write adds the files of a new attempt and then one row to the ledger; readers see a
+batch's rows only if its latest ledger row says so. A batch is therefore there as a whole or not at all,
+over all its days, and writing it again, or giving it up, is one row more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quoteflow.schemas import STORE, STORE_COLUMNS, STORE_LAYOUT, STORE_PARTITIONS
 
 # A sink takes a batch and its id, and raises if the batch is not stored as a whole.
 Sink = Callable[[DataFrame, int], None]
 
+STORED, DROPPED = "stored", "dropped"
+
+LEDGER_ROWS = T.StructType(
+    [
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("replaces", T.ArrayType(T.LongType())),
+        T.StructField("at", T.LongType()),
+    ]
+)
+
 
 class StoreMissing(RuntimeError):
     """The store was never created; it is not created on the way of a write."""
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, without listing what is in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def new_attempt() -> str:
+    return uuid.uuid4().hex
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """One row for every time a batch was stored or given up; the latest one holds."""
+
+    path: str
+
+    def settle(self, spark: SparkSession, batch_id: int, attempt: str, status: str, replaces: Sequence[int] = ()) -> None:
+        """Add one row, which is one file, so it is there or it is not."""
+        row = spark.createDataFrame([(batch_id, attempt, status, list(replaces), time.time_ns())], LEDGER_ROWS)
+        row.coalesce(1).write.mode("append").parquet(self.path)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        if not path_exists(spark, self.path):
+            return spark.createDataFrame([], LEDGER_ROWS)
+        return spark.read.schema(LEDGER_ROWS).parquet(self.path)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """batch_id, attempt, status and replaces as they stand, without batches that another one replaced."""
+        last = F.max_by(F.struct("attempt", "status", "replaces"), "at").alias("x")
+        latest = self.rows(spark).groupBy("batch_id").agg(last).select("batch_id", "x.*")
+        gone = latest.filter(F.col("status") == STORED).select(F.explode("replaces").alias("batch_id"))
+        return latest.join(gone, "batch_id", "left_anti")
+
+    def visible(self, df: DataFrame, status: str) -> DataFrame:
+        """The rows, with batch_id and attempt, of attempts that hold with that status."""
+        spark = df.sparkSession
+        holding = self.current(spark).filter(F.col("status") == status).select("batch_id", "attempt")
+        return df.join(holding, ["batch_id", "attempt"], "left_semi")
+
+    def replaced(self, spark: SparkSession, batch_id: int) -> bool:
+        named = F.array_contains("replaces", F.lit(batch_id).cast("bigint"))
+        return not self.rows(spark).filter((F.col("status") == STORED) & named).isEmpty()
+
+
 @dataclass(frozen=True)
 class TickStore:
     path: str
 
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(f"{self.path}_ledger")
+
     def create(self, spark: SparkSession) -> TickStore:
         """Lay down an empty table unless there is one already."""
         if not self.exists(spark):
@@ -35,47 +98,56 @@ class TickStore:
         return self
 
     def exists(self, spark: SparkSession) -> bool:
-        try:
-            spark.read.schema(STORE).parquet(self.path)
-        except AnalysisException:
-            return False
-        return True
+        return path_exists(spark, self.path)
 
     def truncate(self, spark: SparkSession) -> None:
         """Remove every row and keep the table."""
         self._require(spark)
+        spark.createDataFrame([], LEDGER_ROWS).write.mode("overwrite").parquet(self.ledger.path)
         spark.createDataFrame([], STORE).write.mode("overwrite").parquet(self.path)
 
     def scan(self, spark: SparkSession) -> DataFrame:
         """All rows, five columns, with the partition columns at hand for pruning."""
         self._require(spark)
-        return spark.read.schema(STORE_LAYOUT).parquet(self.path)
+        return self.ledger.visible(spark.read.schema(STORE_LAYOUT).parquet(self.path), STORED)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return self.scan(spark).select(STORE_COLUMNS)
 
-    def sink(self, files_per_batch: int | None = None, max_records_per_file: int | None = None) -> Sink:
-        """Replace one batch's partitions. A batch without rows writes nothing.
+    def write(
+        self, batch: DataFrame, batch_id: int, *, files_per_batch: int | None = None,
+        max_records_per_file: int | None = None, replaces: Sequence[int] = (),
+    ) -> None:
+        """Write a batch in place of what it was before, and of the batches it ``replaces``."""
+        spark, attempt = batch.sparkSession, new_attempt()
+        self._require(spark)
+        rows = batch.select(
+            *STORE_COLUMNS,
+            F.to_date("ts").alias("event_date"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            F.lit(attempt).alias("attempt"),
+        )
+        if files_per_batch is not None:
+            rows = rows.coalesce(files_per_batch)
+        writer = rows.write.mode("append")
+        if max_records_per_file is not None:
+            writer = writer.option("maxRecordsPerFile", max_records_per_file)
+        writer.partitionBy(*STORE_PARTITIONS).parquet(self.path)
+        self.ledger.settle(spark, batch_id, attempt, STORED, replaces)
 
-        ``files_per_batch`` bounds the files a batch leaves per day without another shuffle.
-        """
+    def sink(self, files_per_batch: int | None = None, max_records_per_file: int | None = None) -> Sink:
+        """``write`` as a sink. ``files_per_batch`` bounds a batch's files per day without a shuffle."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self._require(batch.sparkSession)
-            rows = batch.select(
-                *STORE_COLUMNS, F.to_date("ts").alias("event_date"), F.lit(batch_id).cast("bigint").alias("batch_id")
-            )
-            if files_per_batch is not None:
-                rows = rows.coalesce(files_per_batch)
-            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            if max_records_per_file is not None:
-                writer = writer.option("maxRecordsPerFile", max_records_per_file)
-            writer.partitionBy(*STORE_PARTITIONS).parquet(self.path)
+            self.write(batch, batch_id, files_per_batch=files_per_batch, max_records_per_file=max_records_per_file)
 
         return write
 
     def ddl(self, table: str) -> str:
-        """SQL that puts the store into a catalog, for engines that plan against one."""
+        """SQL that puts the store's files into a catalog, for engines that plan against one.
+
+        Which batches hold is in the ledger; join it on batch_id and attempt.
+        """
         columns = ",\n  ".join(
             f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
             for f in STORE_LAYOUT.fields

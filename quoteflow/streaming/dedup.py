@@ -1,8 +1,8 @@
 """Streaming deduplication.
 
-``exact`` follows the generation rule of ``operators.dedup`` and gives the same decisions on ticks
-that arrive in order. ``within_watermark`` is the JVM-only operator: cheaper, and it remembers a key
-for at least the retention, with eviction trailing behind by a micro-batch.
+``exact`` follows the generation rule of ``operators.dedup``, gives the same decisions on ticks that
+arrive in order, and drops none for its age. ``within_watermark`` is the JVM-only operator: cheaper, and
+it remembers a key for at least the retention, with eviction trailing behind by a micro-batch.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ DECISIONS = T.StructType(
 _Decision = Row(*DECISIONS.fieldNames())
 
 
-# Keys are kept in this many groups. It is part of the state layout, so it stays the same for the life
-# of a checkpoint, and it should be well above the number of shuffle partitions.
+# Keys are kept in this many groups unless a flow is started with another number. It is part of the state
+# layout, so it stays the same for the life of a checkpoint, and it should be well above the number of
+# shuffle partitions.
 BUCKETS = 256
 
 
@@ -44,16 +45,17 @@ class GenerationRule(StatefulProcessor):
     """Remembers, per bucket of keys, the last generation each key was accepted in.
 
     A bucket's memory is read and written once per micro-batch, as one block, instead of key by key.
-    What cannot matter any more leaves it with every batch, and a timer clears a bucket that falls
-    silent.
+    What is ``keep`` generations behind the newest of the bucket leaves it with every batch.
+
+    No tick is turned away for its age. One that comes out of order is a re-send if its key was accepted
+    in its own generation or a neighbouring one, before or after, as far as that is still remembered.
     """
 
-    def __init__(self, window_ms: int) -> None:
-        self.window_ms = window_ms
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState("memory", "block binary, timer long")
+        self.memory = handle.getValueState("memory", "block binary, newest long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # One entry per key and generation, however many copies arrive.
@@ -64,27 +66,20 @@ class GenerationRule(StatefulProcessor):
                 entry[1], entry[2] = row.first_ts, row.frame_seq
             entry[3] += row.copies
 
-        last, timer = self._load()
+        last, newest = self._load()
         for identity, gen in sorted(seen):
             row, first_ts, frame_seq, copies = seen[identity, gen]
             before = last.get(identity)
-            accepted = before is None or gen >= before + 2
-            if accepted:
+            accepted = before is None or abs(gen - before) >= 2
+            if accepted and (before is None or gen > before):
                 last[identity] = gen
+            newest = gen if newest is None else max(newest, gen)
             yield _Decision(*[row[c] for c in KEY], gen, first_ts, frame_seq, copies, accepted)
-        self._save(last, timer, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        last, _ = self._load()
-        self._save(last, None, timerValues.getCurrentWatermarkInMs())
-        return iter(())
+        self._save(last, newest)
 
     def close(self) -> None:
         pass
 
-    def _forget_at(self, gen: int) -> int:
-        return (gen + 2) * self.window_ms
-
     def _load(self) -> tuple[dict[str, int], int | None]:
         state = self.memory.get()
         if state is None:
@@ -92,21 +87,13 @@ class GenerationRule(StatefulProcessor):
         table = pa.ipc.open_stream(bytes(state[0])).read_all()
         return dict(zip(table["key"].to_pylist(), table["gen"].to_pylist(), strict=True)), state[1]
 
-    def _save(self, last: dict[str, int], timer: int | None, watermark_ms: int) -> None:
-        kept = {k: gen for k, gen in last.items() if self._forget_at(gen) > watermark_ms}
-        due = self._forget_at(max(kept.values())) if kept else None
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if not kept:
-            self.memory.clear()
-            return
+    def _save(self, last: dict[str, int], newest: int | None) -> None:
+        kept = {k: gen for k, gen in last.items() if gen > newest - self.keep}
         table = pa.table({"key": pa.array(kept, pa.string()), "gen": pa.array(kept.values(), pa.int64())})
         block = pa.BufferOutputStream()
         with pa.ipc.new_stream(block, table.schema) as writer:
             writer.write_table(table)
-        self.memory.update((block.getvalue().to_pybytes(), due))
-        if timer != due:
-            self.handle.registerTimer(due)
+        self.memory.update((block.getvalue().to_pybytes(), newest))
 
 
 def _identity() -> Column:
@@ -125,28 +112,34 @@ def exact(
 ) -> DataFrame:
     """Decisions as in ``operators.dedup.decisions``, as ticks stream in.
 
-    ``lateness`` is how far behind the newest arrival a tick may still be; the window by default.
-    Event time plays no part in it, so a source with a slow clock is not cut off.
+    ``lateness`` is how far behind the newest arrival a tick may be and still meet everything it would
+    have met in order; the window by default. Later ones are judged by what is still remembered.
     """
+    window_ms = dedup.window_millis(window)
     late_ms = dedup.window_millis(window if lateness is None else lateness)
     return (
         combine(ticks, window, fold)
         .withColumn("identity", _identity())
         .withColumn("bucket", F.pmod(F.xxhash64("identity"), F.lit(buckets)))
-        .withWatermark("arrival_ts", f"{late_ms} milliseconds")
         .groupBy("bucket")
-        .transformWithState(GenerationRule(dedup.window_millis(window)), DECISIONS, "Append", "EventTime")
+        .transformWithState(GenerationRule(2 + -(-late_ms // window_ms)), DECISIONS, "Append", "None")
     )
 
 
-def within_watermark(
-    ticks: DataFrame, retention: timedelta = 2 * dedup.DEFAULT_WINDOW, fold: bool = True
-) -> DataFrame:
-    """Ticks whose key did not arrive within ``retention`` before."""
+def within_watermark(ticks: DataFrame, retention: timedelta = 2 * dedup.DEFAULT_WINDOW) -> DataFrame:
+    """Decisions by the JVM's own operator: accepted ticks only, none rejected.
+
+    A key is accepted unless it arrived within ``retention`` before. All of it runs in the JVM. Re-sends
+    show as the operator's dropped duplicates. Ticks further behind the newest arrival than ``retention``
+    are late and leave the flow here; ``jobs.reconciliation`` counts them from the landed table.
+    """
     retention_ms = dedup.window_millis(retention)
-    survivors = (
-        combine(ticks, retention, fold)
-        .withWatermark("arrival_ts", f"{retention_ms} milliseconds")
-        .dropDuplicatesWithinWatermark(KEY)
+    survivors = ticks.withWatermark("arrival_ts", f"{retention_ms} milliseconds").dropDuplicatesWithinWatermark(KEY)
+    return survivors.select(
+        *KEY,
+        dedup.generation(F.col("arrival_ts"), retention).alias("gen"),
+        "arrival_ts",
+        "frame_seq",
+        F.lit(1).cast("bigint").alias("copies"),
+        F.lit(True).alias("accepted"),
     )
-    return survivors.select(*KEY, F.col("first_ts").alias("arrival_ts"), "frame_seq")

@@ -20,9 +20,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quoteflow.config import JobConfig, SinkOptions
 from quoteflow.operators import audit, dedup, normalize
-from quoteflow.schemas import CLASSIFIED, STATUS_TICK, TICKS
+from quoteflow.schemas import CLASSIFIED, STATUS_TICK, STORE_COLUMNS, TICKS
 from quoteflow.sources.registry import bind_formats
-from quoteflow.sources.store import Sink, StoreMissing, TickStore
+from quoteflow.sources.store import Sink, StoreMissing, TickStore, path_exists
 from quoteflow.streaming import dedup as stream_dedup
 from quoteflow.streaming.sink import batch_writer, read_counters, read_dead_letter
 
@@ -39,6 +39,11 @@ class Folders:
     def normalized(self) -> str:
         return f"{self.base}/normalized"
 
+    @property
+    def normalized_runs(self) -> str:
+        """What batch runs have normalized; apart from the stream's files, which Spark keeps a log of."""
+        return f"{self.base}/normalized_runs"
+
     @property
     def store(self) -> TickStore:
         return TickStore(f"{self.base}/ticks")
@@ -75,7 +80,12 @@ def start_land(frames: DataFrame, folders: Folders, every: timedelta | None = No
 
 
 def landed(spark: SparkSession, folders: Folders) -> DataFrame:
-    return spark.read.schema(CLASSIFIED).parquet(folders.normalized)
+    """Everything normalized so far, by the stream and by batch runs."""
+    out = spark.createDataFrame([], CLASSIFIED)
+    for path in (folders.normalized, folders.normalized_runs):
+        if path_exists(spark, path):
+            out = out.unionByName(spark.read.schema(CLASSIFIED).parquet(path).select(CLASSIFIED.fieldNames()))
+    return out
 
 
 def landed_ticks(
@@ -96,12 +106,16 @@ def start_store(
     options: SinkOptions | None = None,
     deduplicate: Dedup | None = None,
     window: timedelta = dedup.DEFAULT_WINDOW,
+    buckets: int = stream_dedup.BUCKETS,
     every: timedelta | None = None,
 ) -> StreamingQuery:
-    """Deduplicate ticks and store them batch by batch."""
-    decide = deduplicate or (lambda df: stream_dedup.exact(df, window))
+    """Deduplicate ticks and store them batch by batch.
+
+    ``buckets`` is part of the checkpoint: choose it for the cluster when a flow is first started.
+    """
+    decide = deduplicate or (lambda df: stream_dedup.exact(df, window, buckets=buckets))
     write = batch_writer(
-        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions()
+        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions(), folders.store.ledger
     )
     writer = (
         decide(ticks)
@@ -115,29 +129,35 @@ def start_store(
 
 def run_available(
     frames: DataFrame, folders: Folders, *, sink: Sink | None = None, options: SinkOptions | None = None,
-    window: timedelta = dedup.DEFAULT_WINDOW,
+    window: timedelta = dedup.DEFAULT_WINDOW, deduplicate: Dedup | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> None:
     """Take every frame that is there through both queries, then end."""
     spark = frames.sparkSession
     start_land(frames, folders).awaitTermination()
-    ticks = landed_ticks(spark, folders)
-    start_store(ticks, folders, sink=sink, options=options, window=window).awaitTermination()
+    ticks = landed_ticks(spark, folders, max_files_per_trigger)
+    start_store(ticks, folders, sink=sink, options=options, window=window, deduplicate=deduplicate).awaitTermination()
 
 
-def start_flow(frames: DataFrame, config: JobConfig, sink: Sink | None = None) -> list[StreamingQuery]:
+def start_flow(
+    frames: DataFrame, config: JobConfig, sink: Sink | None = None, *, deduplicate: Dedup | None = None,
+    buckets: int = stream_dedup.BUCKETS, max_files_per_trigger: int | None = None,
+) -> list[StreamingQuery]:
     """Run both queries until they are stopped. The store must exist.
 
     What is already there is landed first, so that the store query finds the landed table.
+    ``max_files_per_trigger`` bounds how much one batch of the store query takes.
     """
     spark, folders, every = frames.sparkSession, Folders(config.store), config.sink.max_latency
     if not folders.store.exists(spark):
         raise StoreMissing(f"no tick table at {folders.store.path}; create it first")
     bound = bind_formats(frames, config.sources)
     start_land(bound, folders).awaitTermination()
-    ticks = landed_ticks(spark, folders)
+    ticks = landed_ticks(spark, folders, max_files_per_trigger)
     store = start_store(
-        ticks, folders, sink=sink, options=config.sink, window=config.dedup_window, every=every
-    )
+        ticks, folders, sink=sink, options=config.sink, deduplicate=deduplicate, window=config.dedup_window,
+        buckets=buckets, every=every,
+    )
     return [start_land(bound, folders, every), store]
 
 
@@ -168,22 +188,46 @@ def backlog(spark: SparkSession, folders: Folders) -> DataFrame:
 def tracked_keys(spark: SparkSession, folders: Folders) -> DataFrame:
     """Keys the deduplication remembers, per generation, from the counters of all batches."""
     accepted = F.sum(F.col("received") - F.col("deduplicated")).alias("accepted")
-    return dedup.tracked_keys(read_counters(spark, folders.counters).groupBy("gen").agg(accepted))
+    counters = read_counters(spark, folders.counters).filter("gen is not null")
+    return dedup.tracked_keys(counters.groupBy("gen").agg(accepted))
 
 
 def reconciliation(spark: SparkSession, folders: Folders) -> DataFrame:
-    """The accounting of a finished flow: landed ticks against re-sends, stored and dropped rows."""
-    counted = read_counters(spark, folders.counters).groupBy("source").agg(
-        F.sum("deduplicated").alias("deduplicated")
-    )
-    arrived = (
-        landed(spark, folders).filter(F.col("status") == STATUS_TICK)
-        .groupBy("source").agg(F.count(F.lit(1)).alias("received"))
-    )
+    """The accounting of a finished flow: landed ticks against re-sends, stored, dropped and late ones.
+
+    A tick that the deduplication never took is a re-send if an equal one is stored or in the dead letter,
+    and late if none is. ``exact`` takes every tick and counts its re-sends itself.
+    """
+    dead = read_dead_letter(spark, folders.dead_letter, folders.store.ledger)
+    stored = folders.store.rows(spark)
     zero = F.lit(0).cast("bigint")
-    counters = (
-        arrived.select("source", "received", zero.alias("deduplicated"))
-        .unionByName(counted.select("source", zero.alias("received"), "deduplicated"))
-        .groupBy("source").agg(F.sum("received").alias("received"), F.sum("deduplicated").alias("deduplicated"))
+    arrived = landed(spark, folders).filter(F.col("status") == STATUS_TICK).groupBy(*STORE_COLUMNS).agg(
+        F.count(F.lit(1)).alias("received")
     )
-    return audit.reconcile(counters, folders.store.rows(spark), read_dead_letter(spark, folders.dead_letter))
+    kept = stored.unionByName(dead.select(STORE_COLUMNS)).distinct()
+    missing = arrived.join(kept, STORE_COLUMNS, "left_anti").groupBy("source").agg(F.sum("received").alias("late"))
+    counted = read_counters(spark, folders.counters).groupBy("source").agg(
+        F.sum("deduplicated").alias("deduplicated"), F.sum("received").alias("taken")
+    )
+    names = ["received", "deduplicated", "taken", "late"]
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.select("source", *[F.col(n) if n in df.columns else zero.alias(n) for n in names])
+
+    per_source = arrived.groupBy("source").agg(F.sum("received").alias("received"))
+    sums = side(per_source).unionByName(side(counted)).unionByName(side(missing)).groupBy("source").agg(
+        *[F.sum(n).alias(n) for n in names]
+    )
+    counters = sums.select(
+        "source",
+        "received",
+        # what was not taken and isn't late has an equal tick that was accepted
+        (F.col("deduplicated") + F.col("received") - F.col("taken") - F.col("late")).alias("deduplicated"),
+        F.col("late").alias("late_dropped"),
+    )
+    return audit.reconcile(counters, stored, dead)
+
+
+def written_equals_stored(spark: SparkSession, folders: Folders) -> DataFrame:
+    """Per source, what the writer counted as written against the rows that are in the store."""
+    return audit.written_equals_stored(read_counters(spark, folders.counters), folders.store.rows(spark))

@@ -18,7 +18,7 @@ PROGRESS = T.StructType(
         T.StructField("input_rows", T.LongType()),
         T.StructField("input_rows_per_second", T.DoubleType()),
         T.StructField("processed_rows_per_second", T.DoubleType()),
-        T.StructField("tracked_keys", T.LongType()),
+        T.StructField("state_rows", T.LongType()),
         T.StructField("late_dropped", T.LongType()),
         T.StructField("deduplicated", T.LongType()),
     ]
@@ -26,7 +26,11 @@ PROGRESS = T.StructType(
 
 
 def progress_row(progress: Any) -> tuple:
-    """One micro-batch of one query. Late rows are counted here, by the operator that drops them."""
+    """One micro-batch of one query.
+
+    ``state_rows`` are rows of state, which for ``exact`` are buckets; remembered keys are in
+    ``jobs.tracked_keys``.
+    """
     state = progress.stateOperators
     return (
         progress.name,

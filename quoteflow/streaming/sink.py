@@ -2,8 +2,9 @@
 
 A failed write is tried again with growing, randomized pauses. When the attempts are used up the
 batch either goes to the dead-letter table and is counted as dropped, or the query fails and replays
-it from the checkpoint. Counters are written per batch id and replaced on replay, so a batch that
-runs twice counts once.
+it from the checkpoint. The ledger has the last word on where a batch's ticks are: a batch that is given
+up after the store took it, or stored after it was given up, is in one place only. Counters are written
+per batch id and replaced on replay, so a batch that runs twice counts once.
 """
 
 from __future__ import annotations
@@ -15,14 +16,13 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.config import SinkOptions
 from quoteflow.schemas import DECIMAL, STORE_COLUMNS
-from quoteflow.sources.store import Sink
+from quoteflow.sources.store import DROPPED, Ledger, Sink, TickStore, new_attempt, path_exists
 
 log = logging.getLogger(__name__)
 
@@ -49,6 +49,7 @@ DEAD_LETTER = T.StructType(
         T.StructField("frame_seq", T.LongType()),
         T.StructField("error", T.StringType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 
@@ -79,22 +80,34 @@ def batch_writer(
     dead_letter_path: str,
     counters_path: str,
     options: SinkOptions,
+    ledger: Ledger,
     sleep: Callable[[float], None] = time.sleep,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function over dedup decisions."""
+    """A ``foreachBatch`` function over dedup decisions.
+
+    ``ledger`` is that of the tick store; with another sink it only says what became of each batch.
+    """
+    first = True
 
     def write(decided: DataFrame, batch_id: int) -> None:
+        nonlocal first
+        spark = decided.sparkSession
         # Several writes read the batch; it is as large as one trigger allows, and spills to disk.
         decided.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if decided.isEmpty():
                 return
             accepted = decided.filter("accepted")
+            if first and ledger.replaced(spark, batch_id):
+                return  # given up, replayed by hand, and now replayed from the checkpoint as well
+            first = False
             error = write_with_retry(lambda: store(accepted, batch_id), options, sleep)
             if error is not None:
                 if options.on_exhausted == "fail":
                     raise error
-                _replace(_dead_rows(accepted, str(error)), dead_letter_path, batch_id)
+                attempt = new_attempt()
+                _add(_dead_rows(accepted, str(error), attempt), dead_letter_path, batch_id, "attempt")
+                ledger.settle(spark, batch_id, attempt, DROPPED)
             _replace(_counters(decided, stored=error is None), counters_path, batch_id)
         finally:
             decided.unpersist()
@@ -112,13 +125,19 @@ def _counters(decided: DataFrame, stored: bool) -> DataFrame:
     )
 
 
-def _dead_rows(accepted: DataFrame, error: str) -> DataFrame:
-    return accepted.select(*STORE_COLUMNS, "arrival_ts", "frame_seq", F.lit(error[:1000]).alias("error"))
+def _dead_rows(accepted: DataFrame, error: str, attempt: str) -> DataFrame:
+    return accepted.select(
+        *STORE_COLUMNS, "arrival_ts", "frame_seq", F.lit(error).alias("error"), F.lit(attempt).alias("attempt")
+    )
+
+
+def _with_batch(df: DataFrame, batch_id: int) -> DataFrame:
+    return df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
 
 
 def _replace(df: DataFrame, path: str, batch_id: int) -> None:
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        _with_batch(df, batch_id)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
@@ -126,22 +145,41 @@ def _replace(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def _add(df: DataFrame, path: str, batch_id: int, *below: str) -> None:
+    _with_batch(df, batch_id).write.mode("append").partitionBy("batch_id", *below).parquet(path)
+
+
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """Received, deduplicated, written and dropped per batch, source and generation."""
     return _read_or_empty(spark, path, COUNTERS)
 
 
-def read_dead_letter(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, path, DEAD_LETTER)
+def read_dead_letter(spark: SparkSession, path: str, ledger: Ledger) -> DataFrame:
+    """The ticks of batches that are given up as things stand."""
+    return ledger.visible(_read_or_empty(spark, path, DEAD_LETTER), DROPPED)
+
 
+def replay_dead_letter(spark: SparkSession, path: str, store: TickStore, counters_path: str, batch_id: int) -> None:
+    """Move everything in the dead-letter table into the store, as one batch.
 
-def replay_dead_letter(spark: SparkSession, path: str, store: Sink, batch_id: int) -> None:
-    """Write everything in the dead-letter table as one batch. Choose an id no stream uses."""
-    store(read_dead_letter(spark, path), batch_id)
+    Choose an id that no stream uses. The ledger row that makes the ticks visible in the store is the
+    one that takes them out of the dead letter. Counters get what was written and is no longer dropped.
+    """
+    dead = read_dead_letter(spark, path, store.ledger)
+    ids = [r[0] for r in dead.select("batch_id").distinct().collect()]  # one for each batch given up
+    if not ids:
+        return
+    moved = dead.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    counted = moved.select(
+        "source", F.lit(None).cast("bigint").alias("gen"), zero.alias("received"), zero.alias("deduplicated"),
+        n.alias("written"), (-n).alias("dropped"),
+    )
+    _replace(counted, counters_path, batch_id)
+    store.write(dead, batch_id, replaces=ids)
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing was ever written there
+    if not path_exists(spark, path):  # nothing was ever written there
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -13,7 +13,7 @@ def at(seconds=0.0):
     return T0 + timedelta(seconds=seconds)
 
 
-def tick(seconds=0.0, seq=0, source="exchange-a", ticker="BTC-USD", price=100, volume=1, ts=None, sub=0):
+def tick(seconds=0.0, seq=0, source="exchange-a", ticker="KIWI/NZD", price=100, volume=1, ts=None, sub=0):
     return (source, ticker, Decimal(price), Decimal(volume), ts or T0, sub, at(seconds), seq)
 
 

@@ -4,10 +4,9 @@ from datetime import timedelta
 
 import pytest
 from helpers import at, frames
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quoteflow.config import ConfigError, JobConfig, SinkOptions, Source
+from quoteflow.config import ConfigError, JobConfig, SinkOptions, Source, check_sources
 from quoteflow.operators.fanin import fan_in
 from quoteflow.operators.normalize import classify, ticks
 from quoteflow.sources.frames import from_kafka, read_frames, stream_frames, text_frames
@@ -71,17 +70,25 @@ def test_rejects_sink_options(given):
 
 def test_binding_gives_each_source_its_format(spark):
     sources = [Source("exchange-a", "u", "C"), Source("exchange-b", "u", "B")]
-    df = frames(spark, [("A", "x|1|1|1"), ("B", '{"type":"heartbeat"}')]).drop("format")
+    df = frames(spark, [("A", "x|1|1|1"), ("B", '{"alive":true}')]).drop("format")
     bound = bind_formats(df, sources)
     assert "BroadcastHashJoin" in bound._jdf.queryExecution().executedPlan().toString()
     rows = classify(bound).orderBy("frame_seq").select("format", "status").collect()
     assert [tuple(r) for r in rows] == [("C", "tick"), ("B", "ignored")]
 
 
-def test_a_source_that_is_not_registered_fails_the_job(spark):
-    bound = bind_formats(frames(spark, [("A", "x")]).drop("format"), [Source("other", "u", "A")])
-    with pytest.raises(PySparkException, match="unknown source format"):
-        classify(bound).collect()
+def test_frames_of_a_source_that_is_not_registered_are_quarantined(spark):
+    bound = bind_formats(frames(spark, [("A", "x"), ("C", "a|1|1|1")]).drop("format"), [Source("exchange-c", "u", "C")])
+    rows = classify(bound).orderBy("frame_seq").select("status", "reason").collect()
+    assert [tuple(r) for r in rows] == [("parse_error", "unknown_format"), ("tick", None)]
+
+
+def test_a_name_is_registered_once(spark):
+    twice = [{"name": "x", "uri": "u", "format": "A"}, {"name": " x ", "uri": "v", "format": "B"}]
+    with pytest.raises(ConfigError, match="more than once"):
+        check_sources(twice)
+    with pytest.raises(ConfigError, match="more than once"):
+        bind_formats(frames(spark, [("A", "x")]), [Source("x", "u", "A")] * 2)
 
 
 def test_fan_in_keeps_everything_of_every_feed(spark):
@@ -95,8 +102,9 @@ def test_fan_in_keeps_everything_of_every_feed(spark):
 def test_text_feed(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x|1|1|1\n   \nbroken\n")
     feed = text_frames(spark, str(tmp_path), "exchange-c", "C")
-    rows = classify(feed).orderBy("frame_seq").select("status").collect()
-    assert [r.status for r in rows] == ["tick", "ignored", "parse_error"]
+    assert feed.select("frame_seq").distinct().count() == 3
+    rows = classify(feed).select("status").collect()
+    assert sorted(r.status for r in rows) == ["ignored", "parse_error", "tick"]
 
 
 @pytest.mark.parametrize("file_format", ["parquet", "json", "orc"])

@@ -48,7 +48,12 @@ def store(spark, folder):
 
 def writer(folder, sink, **options):
     options = SinkOptions(**{**QUICK, **options})
-    return batch_writer(sink, f"{folder}/dead", f"{folder}/counters", options, sleep=lambda s: None)
+    ledger = TickStore(f"{folder}/ticks").ledger
+    return batch_writer(sink, f"{folder}/dead", f"{folder}/counters", options, ledger, sleep=lambda s: None)
+
+
+def dead_letter(spark, folder):
+    return read_dead_letter(spark, f"{folder}/dead", TickStore(f"{folder}/ticks").ledger)
 
 
 def totals(spark, folder):
@@ -57,9 +62,10 @@ def totals(spark, folder):
 
 
 def test_round_trip_keeps_decimals_exact(spark, store):
-    when = datetime(2026, 7, 30, 12)
+    when = datetime(2025, 2, 3, 4, 5, 6, 789)
+    widest = Decimal("12345678901234567890.123456789012345678")
     df = spark.createDataFrame(
-        [("exchange-a", "BTC-USD", Decimal("65000.50"), Decimal("1.25"), when), ("exchange-b", "ETH-USD", Decimal("3200.00"), Decimal(10), when)],
+        [("exchange-c", "KIWI/NZD", widest, Decimal("0.000000000000000001"), when), ("exchange-b", "", -widest, Decimal(0), when)],
         STORE,
     )
     store.sink()(df, 0)
@@ -94,7 +100,7 @@ def test_writing_a_batch_again_replaces_it(spark, store):
 
 def test_a_batch_is_cut_into_files_of_the_given_size(spark, store):
     store.sink(files_per_batch=1, max_records_per_file=10)(rows(spark, 25), 0)
-    files = glob.glob(f"{store.path}/event_date=*/batch_id=0/*.parquet")
+    files = glob.glob(f"{store.path}/event_date=*/batch_id=0/attempt=*/*.parquet")
     assert sorted(pq.read_metadata(f).num_rows for f in files) == [5, 10, 10]
 
 
@@ -108,7 +114,7 @@ def test_reads_by_day_skip_other_days(spark, store):
 def test_the_store_as_a_catalog_table(spark, store):
     store.sink()(rows(spark, 3), 0)
     ddl = store.ddl("stored_ticks")
-    assert "price decimal(38,18) NOT NULL" in ddl and "PARTITIONED BY (event_date, batch_id)" in ddl
+    assert "price decimal(38,18) NOT NULL" in ddl and "PARTITIONED BY (event_date, batch_id, attempt)" in ddl
     spark.sql(ddl)
     try:
         spark.catalog.recoverPartitions("stored_ticks")
@@ -128,7 +134,7 @@ def test_retries_then_a_counted_drop(spark, store, folder, attempts, failures, w
     assert totals(spark, folder) == (written, dropped)
     assert sink.calls == calls
     assert store.rows(spark).count() == written
-    dead = read_dead_letter(spark, f"{folder}/dead")
+    dead = dead_letter(spark, folder)
     assert dead.count() == dropped
     if dropped:
         assert dead.first().error == "store down"
@@ -141,8 +147,53 @@ def test_the_next_batch_is_written_after_a_drop_and_the_drop_can_be_replayed(spa
     write(rows(spark, 5, first=5), 1)
     assert totals(spark, folder) == (5, 5)
     assert sink.calls == 4
-    replay_dead_letter(spark, f"{folder}/dead", store.sink(), batch_id=-1)
-    assert store.rows(spark).select("price").distinct().count() == 10
+    for _ in range(2):  # a second replay finds nothing
+        replay_dead_letter(spark, f"{folder}/dead", store, f"{folder}/counters", batch_id=-1)
+        assert store.rows(spark).count() == store.rows(spark).select("price").distinct().count() == 10
+        assert dead_letter(spark, folder).isEmpty() and totals(spark, folder) == (10, 0)
+    # the stream comes back to the batch that was replayed by hand
+    writer(folder, store.sink())(rows(spark, 5), 0)
+    assert store.rows(spark).count() == 10
+
+
+def test_a_batch_that_was_given_up_and_then_stored_is_in_the_store_only(spark, store, folder):
+    writer(folder, Faulty(store.sink(), 9), max_attempts=2)(rows(spark, 5), 0)
+    assert dead_letter(spark, folder).count() == 5
+    writer(folder, store.sink())(rows(spark, 5), 0)
+    assert store.rows(spark).count() == 5 and dead_letter(spark, folder).isEmpty()
+    assert totals(spark, folder) == (5, 0)
+
+
+def test_a_batch_that_was_stored_and_then_given_up_is_in_the_dead_letter_only(spark, store, folder):
+    sink = store.sink()
+
+    def commits_then_fails(batch, batch_id):
+        sink(batch, batch_id)
+        raise TimeoutError("no answer " + "x" * 2000)
+
+    writer(folder, commits_then_fails, max_attempts=2)(rows(spark, 5), 0)
+    assert store.rows(spark).isEmpty() and totals(spark, folder) == (0, 5)
+    assert {len(r.error) for r in dead_letter(spark, folder).collect()} == {2010}
+
+
+def test_a_batch_of_several_days_is_there_as_a_whole_or_not_at_all(spark, store):
+    long = dedup.decisions(ticks(spark, [tick(0, i, ts=datetime(2025, 1, 1 + i)) for i in range(3)]))
+    store.sink()(long, 0)
+    short = dedup.decisions(ticks(spark, [tick(0, 9, ts=datetime(2025, 1, 2))]))
+    store.sink()(short, 0)  # no day of the first attempt survives
+    assert [r.ts.day for r in store.rows(spark).collect()] == [2]
+    # files without a ledger row, as an attempt that was cut off leaves them
+    stray = store.scan(spark).drop("batch_id").selectExpr("*", "5L AS batch_id").select(*store.scan(spark).columns)
+    stray.write.mode("append").partitionBy("event_date", "batch_id", "attempt").parquet(store.path)
+    assert store.rows(spark).count() == 1
+
+
+def test_a_write_lists_nothing_but_the_ledger(spark, store, monkeypatch):
+    store.sink()(rows(spark, 3), 0)
+    read = []
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths: read.extend(paths))
+    store.sink()(rows(spark, 3), 1)
+    assert not [p for p in read if not p.endswith("_ledger")]
 
 
 def test_failing_mode_raises_and_counts_nothing(spark, store, folder):

@@ -1,5 +1,7 @@
 """Streams against the batch operators, across restarts and faults."""
 
+import glob
+import os
 import random
 import time
 from datetime import timedelta
@@ -7,13 +9,15 @@ from datetime import timedelta
 import pytest
 from helpers import at, tick, ticks
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quoteflow.config import JobConfig, SinkOptions
 from quoteflow.operators import dedup, normalize
+from quoteflow.plans import event_feed
 from quoteflow.plans.batch import run_batch
 from quoteflow.schemas import FRAMES, KEY, TICKS
-from quoteflow.sources.frames import stream_frames
+from quoteflow.sources.frames import stream_frames, text_frames
 from quoteflow.sources.store import StoreMissing
 from quoteflow.streaming import dedup as stream_dedup
 from quoteflow.streaming import jobs
@@ -56,24 +60,82 @@ def test_exact_dedup_across_restarts_equals_the_batch_result(spark, folder, fold
     assert same(got, dedup.decisions(ticks(spark, rows)).select(DECISION))
 
 
-def test_state_is_forgotten_when_it_cannot_matter_any_more(spark, folder):
-    landing = f"{folder}/ticks"
-    for k in range(4):
-        ticks(spark, [tick(k * 600, 0, ticker=f"A{k}"), tick(k * 600 + 1, 1, ticker=f"B{k}")]).write.mode(
-            "append"
-        ).parquet(landing)
-        query = drain(stream_dedup.exact(spark.readStream.schema(TICKS).parquet(landing)), folder)
-    # two keys per run; those of earlier runs are long past
-    assert [progress_row(p)[6] for p in query.recentProgress][-1] <= 4
+def test_state_is_forgotten_when_it_cannot_matter_any_more():
+    rule = stream_dedup.GenerationRule(keep=3)
+    state = {}
+
+    class Memory:
+        def get(self):
+            return state.get("x")
+
+        def update(self, value):
+            state["x"] = value
 
+    rule.memory = Memory()
+    row = lambda key, gen: Row(**{c: c for c in KEY}, identity=key, gen=gen, first_ts=gen, frame_seq=0, copies=1)
+    for gen in range(0, 50, 2):
+        list(rule.handleInputRows((0,), iter([row(f"{gen}-{i}", gen) for i in range(100)]), None))
+        assert len(rule._load()[0]) <= 200
+    assert sorted({g for g in rule._load()[0].values()}) == [46, 48]
 
-def test_late_ticks_are_dropped_and_counted(spark, folder):
+
+def test_a_tick_out_of_order_meets_its_neighbours_and_none_is_lost(spark, folder):
     landing = f"{folder}/ticks"
-    for rows in ([tick(0, 0), tick(3600, 1, price=2)], [tick(5, 2, price=3)]):
-        ticks(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+    # generations 10, then 9 (a re-send of what is stored), 30, then 12 (long past: taken)
+    for k, gen in enumerate((10, 9, 30, 12)):
+        ticks(spark, [tick(gen * 120, k), tick(gen * 120 + 1, 10 + k, price=500 + k)]).coalesce(1).write.mode("append").parquet(landing)
         query = drain(stream_dedup.exact(spark.readStream.schema(TICKS).parquet(landing)), folder)
-    assert sum(progress_row(p)[7] for p in query.recentProgress) == 1
-    assert spark.read.parquet(f"{folder}/out").count() == 2
+    got = spark.read.schema(stream_dedup.DECISIONS).parquet(f"{folder}/out")
+    first = {(r.arrival_ts - at(0).replace(tzinfo=None)).total_seconds() // 120: r.accepted for r in got.filter("price = 100").collect()}
+    assert first == {10: True, 9: False, 30: True, 12: True}
+    assert got.count() == 8 and not any(progress_row(p)[7] for p in query.recentProgress)
+
+
+def test_late_ticks_of_the_watermark_policy_are_accounted_for(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    policy = lambda df: stream_dedup.within_watermark(df, timedelta(minutes=4))
+    for seconds in ([0, 1, 5000], [5001], [2, 3, 5002]):
+        rows = [("exchange-c", "C", f"SYM|{s}|1|{s}", at(s), s) for s in seconds]
+        jobs.run_available(land(spark, folder, rows), folders, deduplicate=policy)
+    row = balanced(spark, folders)
+    assert (row.received, row.written, row.late_dropped) == (7, 5, 2)
+
+
+def test_batch_runs_add_up_and_a_repeated_run_replaces_itself(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    for run, first in ((0, 0), (1, 20), (1, 20)):
+        run_batch(spark.createDataFrame(frame_rows(first, 20, 0), FRAMES), folders, run=run)
+    jobs.run_available(land(spark, folder, frame_rows(40, 20, 0)), folders)
+    row = balanced(spark, folders)
+    assert (row.received, row.deduplicated, row.written, row.late_dropped) == (96, 48, 48, 0)
+    assert jobs.landed(spark, folders).count() == 120
+    assert [tuple(r) for r in jobs.written_equals_stored(spark, folders).collect()] == [("exchange-c", 48, 48, True)]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_events_stream_from_one_file_or_many(spark, folder, many):
+    whole = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    whole.repartition(3 if many else 1).write.parquet(f"{folder}/events.parquet")
+    if not many:
+        part = glob.glob(f"{folder}/events.parquet/part-*.parquet")[0]
+        folder = f"{folder}/single"
+        os.makedirs(folder)
+        os.link(part, f"{folder}/events.parquet")
+    stream = event_feed.stream_events(spark, folder).select("event_id")
+    drain(stream, f"{folder}/drained")
+    assert spark.read.parquet(f"{folder}/drained/out").distinct().count() == whole.count() == 1000
+
+
+def test_text_lines_stream_and_read_alike(spark, folder):
+    os.makedirs(f"{folder}/lines")
+    with open(f"{folder}/lines/a.txt", "w") as f:
+        f.write("KIWI|1|1|5\nKIWI|2|1|5\n")
+    drain(text_frames(spark, f"{folder}/lines", "exchange-c", "C", stream=True), folder)
+    streamed = spark.read.schema(FRAMES).parquet(f"{folder}/out")
+    assert same(streamed, text_frames(spark, f"{folder}/lines", "exchange-c", "C"))
+    assert normalize.ticks(normalize.classify(streamed)).count() == 2
 
 
 def test_watermark_dedup_keeps_one_of_every_key(spark, folder):
@@ -81,7 +143,7 @@ def test_watermark_dedup_keeps_one_of_every_key(spark, folder):
     rows = tick_rows(900, 500, 30)
     ticks(spark, rows).write.parquet(landing)
     stream = spark.readStream.schema(TICKS).parquet(landing)
-    query = drain(stream_dedup.within_watermark(stream, timedelta(minutes=10), fold=False), folder)
+    query = drain(stream_dedup.within_watermark(stream, timedelta(minutes=10)), folder)
     got = spark.read.parquet(f"{folder}/out").select(KEY)
     assert same(got, ticks(spark, rows).select(KEY).distinct())
     assert sum(progress_row(p)[8] for p in query.recentProgress) == 900 - got.count()
