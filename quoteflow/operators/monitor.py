@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.numbers import safe_ratio
 from quoteflow.operators import dedup
+from quoteflow.operators.spans import carry
 from quoteflow.schemas import KEY, METRICS, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK
 
 OUTBOUND_CAPACITY = 10_000
+GENERATIONS_IN_A_SPAN = 720
 IDLE_TIMEOUT = timedelta(seconds=10)
 
 
@@ -78,18 +80,20 @@ def metrics(
         *[F.sum(c).alias(c) for c in ("received", "parse_errors", "ignored", "deduplicated")],
         F.count(F.lit(1)).alias("connections_up"),
     )
-    so_far = Window.partitionBy(F.lit("run")).orderBy("gen").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    sums = ["received", "parse_errors", "ignored", "deduplicated", "accepted"]
+    added = carry(
+        dedup.tracked_keys(per_generation), [], F.floor(F.col("gen") / GENERATIONS_IN_A_SPAN), ["gen"],
+        running={f"{c}_so_far": ("sum", c) for c in sums},
+    )
     zero = F.lit(0).cast("bigint")
-    return dedup.tracked_keys(per_generation).select(
+    return added.select(
         F.timestamp_millis((F.col("gen") + 1) * dedup.window_millis(window)).alias("ts"),
-        F.sum("received").over(so_far).alias("received"),
-        F.sum("parse_errors").over(so_far).alias("parse_errors"),
-        F.sum("ignored").over(so_far).alias("ignored"),
+        F.col("received_so_far").alias("received"),
+        F.col("parse_errors_so_far").alias("parse_errors"),
+        F.col("ignored_so_far").alias("ignored"),
         zero.alias("late_dropped"),
-        F.sum("deduplicated").over(so_far).alias("deduplicated"),
-        F.sum("accepted").over(so_far).alias("written"),
+        F.col("deduplicated_so_far").alias("deduplicated"),
+        F.col("accepted_so_far").alias("written"),
         zero.alias("dropped"),
         "tracked_keys",
         F.col("accepted").alias("outbound_count"),
@@ -116,12 +120,12 @@ def received_rate(metrics_df: DataFrame, run: list[str] | None = None) -> DataFr
 
     The first snapshot has nothing to compare with and has no rate.
     """
-    in_order = Window.partitionBy(*(run or [F.lit("run")])).orderBy("ts", "received")
-    seconds = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_order))) / 1_000_000
-    delta = F.col("received") - F.lag("received").over(in_order)
-    return metrics_df.withColumn(
-        "received_per_second", F.when(seconds > 0, delta / seconds).when(seconds <= 0, F.lit(0.0))
-    )
+    before = {"_ts_before": "ts", "_received_before": "received"}
+    known = carry(metrics_df, run or [], F.to_date("ts"), ["ts", "received"], lagged=before)
+    seconds = (F.unix_micros("ts") - F.unix_micros("_ts_before")) / 1_000_000
+    delta = F.col("received") - F.col("_received_before")
+    rate = F.when(seconds > 0, delta / seconds).when(seconds <= 0, F.lit(0.0))
+    return known.withColumn("received_per_second", rate).drop(*before)
 
 
 # The line operators read once per interval.
@@ -152,10 +156,7 @@ def stats_line(rated: DataFrame) -> DataFrame:
 
 def high_water(metrics_df: DataFrame) -> DataFrame:
     """Add the most rows that waited for the store up to each snapshot."""
-    so_far = Window.partitionBy(F.lit("run")).orderBy("ts").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return metrics_df.withColumn("high_water", F.max("outbound_count").over(so_far))
+    return carry(metrics_df, [], F.to_date("ts"), ["ts"], running={"high_water": ("max", "outbound_count")})
 
 
 def throughput(classified: DataFrame, interval: str = "1 second") -> DataFrame:
@@ -191,8 +192,8 @@ def _cells(frames: DataFrame, width: timedelta) -> DataFrame:
 
 
 def _silence(cells: DataFrame) -> DataFrame:
-    by_source = Window.partitionBy("source").orderBy("cell")
-    return cells.withColumn("heard_before", F.lag("last").over(by_source))
+    """Cells with the arrival before each, a day's cells of a source at a time."""
+    return carry(cells, ["source"], F.to_date("first"), ["cell"], lagged={"heard_before": "last"})
 
 
 def _longer_than(width: timedelta) -> Column:
@@ -211,14 +212,10 @@ def idle_gaps(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame
 
 def sessions(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame:
     """Stretches in which a source was never silent for longer than ``timeout``."""
-    so_far = Window.partitionBy("source").orderBy("cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     starts = F.when(F.col("heard_before").isNull() | _longer_than(timeout), F.col("cell"))
+    begun = _silence(_cells(frames, timeout)).withColumn("_starts", starts)
     return (
-        _silence(_cells(frames, timeout))
-        .withColumn("_starts", starts)
-        .withColumn("_session", F.max("_starts").over(so_far))
+        carry(begun, ["source"], F.to_date("first"), ["cell"], running={"_session": ("max", "_starts")})
         .groupBy("source", "_session")
         .agg(F.min("first").alias("session_start"), F.max("last").alias("session_end"), F.sum("frames").alias("frames"))
         .drop("_session")

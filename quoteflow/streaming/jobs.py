@@ -9,6 +9,8 @@ can be recomputed from the tables the queries leave behind.
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -162,13 +164,19 @@ def start_flow(
 
 
 def stop_gracefully(queries: list[StreamingQuery], deadline: timedelta = timedelta(seconds=10)) -> bool:
-    """Let running micro-batches finish, then stop; False if the deadline cut one short.
+    """Stop the queries in order, each after it has taken what the one before it left.
 
-    Nothing is lost either way: an unfinished batch is taken again after a restart.
+    The first takes no more once its running micro-batch ends; the others drain first. False if the
+    deadline cut one short. Nothing is lost either way: what was not taken is taken after a restart.
     """
     until = time.monotonic() + deadline.total_seconds()
     clean = True
-    for query in queries:
+    for nth, query in enumerate(queries):
+        if nth and query.isActive:
+            drain = threading.Thread(target=_drained, args=(query,), daemon=True)
+            drain.start()
+            drain.join(max(0.0, until - time.monotonic()))
+            clean &= not drain.is_alive()
         while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
             time.sleep(0.05)
         clean &= not (query.isActive and query.status["isTriggerActive"])
@@ -176,6 +184,11 @@ def stop_gracefully(queries: list[StreamingQuery], deadline: timedelta = timedel
     return clean
 
 
+def _drained(query: StreamingQuery) -> None:
+    with contextlib.suppress(Exception):  # stopped or failed meanwhile: the query itself says so
+        query.processAllAvailable()
+
+
 def backlog(spark: SparkSession, folders: Folders) -> DataFrame:
     """Per source, ticks that have landed and were not yet taken by the store query."""
     arrived = landed(spark, folders).filter(F.col("status") == STATUS_TICK).groupBy("source").count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.operators import audit, monitor
 from quoteflow.operators.normalize import classify
+from quoteflow.operators.spans import carry
 from quoteflow.schemas import FRAMES, METRICS, SOURCES, STORE
 
 ZERO = dict.fromkeys(METRICS.fieldNames(), 0)
@@ -46,6 +47,25 @@ def test_every_gauge_has_its_own_place_in_the_line(spark):
     assert line == "stats recv/s=1 recv=11 parse=22 dedup=33 written=44 dropped=55 fill=0% keys=66 conns=77/88"
 
 
+def test_values_are_carried_over_spans(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), t, rng.choice([None, *range(9)])) for t in range(200)]
+    df = carry(
+        spark.createDataFrame(rows, "k string, t long, x long"), ["k"], F.floor(F.col("t") / 7), ["t"],
+        lagged={"before": "t"}, running={"sum": ("sum", "x"), "top": ("max", "x")},
+    )
+    assert df.columns == ["k", "t", "x", "before", "sum", "top"]
+    want, last, xs = [], {}, {}
+    for k, t, x in rows:
+        known = xs.setdefault(k, [])
+        known += [x] if x is not None else []
+        want.append((k, t, x, last.get(k), sum(known) if known else None, max(known, default=None)))
+        last[k] = t
+    got = sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
+    # a sum of nothing yet may be 0 or null
+    assert [(*r[:4], r[4] or 0, r[5]) for r in got] == [(*r[:4], r[4] or 0, r[5]) for r in want]
+
+
 def test_high_water(spark):
     df = snapshots(spark, *[{"ts": at(i), "outbound_count": n} for i, n in enumerate([3, 9, 4, 12, 0])])
     assert [r.high_water for r in monitor.high_water(df).orderBy("ts").collect()] == [3, 9, 9, 12, 12]

@@ -284,7 +284,7 @@ def test_a_running_flow_stores_on_its_own_and_stops_gracefully(spark, folder):
     with pytest.raises(StoreMissing):
         jobs.start_flow(frames, config)
     folders.store.create(spark)
-    recorder = ProgressRecorder()
+    recorder = ProgressRecorder(f"{folder}/progress", every=2)
     spark.streams.addListener(recorder)
     queries = jobs.start_flow(frames, config)
     try:
@@ -293,11 +293,13 @@ def test_a_running_flow_stores_on_its_own_and_stops_gracefully(spark, folder):
         while folders.store.rows(spark).count() < 32 and time.monotonic() < until:
             time.sleep(0.2)
     finally:
-        clean = jobs.stop_gracefully(queries, timedelta(seconds=30))
+        clean = jobs.stop_gracefully(queries, timedelta(seconds=60))
         spark.streams.removeListener(recorder)
     assert clean and not any(q.isActive for q in queries)
     row = balanced(spark, folders)
     assert (row.received, row.written) == (64, 32)
+    recorder.flush(spark)
+    assert not recorder.rows
     seen = recorder.table(spark)
     assert {r.query for r in seen.select("query").distinct().collect()} >= {"land", "store"}
     assert seen.filter("fill < 0 OR ts IS NULL").count() == 0
