@@ -13,13 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, which bounds what a Python worker holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at once, unless the session asks for another number than Spark's own.
+ROWS_AT_ONCE = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest(df: DataFrame) -> DataFrame:
+    """The same table, in a session that sends Python workers texts in batches of a few megabytes."""
+    if df.sparkSession.conf.get(_ROWS) == "10000":
+        df.sparkSession.conf.set(_ROWS, str(ROWS_AT_ONCE))
+    return df
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A new folder that every executor reaches: below ``spark.checkpoint.dir``.
 

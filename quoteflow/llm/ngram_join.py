@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, pieces, sliced
+from quoteflow.llm.common import cut, modest, pieces, sliced
 from quoteflow.llm.components import components
 from quoteflow.llm.words import mix, shingles, words
 
 #: N-grams in a block that one group function holds.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: N-grams that a map task gathers before it deals them out.
-GATHER = 1_500_000
+GATHER = 750_000
 _CELLS = 8
 _SETS = "id long, n int, k1 long, k2 long, " + ", ".join(f"c{i} int" for i in range(_CELLS))
 _PACKED = "bucket int, ids binary, sizes binary, at binary, low binary, mid binary"
@@ -239,7 +239,7 @@ def _suffix(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _tidy(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(
+    return modest(docs).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")
     )
 
