@@ -31,6 +31,7 @@ class SinkOptions:
 
     batch_size: int = 500  # rows per round trip to a database, see sources.store.jdbc_sink
     max_latency: timedelta = timedelta(seconds=1)  # time between micro-batches
+    max_files: int | None = None  # landed files that one micro-batch takes, which bounds its size
     max_attempts: int = 5
     backoff_initial: timedelta = timedelta(milliseconds=200)
     backoff_max: timedelta = timedelta(seconds=5)
@@ -40,6 +41,8 @@ class SinkOptions:
     def __post_init__(self) -> None:
         if self.max_attempts < 1:
             raise ConfigError("max_attempts must be at least 1")
+        if self.batch_size < 1 or (self.max_files is not None and self.max_files < 1):
+            raise ConfigError("batch_size and max_files must be at least 1")
         if self.backoff_initial <= timedelta(0):
             raise ConfigError("backoff_initial must be positive")
         if self.backoff_max < self.backoff_initial:

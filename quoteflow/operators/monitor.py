@@ -210,6 +210,22 @@ def idle_gaps(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame
     )
 
 
+def idle_alarms(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT, lateness: timedelta = IDLE_TIMEOUT) -> DataFrame:
+    """A streaming row for each source that fell silent: since when, and the frames it sent before.
+
+    It comes once the stream as a whole is ``timeout`` and ``lateness`` past the source's last frame, so
+    other sources have to be heard. Frames are folded into sessions before and after the shuffle.
+    """
+    width = f"{int(timeout.total_seconds() * 1_000_000)} microseconds"
+    late = f"{int(lateness.total_seconds() * 1_000_000)} microseconds"
+    return (
+        frames.select("source", "arrival_ts").withWatermark("arrival_ts", late)
+        .groupBy("source", F.session_window("arrival_ts", width))
+        .agg(F.max("arrival_ts").alias("idle_from"), F.count(F.lit(1)).alias("frames"))
+        .select("source", "idle_from", "frames")
+    )
+
+
 def sessions(frames: DataFrame, timeout: timedelta = IDLE_TIMEOUT) -> DataFrame:
     """Stretches in which a source was never silent for longer than ``timeout``."""
     starts = F.when(F.col("heard_before").isNull() | _longer_than(timeout), F.col("cell"))

@@ -392,6 +392,16 @@ def source_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(monitor.sessions(_frames(spark, sf_dir), SILENCE))
 
 
+@_query
+def stream_idle_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that fell silent while frames streamed in, in three micro-batches."""
+    base, alarms = scratch_dir(spark, "stream-idle"), None
+    for landing in _landing(spark, sf_dir, base, 3):
+        stream = monitor.idle_alarms(stream_frames(spark, landing), SILENCE, timedelta(minutes=10))
+        alarms = _run_to_table(stream, base)
+    return _plain(alarms)
+
+
 @_query
 def live_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(monitor.live_sources(_frames(spark, sf_dir), SILENCE))

@@ -277,6 +277,16 @@ FROM heard WHERE at_us - before_us > {_SILENCE}""",
   FROM heard)
 SELECT source, min(at_us) AS session_start_us, max(at_us) AS session_end_us, count(*) AS frames
 FROM s GROUP BY source, n""",
+        ),
+        "stream_idle_sources": _with(
+            _GAPS,
+            f""", s AS (
+  SELECT source, at_us,
+         sum(CASE WHEN before_us IS NULL OR at_us - before_us > {_SILENCE} THEN 1 ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS n
+  FROM heard)
+SELECT source, max(at_us) AS idle_from_us, count(*) AS frames FROM s GROUP BY source, n
+HAVING max(at_us) + {_SILENCE} <= (SELECT max(at_us) FROM fr) - 10 * 60 * 1000000""",
         ),
         "live_sources": _with(
             _FRAMES,

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quoteflow.config import SinkOptions
 from quoteflow.schemas import STORE, STORE_COLUMNS, STORE_LAYOUT, STORE_PARTITIONS
 
 # A sink takes a batch and its id, and raises if the batch is not stored as a whole.
@@ -162,7 +163,7 @@ class TickStore:
             raise StoreMissing(f"no tick table at {self.path}; create it first")
 
 
-def jdbc_sink(url: str, table: str = "ticks", batch_size: int = 500, **properties: str) -> Sink:
+def jdbc_sink(url: str, table: str = "ticks", batch_size: int = SinkOptions.batch_size, **properties: str) -> Sink:
     """Append to a database table. The table must exist.
 
     Rows are committed per Spark partition and not per batch, so a batch that is retried after a

@@ -143,19 +143,19 @@ def run_available(
 
 def start_flow(
     frames: DataFrame, config: JobConfig, sink: Sink | None = None, *, deduplicate: Dedup | None = None,
-    buckets: int = stream_dedup.BUCKETS, max_files_per_trigger: int | None = None,
+    buckets: int = stream_dedup.BUCKETS,
 ) -> list[StreamingQuery]:
     """Run both queries until they are stopped. The store must exist.
 
     What is already there is landed first, so that the store query finds the landed table.
-    ``max_files_per_trigger`` bounds how much one batch of the store query takes.
+    ``config.sink`` says how often the store query takes a batch, and how many files at most.
     """
     spark, folders, every = frames.sparkSession, Folders(config.store), config.sink.max_latency
     if not folders.store.exists(spark):
         raise StoreMissing(f"no tick table at {folders.store.path}; create it first")
     bound = bind_formats(frames, config.sources)
     start_land(bound, folders).awaitTermination()
-    ticks = landed_ticks(spark, folders, max_files_per_trigger)
+    ticks = landed_ticks(spark, folders, config.sink.max_files)
     store = start_store(
         ticks, folders, sink=sink, options=config.sink, deduplicate=deduplicate, window=config.dedup_window,
         buckets=buckets, every=every,

@@ -12,8 +12,8 @@ from quoteflow.operators.normalize import classify, ticks
 from quoteflow.sources.frames import from_kafka, read_frames, stream_frames, text_frames
 from quoteflow.sources.registry import bind_formats
 
-A = {"name": "exchange-a", "uri": "ws://localhost:9001/", "format": "A"}
-B = {"name": "exchange-b", "uri": "ws://localhost:9002/", "format": "b"}
+A = {"name": "exchange-a", "uri": "tcp://one.quotes.example", "format": "A"}
+B = {"name": "exchange-b", "uri": "tcp://two.quotes.example", "format": "b"}
 
 
 def test_loads_sources_and_store():
@@ -21,7 +21,7 @@ def test_loads_sources_and_store():
     assert config.store == "/data/ticks"
     assert config.drain_timeout == timedelta(seconds=5)
     assert config.dedup_window == timedelta(minutes=2)
-    assert config.sources[1] == Source("exchange-b", "ws://localhost:9002/", "B")
+    assert config.sources[1] == Source("exchange-b", "tcp://two.quotes.example", "B")
 
 
 def test_environment_overrides_the_store():
@@ -61,6 +61,7 @@ def test_backoff_ceilings():
         {"backoff_max": timedelta(milliseconds=1)},
         {"backoff_factor": 0.5},
         {"on_exhausted": "ignore"},
+        {"max_files": 0},
     ],
 )
 def test_rejects_sink_options(given):
