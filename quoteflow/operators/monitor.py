@@ -72,19 +72,25 @@ def metrics(
 ) -> DataFrame:
     """Cumulative snapshots of the whole flow, one at the end of every generation with traffic.
 
-    ``outbound_count`` is what waited for the store when the generation ended: everything accepted
-    in it. ``connections_up`` counts the sources heard from in it.
+    ``flow`` has a row per source and generation. From ``jobs.flow`` it also has written, dropped and taken
+    as the store query counted them, and ``outbound_count`` is what had landed and was not taken. From
+    ``flow_by_generation`` alone there is no store: what is accepted stands for what is written, and for
+    what waited for the store when the generation ended. ``connections_up`` counts the sources heard from.
     """
+    live = "taken" in flow.columns
+    if not live:
+        flow = flow.withColumns({"written": F.col("accepted"), "dropped": F.lit(0).cast("bigint"), "taken": F.lit(0).cast("bigint")})
+    sums = ["received", "parse_errors", "ignored", "deduplicated", "written", "dropped", "taken"]
     per_generation = flow.groupBy("gen").agg(
         F.sum("accepted").alias("accepted"),
-        *[F.sum(c).alias(c) for c in ("received", "parse_errors", "ignored", "deduplicated")],
+        *[F.sum(c).alias(c) for c in sums],
         F.count(F.lit(1)).alias("connections_up"),
     )
-    sums = ["received", "parse_errors", "ignored", "deduplicated", "accepted"]
     added = carry(
         dedup.tracked_keys(per_generation), [], F.floor(F.col("gen") / GENERATIONS_IN_A_SPAN), ["gen"],
         running={f"{c}_so_far": ("sum", c) for c in sums},
     )
+    waiting = F.col("received_so_far") - F.col("taken_so_far") if live else F.col("accepted")
     zero = F.lit(0).cast("bigint")
     return added.select(
         F.timestamp_millis((F.col("gen") + 1) * dedup.window_millis(window)).alias("ts"),
@@ -93,10 +99,10 @@ def metrics(
         F.col("ignored_so_far").alias("ignored"),
         zero.alias("late_dropped"),
         F.col("deduplicated_so_far").alias("deduplicated"),
-        F.col("accepted_so_far").alias("written"),
-        zero.alias("dropped"),
+        F.col("written_so_far").alias("written"),
+        F.col("dropped_so_far").alias("dropped"),
         "tracked_keys",
-        F.col("accepted").alias("outbound_count"),
+        waiting.alias("outbound_count"),
         F.lit(capacity).cast("bigint").alias("outbound_capacity"),
         "connections_up",
         F.lit(source_count).cast("bigint").alias("source_count"),

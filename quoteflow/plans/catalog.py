@@ -53,16 +53,35 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.decisions(_ticks(spark, sf_dir))
 
 
-def _batch_flow(spark: SparkSession, sf_dir: str) -> jobs.Folders:
-    """A store filled from all frames, one run for each source into the same folders."""
+IMPATIENT = SinkOptions(
+    max_attempts=2, backoff_initial=timedelta(milliseconds=1), backoff_max=timedelta(milliseconds=2)
+)
+
+
+def _down(batch_df: DataFrame, batch_id: int) -> None:
+    raise ConnectionError("store unavailable")
+
+
+def _batch_flow(spark: SparkSession, sf_dir: str, lost: str | None = None) -> jobs.Folders:
+    """A store filled from all frames, one run for each source into the same folders.
+
+    The store cannot be reached during the run of the source named ``lost``.
+    """
     folders = jobs.Folders(scratch_dir(spark, "batch-flow"))
     folders.store.create(spark)
     frames = _frames(spark, sf_dir)
     for run, source in enumerate(SOURCES):
-        batch.run_batch(frames.filter(F.col("source") == source.name), folders, run=run)
+        down = {"sink": _down, "options": IMPATIENT} if source.name == lost else {}
+        batch.run_batch(frames.filter(F.col("source") == source.name), folders, run=run, **down)
     return folders
 
 
+def _live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots from the counters of a flow that could not store one of its sources."""
+    folders = _batch_flow(spark, sf_dir, lost=SOURCES[1].name)
+    return monitor.metrics(jobs.flow(spark, folders), len(SOURCES))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch_flow(spark, sf_dir).store.rows(spark)
 
@@ -314,13 +333,7 @@ def sink_outage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = [None, "2024-01-11", "2024-01-21", None]
     healthy = store.sink()
 
-    def down(batch_df: DataFrame, batch_id: int) -> None:
-        raise ConnectionError("store unavailable")
-
-    impatient = SinkOptions(
-        max_attempts=2, backoff_initial=timedelta(milliseconds=1), backoff_max=timedelta(milliseconds=2)
-    )
-    for i, write in enumerate((healthy, down, healthy)):
+    for i, write in enumerate((healthy, _down, healthy)):
         begin, end = bounds[i], bounds[i + 1]
         stretch = frames
         if begin:
@@ -329,7 +342,7 @@ def sink_outage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
             stretch = stretch.filter(F.col("arrival_ts") < F.lit(end).cast("timestamp"))
         stretch.write.mode("append").parquet(landing)
         ticks = normalize.ticks(normalize.classify(stream_frames(spark, landing)))
-        jobs.start_store(ticks, folders, sink=write, options=impatient).awaitTermination()
+        jobs.start_store(ticks, folders, sink=write, options=IMPATIENT).awaitTermination()
 
     counted = sink.read_counters(spark, folders.counters).groupBy("source").agg(
         F.sum("deduplicated").alias("deduplicated")
@@ -357,7 +370,7 @@ def flow_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def flow_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(monitor.snapshot(_metrics(spark, sf_dir)))
+    return _plain(monitor.snapshot(_live_metrics(spark, sf_dir)))
 
 
 @_query
@@ -373,7 +386,7 @@ def received_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def stats_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(monitor.stats_line(monitor.received_rate(_metrics(spark, sf_dir))))
+    return _plain(monitor.stats_line(monitor.received_rate(_live_metrics(spark, sf_dir))))
 
 
 @_query

@@ -50,21 +50,23 @@ acc AS (SELECT c.* FROM cand c JOIN r ON {_SAME_KEY} AND c.gen = r.gen)"""
 
 _PER_GEN = f"""{_DECIDED},
 g AS (
-  SELECT f.gen, f.received, f.parse_errors, f.ignored, f.sources, coalesce(a.accepted, 0) AS accepted
+  SELECT f.gen, f.received, f.parse_errors, f.ignored, f.sources, coalesce(a.accepted, 0) AS accepted,
+         coalesce(a.lost, 0) AS lost
   FROM (SELECT at_us // 120000000 AS gen,
                count(*) FILTER (status = 'tick') AS received,
                count(*) FILTER (status = 'parse_error') AS parse_errors,
                count(*) FILTER (status = 'ignored') AS ignored,
                count(DISTINCT source) AS sources
         FROM fr GROUP BY 1) f
-  LEFT JOIN (SELECT gen, count(*) AS accepted FROM acc GROUP BY gen) a ON a.gen = f.gen),
+  LEFT JOIN (SELECT gen, count(*) AS accepted, count(*) FILTER (source = 'exchange-b') AS lost
+             FROM acc GROUP BY gen) a ON a.gen = f.gen),
 m AS (
   SELECT g.gen, (g.gen + 1) * 120000000 AS ts_us,
          CAST(sum(received) OVER w AS BIGINT) AS received,
          CAST(sum(parse_errors) OVER w AS BIGINT) AS parse_errors,
          CAST(sum(ignored) OVER w AS BIGINT) AS ignored,
          CAST(sum(received - accepted) OVER w AS BIGINT) AS deduplicated,
-         CAST(sum(accepted) OVER w AS BIGINT) AS written,
+         CAST(sum(accepted - lost) OVER w AS BIGINT) AS written, CAST(sum(lost) OVER w AS BIGINT) AS dropped,
          accepted + CASE WHEN lag(gen) OVER w = gen - 1 THEN lag(accepted) OVER w ELSE 0 END AS tracked_keys,
          accepted AS outbound_count, sources AS connections_up
   FROM g WINDOW w AS (ORDER BY gen)),
@@ -243,9 +245,9 @@ JOIN (SELECT source, count(*) AS accepted FROM acc GROUP BY source) a ON a.sourc
         "flow_snapshot": _with(
             _PER_GEN,
             """SELECT ts_us, received, parse_errors, ignored, CAST(0 AS BIGINT) AS late_dropped, deduplicated,
-       written, CAST(0 AS BIGINT) AS dropped, tracked_keys, outbound_count,
+       written, dropped, tracked_keys, CAST(0 AS BIGINT) AS outbound_count,
        CAST(10000 AS BIGINT) AS outbound_capacity, connections_up, CAST(3 AS BIGINT) AS source_count,
-       CAST(outbound_count AS DOUBLE) / CAST(10000 AS DOUBLE) AS outbound_fill
+       CAST(0 AS DOUBLE) AS outbound_fill
 FROM m ORDER BY gen DESC LIMIT 1""",
         ),
         "received_rate": _with(_PER_GEN, "SELECT ts_us, received, received_per_second FROM rate"),
@@ -253,8 +255,7 @@ FROM m ORDER BY gen DESC LIMIT 1""",
             _PER_GEN,
             """SELECT ts_us, 'stats recv/s=' || CAST(CAST(round(received_per_second) AS BIGINT) AS VARCHAR)
        || ' recv=' || received || ' parse=' || parse_errors || ' dedup=' || deduplicated
-       || ' written=' || written || ' dropped=0 fill='
-       || CAST(CAST(round(CAST(outbound_count AS DOUBLE) / CAST(10000 AS DOUBLE) * 100) AS BIGINT) AS VARCHAR)
+       || ' written=' || written || ' dropped=' || dropped || ' fill=0'
        || '% keys=' || tracked_keys || ' conns=' || connections_up || '/3' AS line
 FROM rate WHERE received_per_second IS NOT NULL""",
         ),

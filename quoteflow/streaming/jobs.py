@@ -22,7 +22,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quoteflow.config import JobConfig, SinkOptions
 from quoteflow.operators import audit, dedup, normalize
-from quoteflow.schemas import CLASSIFIED, STATUS_TICK, STORE_COLUMNS, TICKS
+from quoteflow.schemas import CLASSIFIED, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK, STORE_COLUMNS, TICKS
 from quoteflow.sources.registry import bind_formats
 from quoteflow.sources.store import Sink, StoreMissing, TickStore, path_exists
 from quoteflow.streaming import dedup as stream_dedup
@@ -205,6 +205,24 @@ def tracked_keys(spark: SparkSession, folders: Folders) -> DataFrame:
     return dedup.tracked_keys(counters.groupBy("gen").agg(accepted))
 
 
+def flow(spark: SparkSession, folders: Folders, window: timedelta = dedup.DEFAULT_WINDOW) -> DataFrame:
+    """Per source and generation: what landed, and what the store query counted of it.
+
+    ``monitor.metrics`` turns it into snapshots of the flow as it is.
+    """
+    names = ["deduplicated", "written", "dropped"]
+    seen = landed(spark, folders).groupBy("source", dedup.generation(F.col("arrival_ts"), window).alias("gen")).agg(
+        F.count_if(F.col("status") == STATUS_TICK).alias("received"),
+        F.count_if(F.col("status") == STATUS_PARSE_ERROR).alias("parse_errors"),
+        F.count_if(F.col("status") == STATUS_IGNORED).alias("ignored"),
+    )
+    counted = read_counters(spark, folders.counters).filter("gen is not null").groupBy("source", "gen").agg(
+        F.sum("received").alias("taken"), *[F.sum(n).alias(n) for n in names]
+    )
+    joined = seen.join(counted, ["source", "gen"], "left").fillna(0, [*names, "taken"])
+    return joined.withColumn("accepted", F.col("taken") - F.col("deduplicated"))
+
+
 def reconciliation(spark: SparkSession, folders: Folders) -> DataFrame:
     """The accounting of a finished flow: landed ticks against re-sends, stored, dropped and late ones.
 
