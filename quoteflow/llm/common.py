@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, which bounds what a Python worker holds.
 SLICE_BYTES = 1 << 20
@@ -58,11 +57,6 @@ def pieces(amount: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(amount / each))
 
 
-def columns_or_null(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Only the named columns, cast to their types: other columns can't clash with an operator's own."""
-    return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in names.items()])
-
-
 def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
@@ -99,7 +93,3 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or ends[-1] == ends[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8, int(ends[-1] - ends[0]), int(ends[0])), ends - ends[0]
-
-
-def binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
