@@ -4,13 +4,15 @@ The patterns give the base spans. Units of the field are the base spans, whose l
 a text could be a mention: numbers of ``DIGITS`` digits or more, addresses without a full domain, and words that
 are the name part of an address in the same text. A unit's own potential comes from its form and the word before
 it; neighbours in the text share a chain potential; units that repeat each other, by their last digits or by name,
-share a skip potential that favours one label, however far apart they are. Each unit is tied to the one of its
-kind before it, so a text with many repeats has as many ties and not one for each two. Loopy message passing gives
-every unit's probabilities; a free unit becomes a span where one label has ``SURE`` or more.
+share a skip potential that favours one label, however far apart and however many they are. Free units are tied to
+every base span that they repeat; where there is none, all repeats are tied to one label that they share. So a text
+with many repeats has about as many ties and not one for each two, and support reaches each repeat directly. Loopy
+message passing, run until it settles, gives every unit's probabilities; a free unit becomes a span where one label
+has ``SURE`` or more.
 
 All potentials are trained on the table itself: the base spans are labelled units, also with their ``+`` taken away,
-and free units count as weaker examples of no label. Their forms are counted over all texts, by form, of which there
-is a bounded number; the fit is on those counts.
+and free units count as weaker examples of no label, unless they repeat a base span of their text. Their forms are
+counted over all texts, by form, of which there is a bounded number; the fit is on those counts.
 
 Defined cases: a null text counts as empty and has no spans. Spans of different kinds may overlap. A text without
 free units has the base spans only. Repeated rows come back as often as they came. Other columns are ignored by
@@ -44,6 +46,9 @@ _numbers = re.compile(r"\+?(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9])*").finditer
 _names = re.compile(r"[A-Za-z0-9._%+-]+").finditer
 _digit = re.compile("[0-9]").search
 
+#: Messages settle within some dozens of rounds; after each ``_ROUNDS`` that were not enough, steps are halved.
+_ROUNDS, _HALVINGS, _SETTLED = 100, 10, 1e-4
+
 #: How many values each feature of a unit has: digits, separators, plus, checksum, dots, name, word before.
 _SIZES = (8, 16, 2, 2, 5, 3, 32)
 _STARTS = np.cumsum((0, *_SIZES))
@@ -138,15 +143,12 @@ def _key(text: str, b: int, e: int) -> str:
     return digits[-DIGITS:]
 
 
-def _ties(keys: list[str]) -> list[tuple[int, int]]:
-    """Each unit and the one of its key before it."""
-    last: dict[str, int] = {}
-    out = []
+def _groups(keys: list[str]) -> list[list[int]]:
+    """The units of each key that has two or more."""
+    same: dict[str, list[int]] = {}
     for i, k in enumerate(keys):
-        if k in last:
-            out.append((last[k], i))
-        last[k] = i
-    return out
+        same.setdefault(k, []).append(i)
+    return [x for x in same.values() if len(x) > 1]
 
 
 def _units(text: str, base: list) -> tuple[list, list[int]]:
@@ -168,13 +170,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not base and not (text and _digit(text)):
                 continue
             units, labels = _units(text, base)
-            for (b, e), k in zip(units, labels, strict=True):
-                seen[0, _code(_form(text, b, e)), k] += 1
-            filled = [k if k >= 0 else _NONE for k in labels]
-            seen.update((1, x * 8 + y, 0) for x, y in zip(filled, filled[1:], strict=False))
-            for i, j in _ties([_key(text, b, e) for b, e in units]):
-                if labels[i] >= 0 and labels[j] >= 0:
-                    seen[2, int(labels[i] == labels[j]), 0] += 1
+            repeats = set()  # free units that are no examples of no label
+            for group in _groups([_key(text, b, e) for b, e in units]):
+                known = [labels[i] for i in group if labels[i] >= 0]
+                seen.update((2, int(x == y), 0) for x, y in zip(known, known[1:], strict=False))
+                if known:
+                    repeats.update(i for i in group if labels[i] < 0)
+            for i, ((b, e), k) in enumerate(zip(units, labels, strict=True)):
+                if i not in repeats:
+                    seen[0, _code(_form(text, b, e)), k] += 1
+            filled = [None if i in repeats else k if k >= 0 else _NONE for i, k in enumerate(labels)]
+            seen.update((1, x * 8 + y, 0) for x, y in zip(filled, filled[1:], strict=False) if x is not None and y is not None)
     if seen:
         kind, code, label = (np.array(x) for x in zip(*seen, strict=True))
         columns = [kind.astype(np.int32), code.astype(np.int64), label.astype(np.int32), np.array(list(seen.values()))]
@@ -227,26 +233,39 @@ class Field:
             w -= 0.1 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         return w
 
-    def marginals(self, codes: list[int], labels: list[int], ties: list[tuple[int, int]]) -> np.ndarray:
-        """Each unit's probabilities, by loopy sum-product messages over chain and skip edges."""
+    def marginals(self, codes: list[int], labels: list[int], groups: list[list[int]]) -> np.ndarray:
+        """Each unit's probabilities, by loopy sum-product messages over chain edges and groups of repeats."""
         own = self.form[self._columns(np.array(codes, np.int64))].sum(1)
         own -= own.max(1, keepdims=True)
         for i, k in enumerate(labels):
             if k >= 0:
                 own[i] = -50.0
                 own[i, k] = 0.0
-        m = len(codes)
+        m = n = len(codes)
+        spokes = []
+        for group in groups:
+            known = [labels[i] for i in group if labels[i] >= 0]
+            free = [i for i in group if labels[i] < 0]
+            if known:
+                own[free] += self.skip[known].sum(0)
+            else:
+                spokes += [(n, i) for i in free]
+                n += 1
+        own = np.concatenate((own, np.zeros((n - m, 5))))
         chain = [(i, i + 1) for i in range(m - 1)]
-        edges = np.array([*chain, *ties], np.int64).reshape(-1, 2)
+        edges = np.array([*chain, *spokes], np.int64).reshape(-1, 2)
         if not len(edges):
             return _normal(own)
-        shared = np.array([self.chain] * len(chain) + [self.skip] * len(ties))
+        # two units that share a label are tied by it just as by a skip potential between them
+        e = np.exp(self.skip[0, 0])
+        spoke = np.log(e + np.sqrt(e * e + 3 * e - 4)) * np.eye(5)
+        shared = np.array([self.chain] * len(chain) + [spoke] * len(spokes))
         source = np.concatenate((edges[:, 0], edges[:, 1]))
         target = np.concatenate((edges[:, 1], edges[:, 0]))
         shared = np.concatenate((shared, shared.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-        sent = np.zeros((len(source), 5))
-        for _ in range(20):
+        sent, step = np.zeros((len(source), 5)), 0.5
+        for t in range(1, _ROUNDS * _HALVINGS + 1):
             belief = own.copy()
             np.add.at(belief, target, sent)
             out = (belief[source] - sent[back])[:, :, None] + shared
@@ -254,12 +273,14 @@ class Field:
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
             moved = np.abs(new - sent).max()
-            sent = 0.5 * sent + 0.5 * new
-            if moved < 1e-4:
+            sent = (1 - step) * sent + step * new
+            if moved < _SETTLED:
                 break
+            if t % _ROUNDS == 0:
+                step /= 2
         belief = own.copy()
         np.add.at(belief, target, sent)
-        return _normal(belief)
+        return _normal(belief[:m])
 
 
 def _normal(log: np.ndarray) -> np.ndarray:
@@ -275,7 +296,7 @@ def all_spans(field: Field, text: str | None) -> list[tuple[int, int, int, bool]
         units, labels = _units(text, base)
         if min(labels, default=0) < 0:
             codes = [_code(_form(text, b, e)) for b, e in units]
-            p = field.marginals(codes, labels, _ties([_key(text, b, e) for b, e in units]))
+            p = field.marginals(codes, labels, _groups([_key(text, b, e) for b, e in units]))
             for (b, e), k, q in zip(units, labels, p, strict=True):
                 best = int(q.argmax())
                 if k < 0 and best != _NONE and q[best] >= SURE:

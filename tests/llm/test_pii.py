@@ -73,6 +73,55 @@ def test_marginals_are_exact_on_a_chain(spark):
     assert np.allclose(field.marginals(codes, labels, []), want, atol=1e-3)
 
 
+def weak():
+    """A field whose forms favour no label by 0.5, without chain potentials."""
+    import numpy as np
+
+    field = Field([])
+    field.form[:, 4] = 0.5 / 7
+    field.skip = 4.0 * np.eye(5)
+    return field
+
+
+def test_every_repeat_of_an_observed_span_is_reached():
+    field = weak()
+    for n in (5, 50, 500):
+        for seen, again in (("+1 (867) 555-2364", "867 555 2364"), ("jane.doe@site.example.com", "Jane.Doe")):
+            for text in (f"{seen} is it" + f", then {again} again" * n, f"{again}, then " * n + f"{seen} at last"):
+                got = [text[b:e] for b, e, _, base in all_spans(field, text) if not base]
+                assert got == [again] * n, (n, again, len(got))
+        assert all_spans(field, "then 867 555 2364 again, " * n) == []
+
+
+def test_marginals_of_repeats_that_nothing_is_known_of():
+    import itertools
+
+    import numpy as np
+
+    field = weak()
+    field.form[:, 3] += np.linspace(-0.5, 0.7, len(field.form))
+    codes = [3, 40, 977]
+    own = field.form[field._columns(np.array(codes))].sum(1)
+    want = np.zeros((2, 5))
+    for y, z in itertools.product(range(5), repeat=2):
+        want[[0, 1], [y, z]] += np.exp(own[0, y] + own[1, z] + field.skip[y, z])
+    want /= want.sum(1, keepdims=True)
+    assert np.allclose(field.marginals(codes, [-1] * 3, [[0, 1]])[:2], want, atol=1e-3)
+    # what is known of a repeat counts once for each repeat of it, and the order does not matter
+    known = np.exp(own[2] + 2 * field.skip[3])
+    got = field.marginals([codes[i] for i in (0, 2, 1)], [3, -1, 3], [[0, 1, 2]])
+    assert np.allclose(got[1], known / known.sum(), atol=1e-3)
+
+
+def test_repeats_of_observed_spans_are_no_examples_of_no_label():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"text": ["+1 (867) 555-2364 or 867 555 2364, not 1234567"]})
+    got = [r for b in pii._count(iter([rows])) for r in b.to_pylist()]
+    assert sorted((r["label"], r["n"]) for r in got if r["kind"] == 0) == [(-1, 1), (3, 1)]
+    assert [r for r in got if r["kind"] == 1] == []
+
+
 def test_rows_and_redaction(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364"), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364")]
     rows += [(None, "no data"), (4, "é 4111 1111 1111 1111!"), (5, "+4111111111111111" + " x" * 50000)]
