@@ -45,6 +45,7 @@ _phones = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _numbers = re.compile(r"\+?(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9])*").finditer
 _names = re.compile(r"[A-Za-z0-9._%+-]+").finditer
 _digit = re.compile("[0-9]").search
+_marked = re.compile("[0-9@]").search  # without one of them a text has no spans and no units
 
 #: Messages settle within some dozens of rounds; after each ``_ROUNDS`` that were not enough, steps are halved.
 _ROUNDS, _HALVINGS, _SETTLED = 100, 10, 1e-4
@@ -166,9 +167,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in sliced(batches, "text"):
         for text in batch.column("text").to_pylist():
-            base = base_spans(text) if text else []
-            if not base and not (text and _digit(text)):
+            if not text or not _marked(text):
                 continue
+            base = base_spans(text)
             units, labels = _units(text, base)
             repeats = set()  # free units that are no examples of no label
             for group in _groups([_key(text, b, e) for b, e in units]):
@@ -290,17 +291,18 @@ def _normal(log: np.ndarray) -> np.ndarray:
 
 def all_spans(field: Field, text: str | None) -> list[tuple[int, int, int, bool]]:
     """(begin, end, kind, from a pattern) by begin, then kind."""
-    base = base_spans(text) if text else []
+    if not text or not _marked(text):
+        return []
+    base = base_spans(text)
     out = [(b, e, k, True) for b, e, k in base]
-    if text and (base or _digit(text)):
-        units, labels = _units(text, base)
-        if min(labels, default=0) < 0:
-            codes = [_code(_form(text, b, e)) for b, e in units]
-            p = field.marginals(codes, labels, _groups([_key(text, b, e) for b, e in units]))
-            for (b, e), k, q in zip(units, labels, p, strict=True):
-                best = int(q.argmax())
-                if k < 0 and best != _NONE and q[best] >= SURE:
-                    out.append((b, e, best, False))
+    units, labels = _units(text, base)
+    if min(labels, default=0) < 0:
+        codes = [_code(_form(text, b, e)) for b, e in units]
+        p = field.marginals(codes, labels, _groups([_key(text, b, e) for b, e in units]))
+        for (b, e), k, q in zip(units, labels, p, strict=True):
+            best = int(q.argmax())
+            if k < 0 and best != _NONE and q[best] >= SURE:
+                out.append((b, e, best, False))
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -122,6 +122,18 @@ def test_repeats_of_observed_spans_are_no_examples_of_no_label():
     assert [r for r in got if r["kind"] == 1] == []
 
 
+def test_addresses_without_a_domain_in_texts_without_digits(spark):
+    field = trained(spark)
+    for text in ("mail jane.doe@intranet please", "mail jane.doe@intranet please 5"):
+        assert [(KINDS[k], text[b:e], base) for b, e, k, base in all_spans(field, text)] == [("email", "jane.doe@intranet", False)]
+    docs = documents(spark, [(i, "mail first.name@mail.example.com now") for i in range(60)] + [(60, "mail jane.doe@intranet please")])
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[60] == "mail [EMAIL] please"
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"text": ["write to jane.doe@intranet please", "nothing here", None]})
+    assert [(r["label"], r["n"]) for b in pii._count(iter([rows])) for r in b.to_pylist()] == [(-1, 1)]
+
+
 def test_rows_and_redaction(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364"), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364")]
     rows += [(None, "no data"), (4, "é 4111 1111 1111 1111!"), (5, "+4111111111111111" + " x" * 50000)]
