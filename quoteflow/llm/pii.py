@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ _ips = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}").finditer
 _cards = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phones = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _numbers = re.compile(r"\+?(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9])*").finditer
+_digits = re.compile("[0-9]+").finditer
 _names = re.compile(r"[A-Za-z0-9._%+-]+").finditer
 _digit = re.compile("[0-9]").search
 _marked = re.compile("[0-9@]").search  # without one of them a text has no spans and no units
@@ -94,12 +96,64 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _told_apart(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Numbers of enough digits. In a run of several, those that end like an observed number stand alone, and so do
+    others that a full stop with a space after it sets apart."""
+    known: dict[str, set[str]] = {}
+    for b, e, k in base:
+        number = "".join(x.group() for x in _digits(text, b, e)) if k else ""
+        if len(number) >= DIGITS:
+            known.setdefault(number[-DIGITS:], set()).add(number.replace("0", ""))
+    out = []
+    for m in _numbers(text):
+        if m.end() - m.start() < DIGITS:
+            continue
+        parts = [x.span() for x in _digits(text, *m.span())]
+        n = [0, *accumulate(e - b for b, e in parts)]  # digits before each part
+        ranges, lo = [], 0
+        for hi in range(1, len(parts) + 1 if known else 0):
+            at = _repeated(text, parts, lo, hi, known)
+            if at is not None:
+                ranges += [*_sentences(text, parts, n, lo, at), (at, hi)]
+                lo = hi
+        ranges += _sentences(text, parts, n, lo, len(parts))
+        out += [(parts[i][0] if i else m.start(), parts[j - 1][1]) for i, j in ranges if n[j] - n[i] >= DIGITS]
+    return out
+
+
+def _repeated(text: str, parts: list[tuple[int, int]], lo: int, hi: int, known: dict[str, set[str]]) -> int | None:
+    """Where the parts begin, after lo, that end at hi and like an observed number; zeros before it may differ."""
+    digits, found = "", None
+    for i in range(hi - 1, lo - 1, -1):
+        digits = text[slice(*parts[i])] + digits
+        if found is None:
+            if len(digits) < DIGITS:
+                continue
+            if digits[-DIGITS:] not in known:
+                break
+        elif not any(x.endswith(digits.replace("0", "")) for x in known[digits[-DIGITS:]]):
+            break
+        found = i
+    return found
+
+
+def _sentences(text: str, parts: list[tuple[int, int]], n: list[int], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Ranges of parts between full stops followed by a space; what has too few digits stays with its like."""
+    stops = [i for i in range(lo + 1, hi) if text[parts[i - 1][1] : parts[i][0]] == ". "]
+    out, short = [], lo
+    for i, j in pairwise([lo, *stops, hi]):
+        if n[j] - n[i] >= DIGITS:
+            out += [(short, i), (i, j)]
+            short = j
+    return [*out, (short, hi)]
+
+
 def _free(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Possible mentions that touch no base span, in order."""
     taken = sorted((b, e) for b, e, _ in base)
     out = []
     if _digit(text):
-        out += [m.span() for m in _numbers(text) if m.end() - m.start() >= DIGITS and sum(map(str.isdigit, m.group())) >= DIGITS]
+        out += _told_apart(text, base)
     names = {text[b:e].split("@")[0].lower() for b, e, k in base if k == 0}
     names = {x for x in names if len(x) >= 4 and not x.isdigit()}
     if names or "@" in text:

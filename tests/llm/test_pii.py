@@ -134,6 +134,25 @@ def test_addresses_without_a_domain_in_texts_without_digits(spark):
     assert [(r["label"], r["n"]) for b in pii._count(iter([rows])) for r in b.to_pylist()] == [(-1, 1)]
 
 
+def test_numbers_beside_a_repeat_stay_apart():
+    seen = "+1 (867) 555-2364 is it, "
+    for again, after in (
+        ("867 555 2364", ". 12 people"), ("867 555 2364", " 12 people"), ("867. 555. 2364", ". 12"), ("867 555 2364", "-7654321"),
+        ("001 867 555 2364", " 12"), ("5552364", ".1"),
+    ):
+        text = f"{seen}call {again}{after}"
+        assert [text[b:e] for b, e, _, base in all_spans(weak(), text) if not base] == [again], text
+        text = f"{seen}for 12 {again} or so"
+        assert [text[b:e] for b, e, _, base in all_spans(weak(), text) if not base] == [again], text
+    units = {
+        "867 555 2364. 12": ["867 555 2364"], "1234567. 7654321.5": ["1234567", "7654321.5"], "867. 555. 2364": ["867. 555. 2364"],
+        "867. 555. 2364. 1234567. 12": ["867. 555. 2364", "1234567"], "+12 345 678. 12": ["+12 345 678"], "123. 456": [],
+    }
+    for text, want in units.items():
+        assert [text[b:e] for b, e in pii._free(text, [])] == want, text
+    assert len(pii._free("+1 (867) 555-2364, " + "1 " * 200000, base_spans("+1 (867) 555-2364, "))) == 1
+
+
 def test_rows_and_redaction(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364"), (3, "mail a.b@c.d and 10.0.0.1, +1 (867) 555-2364")]
     rows += [(None, "no data"), (4, "é 4111 1111 1111 1111!"), (5, "+4111111111111111" + " x" * 50000)]
