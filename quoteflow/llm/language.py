@@ -36,7 +36,7 @@ _U = np.uint64
 @lru_cache(1)
 def _letters() -> np.ndarray:
     out = np.zeros(0x110000, bool)
-    out[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+    out[[c for c in range(len(out)) if chr(c).isalpha()]] = True
     return out
 
 

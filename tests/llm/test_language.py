@@ -34,6 +34,12 @@ def test_single_mixed_and_awkward_texts(spark):
     assert set(by[1][3]) == {"en"} and by[4][2] == 0 and all(0 <= r[2] <= 1 for r in got)
 
 
+def test_every_letter_counts():
+    wanted = [chr(c).isalpha() for c in range(0x110000)]
+    assert language._letters().tolist() == wanted
+    assert [len(x) for x in language._trigrams(["\U00030000\U000323af"])[:2]] == [2, 1]
+
+
 def test_nothing_to_learn_from_and_no_rows(spark):
     model = learn(spark.createDataFrame([], "text string, lang string"))
     assert identify(documents(spark, [(1, EN)]), model).first()[:3] == (1, "und", 0.0)
