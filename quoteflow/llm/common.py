@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,19 +15,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about so many bytes, which bounds what a Python worker holds.
 SLICE_BYTES = 1 << 20
-#: Rows that Spark hands to a Python worker at once, unless the session asks for another number than Spark's own.
-ROWS_AT_ONCE = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_sent: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest(df: DataFrame) -> DataFrame:
-    """The same table, in a session that sends Python workers texts in batches of a few megabytes."""
-    if df.sparkSession.conf.get(_ROWS) == "10000":
-        df.sparkSession.conf.set(_ROWS, str(ROWS_AT_ONCE))
+def shipped(df: DataFrame) -> DataFrame:
+    """The same table, after this package has been handed to the application's executors, once for each application.
+
+    What runs in tasks, and what is broadcast to them, refers to modules of the package; executors need not have it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _sent:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(path))  # the driver serves it to executors, it is not looked for in their folders
+        _sent.add(context.applicationId)
     return df
 
 

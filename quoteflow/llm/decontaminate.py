@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, modest, sliced
+from quoteflow.llm.common import cut, shipped, sliced
 from quoteflow.llm.words import runs, shingles, words
 
 #: From how many n-grams on an item's sketch must meet a document how often.
@@ -99,7 +99,7 @@ def _hits(field, bits: int, lengths: list[int]):
 
 
 def _known(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return modest(df).select(
+    return shipped(df).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")
     ).filter("id is not null and text is not null")
 

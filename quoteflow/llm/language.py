@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import modest, sliced
+from quoteflow.llm.common import shipped, sliced
 
 BUCKETS = 1 << 16
 PENALTY = 3.0
@@ -85,7 +85,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """The model of all rows that have an id, a text and a language."""
-    rows = modest(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = shipped(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     counts = np.zeros((len(languages), BUCKETS))
@@ -175,5 +175,5 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (its share) and the shares of all languages found, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, shares map<string,double>")

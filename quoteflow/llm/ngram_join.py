@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, modest, pieces, sliced
+from quoteflow.llm.common import cut, pieces, shipped, sliced
 from quoteflow.llm.components import components
 from quoteflow.llm.words import mix, shingles, words
 
@@ -239,7 +239,7 @@ def _suffix(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _tidy(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return modest(docs).select(
+    return shipped(docs).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")
     )
 

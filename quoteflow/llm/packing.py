@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, modest, sliced
+from quoteflow.llm.common import cut, shipped, sliced
 from quoteflow.llm.pieces import MODEL, encode, model_path, vocabulary
 
 LENGTH = 2048
@@ -132,7 +132,7 @@ def packed(
     docs: DataFrame, model: str = MODEL, length: int = LENGTH, shard: int = SHARD, end_id: int | None = END, pad_id: int = 0
 ) -> DataFrame:
     """The packed rows of all texts."""
-    rows = modest(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = shipped(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_packer(model, length, shard, end_id, pad_id), _SCHEMA)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import modest, sliced
+from quoteflow.llm.common import shipped, sliced
 from quoteflow.llm.words import mix, polynomials
 
 MODEL = "piece_bpe_32k.model"
@@ -404,7 +404,7 @@ def _encoder(model: str, decoded: bool):
 
 def piece_ids(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFrame:
     """doc_id and the ids of each text, with ``decoded`` also the text that they give back."""
-    rows = modest(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = shipped(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     more = ", decoded string" if decoded else ""
     return rows.mapInArrow(_encoder(model, decoded), f"doc_id long, ids array<int>{more}")
 
@@ -426,7 +426,7 @@ def _decoder(model: str):
 
 def piece_texts(ids: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the text of each row's ids."""
-    rows = modest(ids).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    rows = shipped(ids).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(_decoder(model), "doc_id long, text string")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import modest, sliced
+from quoteflow.llm.common import shipped, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = 7
@@ -361,7 +361,7 @@ def all_spans(field: Field, text: str | None) -> list[tuple[int, int, int, bool]
 
 
 def learn(docs: DataFrame) -> Field:
-    texts = modest(docs).select(F.col("text").cast("string").alias("text"))
+    texts = shipped(docs).select(F.col("text").cast("string").alias("text"))
     seen = texts.mapInArrow(_count, "kind int, code long, label int, n long")
     seen = seen.groupBy("kind", "code", "label").agg(F.sum("n").alias("n"))
     return Field(sorted(tuple(r) for r in seen.collect()))  # as many rows as there are forms, a bounded number
@@ -386,7 +386,7 @@ def _find(field):
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id and the spans of every row, by begin, then kind; begins and ends are in code points."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs) if field is None else field)
-    rows = modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_find(shared), f"doc_id long, spans {_SPANS_DDL}")
 
 
@@ -416,7 +416,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return modest(docs).mapInArrow(run, docs.schema)
+    return shipped(docs).mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

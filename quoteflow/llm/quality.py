@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, flat, modest, sliced
+from quoteflow.llm.common import cut, flat, shipped, sliced
 from quoteflow.llm.words import mix, runs, span_hashes, word_spans
 
 #: Texts that the scorer is fitted on, at most.
@@ -210,7 +210,7 @@ def _score(weights):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> bytes:
@@ -243,7 +243,7 @@ def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text is not rejected, with all their columns, in one reading of the texts."""
     weights = docs.sparkSession.sparkContext.broadcast(learn(docs))
     kept = _kept(weights, threshold)
-    return modest(docs).mapInArrow(kept, docs.schema)
+    return shipped(docs).mapInArrow(kept, docs.schema)
 
 
 def _kept(weights, threshold: float):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, modest
+from quoteflow.llm.common import cut, shipped
 from quoteflow.llm.pieces import model_path
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -159,7 +159,7 @@ def token_counts(
     docs: DataFrame, model: str = MODEL, ranks: str = RANKS, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
-    rows = modest(docs).select(
+    rows = shipped(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     long = F.octet_length("text") > chunk
