@@ -14,6 +14,7 @@ from quoteflow.llm.embedding_dedup import near_duplicates
 from quoteflow.llm.ngram_join import jaccard_classes
 from quoteflow.llm.packing import packed
 from quoteflow.llm.pieces import digests, piece_ids
+from quoteflow.llm.prefix_trie import conversation_trie
 from quoteflow.llm.token_counts import token_counts
 from quoteflow.llm.url_filters import judged, rule_table
 
@@ -72,6 +73,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every opening that conversations share, with what its subtree holds."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -182,5 +189,41 @@ WITH RECURSIVE v AS (
 n AS (SELECT a, count(*) AS n FROM o GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""",
+    "op13_conversation_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        substring(coalesce(role, '') || chr(1) || coalesce(text, ''), 1, 64),
+        sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS donor, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+        lambda crc, d: list_reduce([xor(crc, d), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+    FROM t GROUP BY conv_id
+), m AS (
+    SELECT c.*, least(c.h, coalesce(d.n, 0)) AS given, least(c.h, coalesce(d.n, 0)) + greatest(c.n - c.h, 0) AS length
+    FROM c LEFT JOIN c d ON d.conv_id = c.donor
+), r AS (
+    SELECT m.conv_id, t.place + 1 AS depth, role, text FROM m JOIN t ON t.conv_id = m.donor AND t.place < m.h
+    UNION ALL SELECT m.conv_id, t.place - h + given + 1, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND t.place >= m.h
+), k AS (
+    SELECT conv_id, depth, octet_length(encode(text)) AS size, sha256(string_agg(octet_length(encode(role)) || ':' || role
+        || octet_length(encode(text)) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM m
+), p AS (SELECT k.*, depth = length AS last, lag(node) OVER (PARTITION BY k.conv_id ORDER BY depth) AS up FROM k JOIN m USING (conv_id)),
+n AS (
+    SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+        sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+    FROM p GROUP BY node, depth
+), w AS (SELECT n.*, (SELECT count(*) FROM n c WHERE c.up = n.node AND c.depth = n.depth + 1) AS n_children FROM n),
+s AS (
+    SELECT p.node, p.depth, sum((w.n_children = 0)::INT) AS n_leaves, sum(w.saved) AS saved_tokens
+    FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.node, p.depth
+)
+SELECT w.conv_id, w.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves,
+    s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (node, depth) LEFT JOIN n u ON u.node = w.up AND u.depth = w.depth - 1
 """,
 }
