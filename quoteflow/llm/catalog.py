@@ -15,6 +15,7 @@ from quoteflow.llm.ngram_join import jaccard_classes
 from quoteflow.llm.packing import packed
 from quoteflow.llm.pieces import digests, piece_ids
 from quoteflow.llm.prefix_trie import conversation_trie
+from quoteflow.llm.ranked_search import ranked
 from quoteflow.llm.token_counts import token_counts
 from quoteflow.llm.url_filters import judged, rule_table
 
@@ -73,6 +74,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's twenty best documents."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every opening that conversations share, with what its subtree holds."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
@@ -189,6 +196,27 @@ WITH RECURSIVE v AS (
 n AS (SELECT a, count(*) AS n FROM o GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""",
+    "op11_ranked_lexical_search": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), c AS (SELECT count(*) AS docs, sum(len(t)) AS terms FROM d WHERE len(t) > 0),
+i AS (
+    SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    WHERE item_id IS NOT NULL AND text IS NOT NULL
+), q AS (SELECT item_id, text, term, count(*) AS q FROM i GROUP BY ALL),
+f AS (
+    SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, 75 + (25 * len(t) * docs)::BIGINT // terms AS m, unnest(t) AS term FROM d, c)
+    SEMI JOIN q USING (term) GROUP BY ALL
+), w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+s AS (
+    SELECT item_id, text, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM f JOIN w USING (term) JOIN q USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
     "op13_conversation_prefix_trie": r"""
 WITH t AS (

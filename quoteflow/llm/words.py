@@ -49,11 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and end; the end of a text ends a word."""
+def word_spans(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; the end of a text ends a word. ``breaks`` says which bytes are outside words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
