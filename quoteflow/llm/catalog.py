@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import language, pii, quality
+from quoteflow.llm import language, pii, quality, secret_scan
 from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.embedding_dedup import near_duplicates
@@ -79,6 +79,11 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts, digest of the patterns' spans, all spans."""
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every opening that conversations share, with what its subtree holds."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
     "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
