@@ -116,7 +116,8 @@ def likelihood(symbols: Column, alphabet: str) -> Column:
 
     def tested(x: Column) -> Column:
         n = F.length(x["s"]).cast("double")
-        squares = sum(F.pow(_times(x["s"], c), F.lit(2.0)) for c in alphabet)
+        each = F.transform(F.split(F.lit(alphabet), ""), lambda c: n - F.length(F.replace(x["s"], c, F.lit(""))))
+        squares = F.reduce(each, F.lit(0.0), lambda total, count: total + count * count)
         chi = (squares * size / n - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
         low, high = _times(x["half"], "0"), _times(x["half"], "1")
         expected = 2.0 * low * high / n + 1
@@ -170,18 +171,24 @@ def _runs(runs: Column) -> Column:
 def _ordinary(runs: Column) -> Column:
     """Windows of the long words of a text, in each encoding: encoding, band, bin and code."""
     words = F.filter(F.transform(runs, lambda x: x["found"]), lambda w: w.rlike(r"^[A-Za-z]+\z"))
-    parts = []
-    for band, edge in enumerate(EDGES):
-        cut_up = F.regexp_extract_all(F.array_join(words, ""), F.lit(f".{{{edge}}}"), F.lit(0))
-        forms = [("hex", lambda w, e=edge: F.lower(F.hex(F.substring(w, 1, e // 2)))), ("base32", F.upper), ("base64", lambda w: w)]
-        for name, form in forms:
-
-            def tested(w: Column, name=name, form=form, band=band) -> Column:
-                bins = let(form(w), lambda s: _tested(s, F.lit(name)))
-                return F.struct(F.lit(name).alias("encoding"), F.lit(band).alias("band"), bins.alias("bin"), F.xxhash64(w).alias("code"))
-
-            parts.append(F.transform(cut_up, tested))
-    return F.concat(*parts)
+
+    def forms(band: int, edge: int):
+        def of(w: Column) -> Column:
+            spelled = {"hex": F.lower(F.hex(F.substring(w, 1, edge // 2))), "base32": F.upper(w), "base64": w}
+            return F.array(*[F.struct(F.lit(k).alias("encoding"), F.lit(band).alias("band"), s.alias("s")) for k, s in spelled.items()])
+
+        return of
+
+    def tested(x: Column) -> Column:
+        bins = _tested(x["s"], x["encoding"]).alias("bin")
+        return F.struct(x["encoding"].alias("encoding"), x["band"].alias("band"), bins, F.xxhash64(x["s"]).alias("code"))
+
+    def windows(joined: Column) -> Column:
+        cut_up = [F.regexp_extract_all(joined, F.lit(f".{{{edge}}}"), F.lit(0)) for edge in EDGES]
+        made = [F.flatten(F.transform(w, forms(band, edge))) for (band, edge), w in zip(enumerate(EDGES), cut_up, strict=True)]
+        return F.transform(F.concat(*made), tested)
+
+    return let(F.array_join(words, ""), windows)
 
 
 def _counts(found: DataFrame, column: str, name: str) -> DataFrame:
