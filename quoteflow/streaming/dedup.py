@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from datetime import timedelta
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,10 +41,11 @@ BUCKETS = 256
 
 
 class GenerationRule(StatefulProcessor):
-    """Remembers, per bucket of keys, the last generation each key was accepted in.
+    """Remembers, per bucket, the keys accepted in each of the last ``keep`` generations.
 
-    A bucket's memory is read and written once per micro-batch, as one block, instead of key by key.
-    What is ``keep`` generations behind the newest of the bucket leaves it with every batch.
+    Each generation is a map state of its own. A micro-batch looks up and adds the keys that arrived and no others, so
+    what it writes grows with the arrivals and not with what is remembered. A generation that falls behind is
+    cleared as a whole, and its place is taken by a new one.
 
     No tick is turned away for its age. One that comes out of order is a re-send if its key was accepted
     in its own generation or a neighbouring one, before or after, as far as that is still remembered.
@@ -55,45 +55,55 @@ class GenerationRule(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", "block binary, newest long")
+        self.held = handle.getValueState("held", "gens array<bigint>")
+        self.places = [handle.getMapState(f"place{i}", "key string", "seen boolean") for i in range(self.keep)]
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        # One entry per key and generation, however many copies arrive.
-        seen: dict[tuple[str, int], list] = {}
+        # One entry per generation and key, however many copies arrive.
+        seen: dict[tuple[int, str], list] = {}
         for row in rows:
-            entry = seen.setdefault((row.identity, row.gen), [row, row.first_ts, row.frame_seq, 0])
+            entry = seen.setdefault((row.gen, row.identity), [row, row.first_ts, row.frame_seq, 0])
             if (row.first_ts, row.frame_seq) < (entry[1], entry[2]):
                 entry[1], entry[2] = row.first_ts, row.frame_seq
             entry[3] += row.copies
 
-        last, newest = self._load()
-        for identity, gen in sorted(seen):
-            row, first_ts, frame_seq, copies = seen[identity, gen]
-            before = last.get(identity)
-            accepted = before is None or abs(gen - before) >= 2
-            if accepted and (before is None or gen > before):
-                last[identity] = gen
-            newest = gen if newest is None else max(newest, gen)
+        state = self.held.get()
+        before = list(state[0]) if state is not None else [None] * self.keep  # which generation is in which place
+        held = list(before)
+        newest = max([g for g in held if g is not None] + [g for g, _ in seen])
+        taken: dict[int, set[str]] = {}  # by this micro-batch
+        for gen, identity in sorted(seen):
+            row, first_ts, frame_seq, copies = seen[gen, identity]
+            accepted = not any(
+                identity in taken.get(g, ()) or self._remembered(held, before, g, identity) for g in (gen, gen - 1, gen + 1)
+            )
+            if accepted:
+                taken.setdefault(gen, set()).add(identity)
+                if gen > newest - self.keep:
+                    self._add(held, gen, identity)
             yield _Decision(*[row[c] for c in KEY], gen, first_ts, frame_seq, copies, accepted)
-        self._save(last, newest)
+        for place, gen in enumerate(held):
+            if gen is not None and gen <= newest - self.keep:
+                self.places[place].clear()
+                held[place] = None
+        if held != before:
+            self.held.update((held,))
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> tuple[dict[str, int], int | None]:
-        state = self.memory.get()
-        if state is None:
-            return {}, None
-        table = pa.ipc.open_stream(bytes(state[0])).read_all()
-        return dict(zip(table["key"].to_pylist(), table["gen"].to_pylist(), strict=True)), state[1]
-
-    def _save(self, last: dict[str, int], newest: int | None) -> None:
-        kept = {k: gen for k, gen in last.items() if gen > newest - self.keep}
-        table = pa.table({"key": pa.array(kept, pa.string()), "gen": pa.array(kept.values(), pa.int64())})
-        block = pa.BufferOutputStream()
-        with pa.ipc.new_stream(block, table.schema) as writer:
-            writer.write_table(table)
-        self.memory.update((block.getvalue().to_pybytes(), newest))
+    def _remembered(self, held: list, before: list, gen: int, identity: str) -> bool:
+        place = gen % self.keep
+        return held[place] == before[place] == gen and self.places[place].containsKey((identity,))
+
+    def _add(self, held: list, gen: int, identity: str) -> None:
+        # Generations come in order, so no later tick of the batch asks for what was here.
+        place = gen % self.keep
+        if held[place] != gen:
+            if held[place] is not None:
+                self.places[place].clear()
+            held[place] = gen
+        self.places[place].updateValue((identity,), (True,))
 
 
 def _identity() -> Column:

@@ -60,23 +60,92 @@ def test_exact_dedup_across_restarts_equals_the_batch_result(spark, folder, fold
     assert same(got, dedup.decisions(ticks(spark, rows)).select(DECISION))
 
 
-def test_state_is_forgotten_when_it_cannot_matter_any_more():
-    rule = stream_dedup.GenerationRule(keep=3)
-    state = {}
+class Value:
+    def __init__(self):
+        self.x = None
+
+    def get(self):
+        return self.x
+
+    def update(self, x):
+        self.x = x
+
+
+class Map:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.x, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.x
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.x[key] = value
+
+    def clear(self):
+        self.calls += 1
+        self.x.clear()
+
 
-    class Memory:
-        def get(self):
-            return state.get("x")
+def bucket(keep=3):
+    rule = stream_dedup.GenerationRule(keep=keep)
+    rule.held, rule.places = Value(), [Map() for _ in range(keep)]
+    return rule
 
-        def update(self, value):
-            state["x"] = value
 
-    rule.memory = Memory()
+def offer(rule, pairs):
     row = lambda key, gen: Row(**{c: c for c in KEY}, identity=key, gen=gen, first_ts=gen, frame_seq=0, copies=1)
+    return {(r.gen, r.frame_seq): r.accepted for r in rule.handleInputRows((0,), iter([row(k, g) for k, g in pairs]), None)}
+
+
+def test_state_is_forgotten_when_it_cannot_matter_any_more():
+    rule = bucket()
     for gen in range(0, 50, 2):
-        list(rule.handleInputRows((0,), iter([row(f"{gen}-{i}", gen) for i in range(100)]), None))
-        assert len(rule._load()[0]) <= 200
-    assert sorted({g for g in rule._load()[0].values()}) == [46, 48]
+        offer(rule, [(f"{gen}-{i}", gen) for i in range(100)])
+        assert sum(len(m.x) for m in rule.places) <= 200
+    assert sorted(g for g in rule.held.get()[0] if g is not None) == [46, 48]
+
+
+def test_a_micro_batch_touches_only_the_keys_that_arrive():
+    rule = bucket()
+    offer(rule, [(f"old-{i}", 7) for i in range(5000)])
+    before = sum(m.calls for m in rule.places)
+    offer(rule, [("new", 8), ("old-3", 8)])
+    assert sum(m.calls for m in rule.places) - before <= 5
+
+
+def test_state_written_follows_the_arrivals(spark, folder):
+    landing, written = f"{folder}/ticks", []
+    for n in (4000, 4):
+        ticks(spark, [tick(len(written), i, price=1 + i) for i in range(n)]).coalesce(1).write.mode("append").parquet(landing)
+        drain(stream_dedup.exact(spark.readStream.schema(TICKS).parquet(landing), buckets=4), folder)
+        files = glob.glob(f"{folder}/checkpoint/state/0/*/**/*.changelog", recursive=True)
+        written.append(sum(os.path.getsize(f) for f in files) - sum(written))
+    assert 0 < written[1] < written[0] / 10
+    assert spark.read.parquet(f"{folder}/out").filter("accepted").count() == 4000
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_generations_in_maps_agree_with_a_plain_memory(seed):
+    """In any order, against sets that forget what lies more than three generations back."""
+    rng = random.Random(seed)
+    rule, sets, newest = bucket(), {}, -99
+    for _ in range(60):
+        pairs = sorted({(f"k{rng.randrange(6)}", max(0, rng.randrange(3) + len(sets) // 3 + rng.choice([0, 0, 1, 4, -3]))) for _ in range(5)}, key=lambda p: (p[1], p[0]))
+        top, want = max([newest, *(g for _, g in pairs)]), {}
+        known = {g: set(v) for g, v in sets.items() if g > newest - 3}
+        for k, g in pairs:
+            want[g, k] = not any(k in known.get(x, ()) for x in (g - 1, g, g + 1))
+            if want[g, k]:
+                known.setdefault(g, set()).add(k)
+                sets.setdefault(g, set()).add(k)
+        newest = top
+        rows = [Row(**{c: c for c in KEY}, identity=k, gen=g, first_ts=g, frame_seq=i, copies=1) for i, (k, g) in enumerate(pairs)]
+        got = {(r.gen, pairs[r.frame_seq][0]): r.accepted for r in rule.handleInputRows((0,), iter(rows), None)}
+        assert got == want
 
 
 def test_a_tick_out_of_order_meets_its_neighbours_and_none_is_lost(spark, folder):
