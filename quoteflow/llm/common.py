@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -15,8 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about so many bytes, which bounds what a Python worker holds.
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at once while ``cut`` writes, at most.
+ROWS_AT_ONCE = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _sent: set[str] = set()
+_lock, _before = threading.Lock(), {"writers": 0, "rows": None}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +65,32 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     The plan is cut there, and the files outlive the executors that wrote them.
     """
     path = scratch(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python workers in batches of a few megabytes; afterwards the session is as it was."""
+    with _lock:
+        if not _before["writers"]:
+            _before["rows"] = spark.conf.getAll.get(_ROWS)
+            now = int(spark.conf.get(_ROWS))
+            spark.conf.set(_ROWS, str(min(now, ROWS_AT_ONCE) if now > 0 else ROWS_AT_ONCE))
+        _before["writers"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _before["writers"] -= 1
+            if not _before["writers"]:
+                if _before["rows"] is None:
+                    spark.conf.unset(_ROWS)
+                else:
+                    spark.conf.set(_ROWS, _before["rows"])
+
+
 def pieces(amount: float, each: float, least: int = 1) -> int:
     """How many parts of a size make an amount."""
     return max(least, math.ceil(amount / each))

@@ -5,10 +5,11 @@ import subprocess
 import sys
 import textwrap
 
+import pyarrow as pa
 import pytest
 from brute import documents
 
-from quoteflow.llm.common import shipped
+from quoteflow.llm.common import cut, shipped
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -52,3 +53,19 @@ def test_in_a_process_started_elsewhere_without_the_package(tmp_path):
     done = subprocess.run([sys.executable, str(job), *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-3000:]
     assert [line.split()[0] for line in done.stdout.splitlines()] == names
+
+
+@pytest.mark.parametrize("rows", [None, "10000", "300", "0"])
+def test_a_write_puts_the_size_of_batches_back(spark, rows):
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", dict(spark.conf.getAll)
+    if rows is not None:
+        spark.conf.set(name, rows)
+    try:
+        kept = dict(spark.conf.getAll)
+        sizes = lambda batches: (b.slice(0, 1).set_column(0, "n", pa.array([b.num_rows])) for b in batches)
+        found = cut(spark.range(0, 5000, 1, 1).select("id").mapInArrow(sizes, "n long"), "batches")
+        assert max(r.n for r in found.collect()) == (300 if rows == "300" else 1000)
+        assert dict(spark.conf.getAll) == kept
+    finally:
+        spark.conf.unset(name)
+    assert dict(spark.conf.getAll) == before
