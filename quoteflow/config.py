@@ -11,6 +11,7 @@ from typing import Any
 
 from quoteflow.functions.formats import FORMATS
 
+FILES_AT_ONCE = 8
 STORE_VARIABLE = "QUOTEFLOW_STORE"
 
 
@@ -31,7 +32,8 @@ class SinkOptions:
 
     batch_size: int = 500  # rows per round trip to a database, see sources.store.jdbc_sink
     max_latency: timedelta = timedelta(seconds=1)  # time between micro-batches
-    max_files: int | None = None  # landed files that one micro-batch takes, which bounds its size
+    max_files: int | None = None  # landed files that one micro-batch takes
+    max_rows: int | None = None  # ticks that one micro-batch takes; files are landed small enough for that
     max_attempts: int = 5
     backoff_initial: timedelta = timedelta(milliseconds=200)
     backoff_max: timedelta = timedelta(seconds=5)
@@ -43,6 +45,8 @@ class SinkOptions:
             raise ConfigError("max_attempts must be at least 1")
         if self.batch_size < 1 or (self.max_files is not None and self.max_files < 1):
             raise ConfigError("batch_size and max_files must be at least 1")
+        if self.max_rows is not None and self.max_rows < 1:
+            raise ConfigError("max_rows must be at least 1")
         if self.backoff_initial <= timedelta(0):
             raise ConfigError("backoff_initial must be positive")
         if self.backoff_max < self.backoff_initial:
@@ -52,6 +56,16 @@ class SinkOptions:
         if self.on_exhausted not in ("dead_letter", "fail"):
             raise ConfigError(f"on_exhausted must be 'dead_letter' or 'fail', not {self.on_exhausted!r}")
 
+    @property
+    def files_per_batch(self) -> int | None:
+        """Landed files that one micro-batch takes; several, so that they are read side by side."""
+        return self.max_files if self.max_rows is None else min(self.max_files or FILES_AT_ONCE, self.max_rows)
+
+    @property
+    def rows_per_file(self) -> int | None:
+        """Rows of a landed file, so that no micro-batch has more than ``max_rows``."""
+        return None if self.max_rows is None else self.max_rows // self.files_per_batch
+
     def delay_ceiling(self, failures: int) -> timedelta:
         """The longest wait after that many failed attempts."""
         return min(self.backoff_initial * self.backoff_factor ** (failures - 1), self.backoff_max)

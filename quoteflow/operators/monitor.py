@@ -72,15 +72,16 @@ def metrics(
 ) -> DataFrame:
     """Cumulative snapshots of the whole flow, one at the end of every generation with traffic.
 
-    ``flow`` has a row per source and generation. From ``jobs.flow`` it also has written, dropped and taken
+    ``flow`` has a row per source and generation. From ``jobs.flow`` it also has written, dropped, late and taken
     as the store query counted them, and ``outbound_count`` is what had landed and was not taken. From
     ``flow_by_generation`` alone there is no store: what is accepted stands for what is written, and for
     what waited for the store when the generation ended. ``connections_up`` counts the sources heard from.
     """
     live = "taken" in flow.columns
     if not live:
-        flow = flow.withColumns({"written": F.col("accepted"), "dropped": F.lit(0).cast("bigint"), "taken": F.lit(0).cast("bigint")})
-    sums = ["received", "parse_errors", "ignored", "deduplicated", "written", "dropped", "taken"]
+        none = F.lit(0).cast("bigint")
+        flow = flow.withColumns({"written": F.col("accepted"), "dropped": none, "taken": none, "late_dropped": none})
+    sums = ["received", "parse_errors", "ignored", "deduplicated", "written", "dropped", "taken", "late_dropped"]
     per_generation = flow.groupBy("gen").agg(
         F.sum("accepted").alias("accepted"),
         *[F.sum(c).alias(c) for c in sums],
@@ -91,13 +92,12 @@ def metrics(
         running={f"{c}_so_far": ("sum", c) for c in sums},
     )
     waiting = F.col("received_so_far") - F.col("taken_so_far") if live else F.col("accepted")
-    zero = F.lit(0).cast("bigint")
     return added.select(
         F.timestamp_millis((F.col("gen") + 1) * dedup.window_millis(window)).alias("ts"),
         F.col("received_so_far").alias("received"),
         F.col("parse_errors_so_far").alias("parse_errors"),
         F.col("ignored_so_far").alias("ignored"),
-        zero.alias("late_dropped"),
+        F.col("late_dropped_so_far").alias("late_dropped"),
         F.col("deduplicated_so_far").alias("deduplicated"),
         F.col("written_so_far").alias("written"),
         F.col("dropped_so_far").alias("dropped"),

@@ -1,7 +1,8 @@
 """Values carried along an order, without one task that sees all of it.
 
 The order is cut into spans. Windows run inside a span; what goes over its edge comes from a second pass
-with one row for each span.
+with one row for each span. Both passes read what is carried from a table that is written once: it is a small
+summary of a large input, and the input must not be read for each of them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteflow.session import settled
+
 _RUNNING = {"sum": F.sum, "max": F.max}
 
 
@@ -26,7 +29,7 @@ def carry(
     max of a column up to and with the row. ``span`` must not fall along the order.
     """
     lagged, running = lagged or {}, running or {}
-    df = df.withColumn("_span", span)
+    df = settled(df.withColumn("_span", span), "carry")
     place = F.struct(*order)
     edges = df.groupBy(*keys, "_span").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -104,6 +104,25 @@ def _landing(spark: SparkSession, sf_dir: str, base: str, count: int = 4) -> Ite
         yield f"{base}/frames"
 
 
+def _late_landing(spark: SparkSession, sf_dir: str, base: str, count: int = 4) -> Iterator[str]:
+    """As ``_landing``, but all frames of every seventeenth event come with the last stretch."""
+    frames, slow = _frames(spark, sf_dir), F.floor(F.col("frame_seq") / 10) % 17 == 0
+    parts = [part.filter(~slow) for part in _stretches(frames, count)]
+    for part in [*parts[:-1], parts[-1].unionByName(frames.filter(slow))]:
+        part.write.mode("append").parquet(f"{base}/frames")
+        yield f"{base}/frames"
+
+
+def _watermark_flow(spark: SparkSession, sf_dir: str) -> jobs.Folders:
+    """A flow under the JVM's own policy, with frames that come long after their time."""
+    folders = jobs.Folders(scratch_dir(spark, "watermark-flow"))
+    folders.store.create(spark)
+    policy = lambda ticks: stream_dedup.within_watermark(ticks, timedelta(minutes=10))
+    for landing in _late_landing(spark, sf_dir, folders.base):
+        jobs.run_available(stream_frames(spark, landing), folders, deduplicate=policy)
+    return folders
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.metrics(monitor.flow_by_generation(_classified(spark, sf_dir)), len(SOURCES))
 
@@ -309,6 +328,32 @@ def stream_ticks_landed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame
     return _plain(folders.store.rows(spark))
 
 
+@_query
+def stream_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks that came too late for the policy, kept aside as the flow met them."""
+    folders = _watermark_flow(spark, sf_dir)
+    return _plain(sink.read_late(spark, folders.late).select("source", "ticker", "price", "volume", "ts", "arrival_ts", "frame_seq"))
+
+
+@_query
+def reconcile_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick of a flow with late ones is a re-send, stored, or late."""
+    return jobs.reconciliation(spark, _watermark_flow(spark, sf_dir))
+
+
+@_query
+def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches of at most a quarter of the events' number: what they took together, and whether all kept to it."""
+    folders = jobs.Folders(scratch_dir(spark, "batch-sizes"))
+    folders.store.create(spark)
+    bound = event_feed.read_events(configure(spark), sf_dir).count() // 4 + 1
+    jobs.run_available(_stream(spark, sf_dir), folders, options=SinkOptions(max_rows=bound))
+    batches = sink.read_counters(spark, folders.counters).groupBy("batch_id").agg(F.sum("received").alias("n"))
+    return batches.agg(
+        F.sum("n").alias("ticks"), (F.max("n") <= bound).alias("within_bound"), (F.count(F.lit(1)) >= 4).alias("several")
+    )
+
+
 @_query
 def reconcile_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.reconciliation(spark, _batch_flow(spark, sf_dir))
@@ -373,6 +418,25 @@ def flow_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(monitor.snapshot(_live_metrics(spark, sf_dir)))
 
 
+SNAPSHOT = ["ts", "received", "parse_errors", "ignored", "late_dropped", "deduplicated", "written", "dropped", "outbound_count"]
+
+
+@_query
+def flow_snapshot_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a flow with late ticks, under the policy that drops them."""
+    flow = jobs.flow(spark, _watermark_flow(spark, sf_dir))
+    return _plain(monitor.snapshot(monitor.metrics(flow, len(SOURCES))).select(SNAPSHOT))
+
+
+@_query
+def flow_snapshot_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after what could not be stored was taken from the dead letter."""
+    folders = _batch_flow(spark, sf_dir, lost=SOURCES[1].name)
+    sink.replay_dead_letter(spark, folders.dead_letter, folders.store, folders.counters, batch_id=batch.FIRST_RUN - 1)
+    flow = jobs.flow(spark, folders)
+    return _plain(monitor.snapshot(monitor.metrics(flow, len(SOURCES))).select(SNAPSHOT))
+
+
 @_query
 def throughput_per_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(monitor.throughput(_classified(spark, sf_dir)))

@@ -75,6 +75,14 @@ rate AS (
             / (CAST(ts_us - lag(ts_us) OVER (ORDER BY gen) AS DOUBLE) / 1000000) AS received_per_second
   FROM m)"""
 
+# The frames of every seventeenth event land last, behind four stretches of the others; ten minutes are waited for.
+_LATE = f"""{_TICKS},
+span AS (SELECT min(at_us) AS low, (max(at_us) - min(at_us)) // 4 + 1 AS width FROM fr),
+heard AS (
+  SELECT max(at_us) // 1000 * 1000 - 600000000 AS mark_us FROM fr, span WHERE event_id % 17 <> 0 AND (at_us - low) // width < 3),
+sorted AS (SELECT tk.*, coalesce(event_id % 17 = 0 AND at_us <= mark_us, FALSE) AS late FROM tk, heard),
+kept AS (SELECT DISTINCT {_KEY} FROM sorted WHERE NOT late)"""
+
 _SILENCE = 30 * 60 * 1_000_000
 
 _GAPS = f"""{_FRAMES},
@@ -219,6 +227,29 @@ FROM fr GROUP BY 1, 2""",
             f"""SELECT source, at_us // 1000000 * 1000000 AS interval_start_us, {_STATUS_COUNTS}
 FROM fr GROUP BY 1, 2""",
         ),
+        "stream_late_ticks": _with(_LATE, f"SELECT {_FIVE}, at_us AS arrival_us, frame_seq FROM sorted WHERE late"),
+        "reconcile_watermark": _with(
+            _LATE,
+            """SELECT t.source, t.received, t.received - t.late_dropped - k.written AS deduplicated, t.late_dropped, k.written,
+       CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS unaccounted, TRUE AS balanced
+FROM (SELECT source, count(*) AS received, count(*) FILTER (late) AS late_dropped FROM sorted GROUP BY source) t
+JOIN (SELECT source, count(*) AS written FROM kept GROUP BY source) k ON k.source = t.source""",
+        ),
+        "flow_snapshot_watermark": _with(
+            _LATE,
+            f"""SELECT (max(at_us) // 120000000 + 1) * 120000000 AS ts_us, {_STATUS_COUNTS},
+       (SELECT count(*) FROM sorted WHERE late) AS late_dropped,
+       (SELECT count(*) FROM sorted WHERE NOT late) - (SELECT count(*) FROM kept) AS deduplicated,
+       (SELECT count(*) FROM kept) AS written, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS outbound_count
+FROM fr""",
+        ),
+        "flow_snapshot_replayed": _with(
+            _PER_GEN,
+            """SELECT ts_us, received, parse_errors, ignored, CAST(0 AS BIGINT) AS late_dropped, deduplicated,
+       written + dropped AS written, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS outbound_count
+FROM m ORDER BY gen DESC LIMIT 1""",
+        ),
+        "batch_sizes": _with(_TICKS, "SELECT count(*) AS ticks, TRUE AS within_bound, TRUE AS several FROM tk"),
         "reconcile_by_source": _reconciled("FALSE"),
         "written_equals_stored": _with(
             _DECIDED,

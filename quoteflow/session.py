@@ -42,6 +42,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return tempfile.mkdtemp(prefix=f"quoteflow-{purpose}-")
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The table, written to scratch space and read back: what it comes from is computed once, however often it is used."""
+    path = f"{scratch_dir(df.sparkSession, purpose)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share a table that comes in fewer pieces than there are cores among all of them.
 

@@ -46,6 +46,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def move_path(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder; the folder it goes to is made if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = path(new)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where.getParent())
+    if not files.rename(path(old), where):
+        raise OSError(f"cannot move {old} to {new}")
+
+
 def new_attempt() -> str:
     return uuid.uuid4().hex
 

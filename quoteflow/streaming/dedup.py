@@ -20,6 +20,7 @@ from quoteflow.operators import dedup
 from quoteflow.schemas import KEY, TICKS
 from quoteflow.streaming.combine import combine
 
+# What each policy says of a tick. ``copies`` counts what was offered, whichever row it is said in.
 DECISIONS = T.StructType(
     [TICKS[c] for c in KEY]
     + [
@@ -136,20 +137,39 @@ def exact(
     )
 
 
-def within_watermark(ticks: DataFrame, retention: timedelta = 2 * dedup.DEFAULT_WINDOW) -> DataFrame:
-    """Decisions by the JVM's own operator: accepted ticks only, none rejected.
+def within_watermark(
+    ticks: DataFrame, retention: timedelta = 2 * dedup.DEFAULT_WINDOW, window: timedelta = dedup.DEFAULT_WINDOW
+) -> DataFrame:
+    """Decisions by the JVM's own operator: accepted ticks, none rejected. ``window`` is the grid of ``gen``.
 
     A key is accepted unless it arrived within ``retention`` before. All of it runs in the JVM. Re-sends
-    show as the operator's dropped duplicates. Ticks further behind the newest arrival than ``retention``
-    are late and leave the flow here; ``jobs.reconciliation`` counts them from the landed table.
+    show as the operator's dropped duplicates.
+
+    The operator drops ticks that are ``retention`` or further behind the newest arrival. Ticks of the landed table
+    know how far behind they landed; those are taken out before the operator would drop them and come out as rows
+    that are ``late``. Every tick also gives a row that only counts it, so that the flow's counters are whole.
     """
     retention_ms = dedup.window_millis(retention)
-    survivors = ticks.withWatermark("arrival_ts", f"{retention_ms} milliseconds").dropDuplicatesWithinWatermark(KEY)
-    return survivors.select(
-        *KEY,
-        dedup.generation(F.col("arrival_ts"), retention).alias("gen"),
-        "arrival_ts",
-        "frame_seq",
-        F.lit(1).cast("bigint").alias("copies"),
-        F.lit(True).alias("accepted"),
-    )
+
+    def rows(df: DataFrame, *, copies: int, accepted: bool = False, late: bool = False, known: bool = True) -> DataFrame:
+        return df.select(
+            *[F.col(c) if known or c == "source" else F.lit(None).cast(TICKS[c].dataType).alias(c) for c in KEY],
+            dedup.generation(F.col("arrival_ts"), window).alias("gen"),
+            "arrival_ts",
+            "frame_seq",
+            F.lit(copies).cast("bigint").alias("copies"),
+            F.lit(accepted).alias("accepted"),
+            *([F.lit(late).alias("late")] if landed else []),
+        )
+
+    def survivors(df: DataFrame) -> DataFrame:
+        return df.withWatermark("arrival_ts", f"{retention_ms} milliseconds").dropDuplicatesWithinWatermark(KEY)
+
+    landed = "heard" in ticks.columns
+    if not landed:
+        return rows(survivors(ticks), copies=1, accepted=True)
+    # the watermark is in whole milliseconds, and what lies on it is dropped
+    mark = F.timestamp_millis(F.unix_millis("heard") - retention_ms)
+    late = F.coalesce(F.col("arrival_ts") <= mark, F.lit(False))
+    out = rows(survivors(ticks.filter(~late).drop("heard")), copies=0, accepted=True)
+    return out.unionByName(rows(ticks.filter(late), copies=0, late=True)).unionByName(rows(ticks, copies=1, known=False))

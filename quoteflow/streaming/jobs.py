@@ -1,7 +1,7 @@
 """The streaming flow as two queries over durable tables.
 
-    frames -> classify -> normalized/status=tick|parse_error|ignored      (land)
-    normalized/status=tick -> dedup -> store, dead letter, counters       (store)
+    frames -> classify -> normalized/batch_id=n/status=tick|parse_error|ignored      (land)
+    normalized/*/status=tick -> dedup -> store, dead letter, late, counters          (store)
 
 Landing keeps going while the store is down, and what it is ahead by is the backlog. Every counter
 can be recomputed from the tables the queries leave behind.
@@ -15,18 +15,20 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quoteflow.config import JobConfig, SinkOptions
 from quoteflow.operators import audit, dedup, normalize
-from quoteflow.schemas import CLASSIFIED, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK, STORE_COLUMNS, TICKS
+from quoteflow.schemas import CLASSIFIED, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK
 from quoteflow.sources.registry import bind_formats
 from quoteflow.sources.store import Sink, StoreMissing, TickStore, path_exists
 from quoteflow.streaming import dedup as stream_dedup
-from quoteflow.streaming.sink import batch_writer, read_counters, read_dead_letter
+from quoteflow.streaming.landing import Lander, read_landed, stream_landed
+from quoteflow.streaming.sink import batch_writer, read_counters, read_dead_letter, read_late
 
 Dedup = Callable[[DataFrame], DataFrame]  # ticks -> decisions
 
@@ -43,9 +45,19 @@ class Folders:
 
     @property
     def normalized_runs(self) -> str:
-        """What batch runs have normalized; apart from the stream's files, which Spark keeps a log of."""
+        """What batch runs have normalized; apart from the stream's batches."""
         return f"{self.base}/normalized_runs"
 
+    @property
+    def landings(self) -> str:
+        """What was observed of every batch that landed."""
+        return f"{self.base}/landings"
+
+    @property
+    def archive(self) -> str:
+        """Where files that the store query has taken may be moved to."""
+        return f"{self.base}/archive"
+
     @property
     def store(self) -> TickStore:
         return TickStore(f"{self.base}/ticks")
@@ -54,6 +66,10 @@ class Folders:
     def dead_letter(self) -> str:
         return f"{self.base}/dead_letter"
 
+    @property
+    def late(self) -> str:
+        return f"{self.base}/late"
+
     @property
     def counters(self) -> str:
         return f"{self.base}/counters"
@@ -68,36 +84,38 @@ def _start(writer: DataStreamWriter, every: timedelta | None) -> StreamingQuery:
     return writer.trigger(processingTime=f"{int(every.total_seconds() * 1000)} milliseconds").start()
 
 
-def start_land(frames: DataFrame, folders: Folders, every: timedelta | None = None) -> StreamingQuery:
+def start_land(
+    frames: DataFrame, folders: Folders, every: timedelta | None = None, rows_per_file: int | None = None
+) -> StreamingQuery:
     """Normalize frames and keep every one of them, by what became of it."""
     writer = (
         normalize.classify(frames)
         .writeStream.queryName("land")
-        .format("parquet")
-        .partitionBy("status")
-        .option("path", folders.normalized)
         .option("checkpointLocation", folders.checkpoint("land"))
+        .foreachBatch(Lander(folders.normalized, folders.landings, rows_per_file))
     )
     return _start(writer, every)
 
 
 def landed(spark: SparkSession, folders: Folders) -> DataFrame:
     """Everything normalized so far, by the stream and by batch runs."""
-    out = spark.createDataFrame([], CLASSIFIED)
-    for path in (folders.normalized, folders.normalized_runs):
+    out = read_landed(spark, folders.normalized).select(CLASSIFIED.fieldNames())
+    archived = f"{folders.archive}{urlsplit(folders.normalized).path}"  # the archive repeats the path
+    for path in (archived, folders.normalized_runs):
         if path_exists(spark, path):
             out = out.unionByName(spark.read.schema(CLASSIFIED).parquet(path).select(CLASSIFIED.fieldNames()))
     return out
 
 
 def landed_ticks(
-    spark: SparkSession, folders: Folders, max_files_per_trigger: int | None = None
+    spark: SparkSession, folders: Folders, max_files_per_trigger: int | None = None, archive: bool = False
 ) -> DataFrame:
-    """Normalized ticks as a stream; only their own files are read."""
-    reader = spark.readStream.schema(CLASSIFIED)
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folders.normalized).filter(F.col("status") == STATUS_TICK).select(TICKS.fieldNames())
+    """Normalized ticks as a stream; only their own files are read.
+
+    With ``archive`` Spark moves files that a batch has taken out of the way, so that they are not listed any more.
+    """
+    options = {"cleanSource": "archive", "sourceArchiveDir": folders.archive} if archive else {}
+    return stream_landed(spark, folders.normalized, max_files_per_trigger, **options)
 
 
 def start_store(
@@ -117,8 +135,9 @@ def start_store(
     """
     decide = deduplicate or (lambda df: stream_dedup.exact(df, window, buckets=buckets))
     write = batch_writer(
-        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions(), folders.store.ledger
-    )
+        sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions(), folders.store.ledger,
+        late_path=folders.late,
+    )
     writer = (
         decide(ticks)
         .writeStream.queryName("store")
@@ -135,9 +154,9 @@ def run_available(
     max_files_per_trigger: int | None = None,
 ) -> None:
     """Take every frame that is there through both queries, then end."""
-    spark = frames.sparkSession
-    start_land(frames, folders).awaitTermination()
-    ticks = landed_ticks(spark, folders, max_files_per_trigger)
+    spark, options = frames.sparkSession, options or SinkOptions()
+    start_land(frames, folders, rows_per_file=options.rows_per_file).awaitTermination()
+    ticks = landed_ticks(spark, folders, max_files_per_trigger or options.files_per_batch)
     start_store(ticks, folders, sink=sink, options=options, window=window, deduplicate=deduplicate).awaitTermination()
 
 
@@ -148,19 +167,20 @@ def start_flow(
     """Run both queries until they are stopped. The store must exist.
 
     What is already there is landed first, so that the store query finds the landed table.
-    ``config.sink`` says how often the store query takes a batch, and how many files at most.
+    ``config.sink`` says how often the store query takes a batch, and how many files or ticks at most.
     """
     spark, folders, every = frames.sparkSession, Folders(config.store), config.sink.max_latency
     if not folders.store.exists(spark):
         raise StoreMissing(f"no tick table at {folders.store.path}; create it first")
     bound = bind_formats(frames, config.sources)
-    start_land(bound, folders).awaitTermination()
-    ticks = landed_ticks(spark, folders, config.sink.max_files)
+    rows = config.sink.rows_per_file
+    start_land(bound, folders, rows_per_file=rows).awaitTermination()
+    ticks = landed_ticks(spark, folders, config.sink.files_per_batch)
     store = start_store(
         ticks, folders, sink=sink, options=config.sink, deduplicate=deduplicate, window=config.dedup_window,
         buckets=buckets, every=every,
     )
-    return [start_land(bound, folders, every), store]
+    return [start_land(bound, folders, every, rows), store]
 
 
 def stop_gracefully(queries: list[StreamingQuery], deadline: timedelta = timedelta(seconds=10)) -> bool:
@@ -200,9 +220,8 @@ def backlog(spark: SparkSession, folders: Folders) -> DataFrame:
 
 def tracked_keys(spark: SparkSession, folders: Folders) -> DataFrame:
     """Keys the deduplication remembers, per generation, from the counters of all batches."""
-    accepted = F.sum(F.col("received") - F.col("deduplicated")).alias("accepted")
-    counters = read_counters(spark, folders.counters).filter("gen is not null")
-    return dedup.tracked_keys(counters.groupBy("gen").agg(accepted))
+    accepted = F.sum(F.col("written") + F.col("dropped")).alias("accepted")
+    return dedup.tracked_keys(read_counters(spark, folders.counters).groupBy("gen").agg(accepted))
 
 
 def flow(spark: SparkSession, folders: Folders, window: timedelta = dedup.DEFAULT_WINDOW) -> DataFrame:
@@ -210,53 +229,43 @@ def flow(spark: SparkSession, folders: Folders, window: timedelta = dedup.DEFAUL
 
     ``monitor.metrics`` turns it into snapshots of the flow as it is.
     """
-    names = ["deduplicated", "written", "dropped"]
+    names = ["deduplicated", "written", "dropped", "late_dropped", "taken"]
     seen = landed(spark, folders).groupBy("source", dedup.generation(F.col("arrival_ts"), window).alias("gen")).agg(
         F.count_if(F.col("status") == STATUS_TICK).alias("received"),
         F.count_if(F.col("status") == STATUS_PARSE_ERROR).alias("parse_errors"),
         F.count_if(F.col("status") == STATUS_IGNORED).alias("ignored"),
     )
-    counted = read_counters(spark, folders.counters).filter("gen is not null").groupBy("source", "gen").agg(
-        F.sum("received").alias("taken"), *[F.sum(n).alias(n) for n in names]
+    counted = read_counters(spark, folders.counters).groupBy("source", "gen").agg(
+        F.sum("received").alias("taken"), *[F.sum(n).alias(n) for n in names[:3]]
     )
-    joined = seen.join(counted, ["source", "gen"], "left").fillna(0, [*names, "taken"])
-    return joined.withColumn("accepted", F.col("taken") - F.col("deduplicated"))
+    late = read_late(spark, folders.late).groupBy("source", "gen").agg(F.count(F.lit(1)).alias("late_dropped"))
+    joined = seen.join(counted, ["source", "gen"], "left").join(late, ["source", "gen"], "left").fillna(0, names)
+    return joined.withColumn("accepted", F.col("written") + F.col("dropped"))
 
 
 def reconciliation(spark: SparkSession, folders: Folders) -> DataFrame:
     """The accounting of a finished flow: landed ticks against re-sends, stored, dropped and late ones.
 
-    A tick that the deduplication never took is a re-send if an equal one is stored or in the dead letter,
-    and late if none is. ``exact`` takes every tick and counts its re-sends itself.
+    Re-sends and late ticks are as the store query counted them, batch by batch. A policy of one's own balances if
+    its rows say in ``copies`` what it was offered.
     """
     dead = read_dead_letter(spark, folders.dead_letter, folders.store.ledger)
-    stored = folders.store.rows(spark)
     zero = F.lit(0).cast("bigint")
-    arrived = landed(spark, folders).filter(F.col("status") == STATUS_TICK).groupBy(*STORE_COLUMNS).agg(
-        F.count(F.lit(1)).alias("received")
-    )
-    kept = stored.unionByName(dead.select(STORE_COLUMNS)).distinct()
-    missing = arrived.join(kept, STORE_COLUMNS, "left_anti").groupBy("source").agg(F.sum("received").alias("late"))
-    counted = read_counters(spark, folders.counters).groupBy("source").agg(
-        F.sum("deduplicated").alias("deduplicated"), F.sum("received").alias("taken")
-    )
-    names = ["received", "deduplicated", "taken", "late"]
-
-    def side(df: DataFrame) -> DataFrame:
-        return df.select("source", *[F.col(n) if n in df.columns else zero.alias(n) for n in names])
-
-    per_source = arrived.groupBy("source").agg(F.sum("received").alias("received"))
-    sums = side(per_source).unionByName(side(counted)).unionByName(side(missing)).groupBy("source").agg(
-        *[F.sum(n).alias(n) for n in names]
-    )
-    counters = sums.select(
-        "source",
-        "received",
-        # what was not taken and isn't late has an equal tick that was accepted
-        (F.col("deduplicated") + F.col("received") - F.col("taken") - F.col("late")).alias("deduplicated"),
-        F.col("late").alias("late_dropped"),
+    names = ["received", "deduplicated", "late_dropped"]
+
+    def side(df: DataFrame, name: str, count: Column) -> DataFrame:
+        counted = df.groupBy("source").agg(count.alias(name))
+        return counted.select("source", *[F.col(n) if n == name else zero.alias(n) for n in names])
+
+    arrived = landed(spark, folders).filter(F.col("status") == STATUS_TICK)
+    counters = (
+        side(arrived, "received", F.count(F.lit(1)))
+        .unionByName(side(read_counters(spark, folders.counters), "deduplicated", F.sum("deduplicated")))
+        .unionByName(side(read_late(spark, folders.late), "late_dropped", F.count(F.lit(1))))
+        .groupBy("source")
+        .agg(*[F.sum(n).alias(n) for n in names])
     )
-    return audit.reconcile(counters, stored, dead)
+    return audit.reconcile(counters, folders.store.rows(spark), dead)
 
 
 def written_equals_stored(spark: SparkSession, folders: Folders) -> DataFrame:

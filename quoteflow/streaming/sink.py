@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.config import SinkOptions
-from quoteflow.schemas import DECIMAL, STORE_COLUMNS
+from quoteflow.schemas import DECIMAL, STORE_COLUMNS, TICKS
 from quoteflow.sources.store import DROPPED, Ledger, Sink, TickStore, new_attempt, path_exists
 
 log = logging.getLogger(__name__)
@@ -50,9 +50,12 @@ DEAD_LETTER = T.StructType(
         T.StructField("error", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("attempt", T.StringType()),
+        T.StructField("gen", T.LongType()),
     ]
 )
 
+LATE = T.StructType([*TICKS.fields, T.StructField("gen", T.LongType()), T.StructField("batch_id", T.LongType())])
+
 
 def write_with_retry(
     write: Callable[[], None],
@@ -82,10 +85,12 @@ def batch_writer(
     options: SinkOptions,
     ledger: Ledger,
     sleep: Callable[[float], None] = time.sleep,
+    late_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over dedup decisions.
 
-    ``ledger`` is that of the tick store; with another sink it only says what became of each batch.
+    ``ledger`` is that of the tick store; with another sink it only says what became of each batch. Ticks that a
+    policy calls late go to the table at ``late_path``.
     """
     first = True
 
@@ -101,6 +106,10 @@ def batch_writer(
             if first and ledger.replaced(spark, batch_id):
                 return  # given up, replayed by hand, and now replayed from the checkpoint as well
             first = False
+            if late_path is not None and "late" in decided.columns:
+                late = decided.filter("late").select(*TICKS.fieldNames(), "gen")
+                if not late.isEmpty():
+                    _replace(late, late_path, batch_id)
             error = write_with_retry(lambda: store(accepted, batch_id), options, sleep)
             if error is not None:
                 if options.on_exhausted == "fail":
@@ -117,9 +126,10 @@ def batch_writer(
 
 def _counters(decided: DataFrame, stored: bool) -> DataFrame:
     accepted, none = F.count_if("accepted"), F.lit(0).cast("bigint")
+    late = F.count_if("late") if "late" in decided.columns else none
     return decided.groupBy("source", "gen").agg(
         F.sum("copies").alias("received"),
-        (F.sum("copies") - accepted).alias("deduplicated"),
+        (F.sum("copies") - accepted - late).alias("deduplicated"),
         (accepted if stored else none).alias("written"),
         (none if stored else accepted).alias("dropped"),
     )
@@ -127,7 +137,7 @@ def _counters(decided: DataFrame, stored: bool) -> DataFrame:
 
 def _dead_rows(accepted: DataFrame, error: str, attempt: str) -> DataFrame:
     return accepted.select(
-        *STORE_COLUMNS, "arrival_ts", "frame_seq", F.lit(error).alias("error"), F.lit(attempt).alias("attempt")
+        *STORE_COLUMNS, "arrival_ts", "frame_seq", F.lit(error).alias("error"), F.lit(attempt).alias("attempt"), "gen"
     )
 
 
@@ -150,10 +160,18 @@ def _add(df: DataFrame, path: str, batch_id: int, *below: str) -> None:
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    """Received, deduplicated, written and dropped per batch, source and generation."""
+    """Received, deduplicated, written and dropped per batch, source and generation.
+
+    Of the ticks received, those that are not counted further are late.
+    """
     return _read_or_empty(spark, path, COUNTERS)
 
 
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """The ticks that came too late for the policy, with their generation and batch."""
+    return _read_or_empty(spark, path, LATE)
+
+
 def read_dead_letter(spark: SparkSession, path: str, ledger: Ledger) -> DataFrame:
     """The ticks of batches that are given up as things stand."""
     return ledger.visible(_read_or_empty(spark, path, DEAD_LETTER), DROPPED)
@@ -163,16 +181,17 @@ def replay_dead_letter(spark: SparkSession, path: str, store: TickStore, counter
     """Move everything in the dead-letter table into the store, as one batch.
 
     Choose an id that no stream uses. The ledger row that makes the ticks visible in the store is the
-    one that takes them out of the dead letter. Counters get what was written and is no longer dropped.
+    one that takes them out of the dead letter. Counters get what was written and is no longer dropped, in the
+    generations it arrived in.
     """
     dead = read_dead_letter(spark, path, store.ledger)
     ids = [r[0] for r in dead.select("batch_id").distinct().collect()]  # one for each batch given up
     if not ids:
         return
-    moved = dead.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    moved = dead.groupBy("source", "gen").agg(F.count(F.lit(1)).alias("n"))
     zero, n = F.lit(0).cast("bigint"), F.col("n")
     counted = moved.select(
-        "source", F.lit(None).cast("bigint").alias("gen"), zero.alias("received"), zero.alias("deduplicated"),
+        "source", "gen", zero.alias("received"), zero.alias("deduplicated"),
         n.alias("written"), (-n).alias("dropped"),
     )
     _replace(counted, counters_path, batch_id)
