@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from quoteflow.functions.formats import FORMATS
 from quoteflow.operators import audit, dedup, fanin, monitor, normalize
 from quoteflow.plans import batch, event_feed
 from quoteflow.schemas import KEY, TICKS
-from quoteflow.session import configure, scratch_dir
+from quoteflow.session import configure, scratch_dir, settled
 from quoteflow.sources.frames import read_frames, stream_frames
 from quoteflow.sources.registry import bind_formats, registry_table
 from quoteflow.streaming import dedup as stream_dedup
@@ -328,6 +328,18 @@ def stream_ticks_landed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame
     return _plain(folders.store.rows(spark))
 
 
+@_query
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty small batches merged into one, and what they were removed."""
+    store = jobs.Folders(scratch_dir(spark, "compacted")).store.create(spark)
+    accepted = settled(dedup.deduplicate(_ticks(spark, sf_dir)), "accepted")
+    for i in range(50):
+        store.write(accepted.filter(F.pmod(F.xxhash64(*KEY, "frame_seq"), F.lit(50)) == i), i, files_per_batch=1)
+    store.compact(spark, before=date.max)
+    store.vacuum(spark, timedelta(0))
+    return _plain(store.rows(spark))
+
+
 @_query
 def stream_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks that came too late for the policy, kept aside as the flow met them."""

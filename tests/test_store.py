@@ -1,7 +1,7 @@
 """The tick table and writing to it through faults."""
 
 import glob
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pyarrow.parquet as pq
@@ -244,3 +244,63 @@ def test_jdbc_sink_sends_five_columns_in_batches(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "jdbc", jdbc)
     jdbc_sink("jdbc:postgresql://h/db", batch_size=200, user="u")(rows(spark, 1), 0)
     assert seen == {"url": "jdbc:postgresql://h/db", "table": "ticks", "properties": {"user": "u"}}
+
+
+def stored_files(store):
+    return glob.glob(f"{store.path}/event_date=*/batch_id=*/attempt=*/*.parquet")
+
+
+def test_compaction_leaves_few_files_in_order_of_time_and_readers_undisturbed(spark, store):
+    day = lambda i: datetime(2026, 3, 1 + i % 3, i % 24, i)
+    for i in range(50):
+        df = dedup.decisions(ticks(spark, [tick(0, 2 * i + k, price=1 + 2 * i + k, ts=day(i + k)) for k in range(2)]))
+        store.write(df, i, files_per_batch=1)
+    assert len(stored_files(store)) == 100
+    reader, before = store.rows(spark), sorted(map(tuple, store.rows(spark).collect()))
+    late = dedup.decisions(ticks(spark, [tick(0, 999, price=999, ts=datetime(2026, 3, 9))]))
+    store.write(late, 50)
+    assert store.compact(spark, date(2026, 3, 9), rows_per_file=20) == 50
+    assert store.vacuum(spark, timedelta(hours=1)) == 0  # too young to be removed
+    assert sorted(map(tuple, reader.collect())) == before
+    assert store.rows(spark).count() == 101
+    assert store.vacuum(spark, timedelta(0)) == 100
+    assert sorted(map(tuple, store.rows(spark).filter("price < 999").collect())) == before
+    files = [f for f in stored_files(store) if "batch_id=50/" not in f]
+    assert len(files) <= 3 * 3  # of 33 or 34 rows a day, in files of 20 that may begin inside a day
+    spans = []
+    for f in files:
+        ts = pq.read_table(f, columns=["ts"], partitioning=None).column("ts").to_pylist()
+        spans.append((min(ts), max(ts)))
+    spans.sort()
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    # a batch that comes back from a checkpoint is known to be there
+    assert store.ledger.replaced(spark, 7) and not store.ledger.replaced(spark, 50)
+
+
+def test_compacted_batches_are_compacted_again(spark, store):
+    for i in range(6):
+        store.write(rows(spark, 3, first=3 * i), i)
+        if i % 2:
+            assert store.compact(spark, date.max) == (2 if i == 1 else 3)
+            store.vacuum(spark, timedelta(0))
+    assert store.rows(spark).select("price").distinct().count() == store.rows(spark).count() == 18
+    assert all(store.ledger.replaced(spark, i) for i in range(6))
+    assert store.compact(spark, date.max) == 0
+    assert store.ledger.rows(spark).count() <= 10 and len(store.ledger.rows(spark).inputFiles()) == 1
+
+
+def test_a_clock_that_goes_back_does_not_bring_an_old_attempt_back(spark, store, monkeypatch):
+    store.write(rows(spark, 3), 0)
+    monkeypatch.setattr("time.time_ns", lambda: 5)
+    store.write(rows(spark, 1, first=50), 0)
+    monkeypatch.setattr("quoteflow.sources.store._numbers", {})  # a new process
+    store.write(rows(spark, 2, first=70), 0)
+    assert sorted(int(r.price) for r in store.rows(spark).collect()) == [170, 171]
+
+
+def test_files_of_a_write_under_way_outlive_a_vacuum(spark, store):
+    store.write(rows(spark, 2), 0)
+    stray = store.scan(spark).withColumn("batch_id", F.lit(9).cast("long")).select("source", "ticker", "price", "volume", "ts", "event_date", "batch_id", "attempt")
+    stray.write.mode("append").partitionBy("event_date", "batch_id", "attempt").parquet(store.path)
+    assert store.vacuum(spark, timedelta(minutes=5)) == 0 and len(stored_files(store)) >= 2
+    assert store.vacuum(spark, timedelta(0)) == 1 and store.rows(spark).count() == 2
