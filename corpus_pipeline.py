@@ -1,7 +1,7 @@
 """From raw documents to token digests: quality, near-duplicates, benchmark items, personal data, tokens.
 
-``STAGES`` are run one after the other; each gets what the one before it wrote as Parquet. The first four return
-the columns of ``documents``. Rows that are kept keep their ``doc_id``.
+``STAGES`` are run one after the other; each writes its result as Parquet, in small batches of texts whatever the
+session's settings are, and gives it as read back, which the next one takes. The first four return the columns of ``documents``. Rows that are kept keep their ``doc_id``.
 
 Defined cases are those of the operators: documents without words are rejected as junk; of documents linked at
 Jaccard 0.8 on 5-word shingles the one of the least id stays; documents that contain 0.8 of a benchmark item's
@@ -18,27 +18,27 @@ from quoteflow.llm.common import cut, table
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    return quality.keep_good(docs)
+    return cut(quality.keep_good(docs), "good")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return ngram_join.keep_one(docs)
+    return cut(ngram_join.keep_one(docs), "distinct")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return cut(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), "clean")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by marks."""
-    return pii.redact(docs)
+    return cut(pii.redact(docs), "private")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's count of ids, and digests of the ids and of the text they decode to."""
-    return pieces.digests(pieces.piece_ids(docs, decoded=True))
+    return cut(pieces.digests(pieces.piece_ids(docs, decoded=True)), "tokens")
 
 
 STAGES = [
@@ -54,6 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
