@@ -223,6 +223,85 @@ s AS (
 )
 SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 20
+""",
+    "op12_secret_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+pattern(kind, regex) AS (VALUES ('assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+')),
+hit AS (
+    SELECT r, kind, i, length(gap) + coalesce(length(found), 0) AS size, gap, found, sum(size) OVER (PARTITION BY r, kind ORDER BY i) AS after
+    FROM (SELECT r, kind, generate_subscripts(gaps, 1) AS i, unnest(gaps) AS gap, unnest(list_concat(founds, [NULL])) AS found FROM (
+        SELECT r, kind, string_split_regex(text, regex) AS gaps, regexp_extract_all(text, regex) AS founds FROM d, pattern
+        WHERE regexp_matches(text, regex) OR kind = 'assign'))
+), base AS (
+    SELECT r, kind, after - length(found) AS b, after AS e FROM hit JOIN pattern USING (kind)
+    WHERE found IS NOT NULL AND CASE kind WHEN 'assign' THEN length(regexp_extract(found, regex, 1)) >= 6
+        WHEN 'access' THEN length(found) >= 20 ELSE length(found) >= 24 END
+), run AS (
+    SELECT r, before + after - length(found) AS b, before + after AS e, found FROM (
+        SELECT r, i, j, before, found, sum(length(gap) + coalesce(length(found), 0)) OVER (PARTITION BY r, i ORDER BY j) AS after
+        FROM (SELECT r, i, before, generate_subscripts(gaps, 1) AS j, unnest(gaps) AS gap, unnest(list_concat(founds, [NULL])) AS found FROM (
+            SELECT r, i, after - size AS before, string_split_regex(gap, '[A-Za-z0-9+/_=-]{14,}') AS gaps,
+                regexp_extract_all(gap, '[A-Za-z0-9+/_=-]{14,}') AS founds FROM hit WHERE kind = 'assign')))
+    WHERE found IS NOT NULL
+), named AS (
+    SELECT r, b, e, body, CASE
+        WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') AND digit AND (upp OR low) THEN 'hex'
+        WHEN regexp_full_match(body, '[A-Z2-7]+') AND digit AND upp THEN 'base32'
+        WHEN regexp_full_match(body, '[A-Za-z0-9+/]+|[A-Za-z0-9_-]+') AND digit AND upp AND low THEN 'base64' END AS encoding
+    FROM (SELECT *, regexp_matches(body, '[0-9]') AS digit, regexp_matches(body, '[A-Z]') AS upp, regexp_matches(body, '[a-z]') AS low
+        FROM (SELECT *, regexp_replace(found, '=+$', '') AS body FROM run
+            WHERE length(found) >= 16 AND NOT regexp_matches(found, '[0-9a-f]{24}|AKIA[A-Z0-9]{16}')))
+), edge(band, least) AS (VALUES (0, 16), (1, 24), (2, 32), (3, 48), (4, 64)),
+joined AS (SELECT r, string_agg(found, '' ORDER BY b) AS s FROM run WHERE regexp_full_match(found, '[A-Za-z]+') GROUP BY r),
+piece AS (
+    SELECT DISTINCT band, w, encoding, CASE encoding WHEN 'hex' THEN lower(hex(w[:least // 2])) WHEN 'base32' THEN upper(w) ELSE w END AS s
+    FROM (SELECT band, least, unnest(regexp_extract_all(s, '.{' || least || '}')) AS w FROM joined, edge), (VALUES ('hex'), ('base32'), ('base64')) AS v(encoding)
+), sample AS (
+    SELECT r, b, e, encoding, (SELECT max(band) FROM edge WHERE least <= length(s)) AS band, s FROM (
+        SELECT r, b, e, encoding, CASE encoding WHEN 'hex' THEN lower(body) WHEN 'base32' THEN body ELSE translate(body, '-_', '+/') END AS s
+        FROM named WHERE encoding IS NOT NULL) WHERE length(s) >= 16
+), a(encoding, alphabet, level) AS (VALUES ('hex', '0123456789abcdef', '0000111122223333'),
+    ('base32', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', '00000000111111112222222233333333'),
+    ('base64', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', repeat('0', 16) || repeat('1', 16) || repeat('2', 16) || repeat('3', 16))),
+x AS (
+    SELECT encoding, s, length(s)::DOUBLE AS n, length(alphabet) AS k, translate(s, alphabet, level) AS lv, translate(lv, '0123', '0011') AS hf,
+        list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(length(s) - length(replace(s, c, '')), 2))) AS squares
+    FROM (SELECT encoding, s FROM piece UNION SELECT encoding, s FROM sample) JOIN a USING (encoding)
+), z AS (
+    SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2.0 * (k - 1) * (n - 1) / n) AS z1,
+        2.0 * length(replace(hf, '1', '')) * length(replace(hf, '0', '')) / n + 1 AS mean, (mean - 1) * (mean - 2) / (n - 1) AS var,
+        1 + (length(hf) - length(replace(hf, '01', ''))) / 2 + (length(hf) - length(replace(hf, '10', ''))) / 2 AS runs,
+        CASE WHEN var > 0 THEN abs(runs - mean) / sqrt(var) ELSE 40 END AS z2,
+        list_sum(list_transform([['01', '1'], ['02', '4'], ['03', '9'], ['10', '1'], ['12', '1'], ['13', '4'], ['20', '4'], ['21', '1'], ['23', '1'],
+            ['30', '9'], ['31', '4'], ['32', '1']], lambda p: p[2]::INT * (length(lv) - length(replace(lv, p[1], ''))) / 2)) AS steps,
+        abs(steps - 2.5 * (n - 1)) / sqrt(8.25 * (n - 1) + 2.0 * (n - 2)) AS z3
+    FROM x
+), t AS (
+    SELECT encoding, s, least(99, floor(100 * exp(-y) * (1 + y + y * y / 2)))::INT AS bin FROM (SELECT encoding, s,
+        ln(1 + exp(least(700, 0.07056 * pow(z1, 3) + 1.5976 * z1))) - least(0, ln(2) - ln(1 + exp(least(700, 0.07056 * pow(z2, 3) + 1.5976 * z2))))
+            - least(0, ln(2) - ln(1 + exp(least(700, 0.07056 * pow(z3, 3) + 1.5976 * z3)))) AS y FROM z)
+), ww AS (SELECT encoding, band, bin, count(*) AS n FROM (SELECT DISTINCT encoding, band, s, bin FROM piece JOIN t USING (encoding, s)) GROUP BY ALL),
+rr AS (
+    SELECT encoding, band, bin, sum(n) OVER (PARTITION BY encoding, band ORDER BY bin DESC) AS reported, sum(n) OVER (PARTITION BY encoding, band) AS m
+    FROM (SELECT encoding, band, bin, count(*) AS n FROM (SELECT DISTINCT encoding, band, s, bin FROM sample JOIN t USING (encoding, s)) GROUP BY ALL)
+), p AS (
+    SELECT rr.encoding, rr.band, rr.bin, reported, m, (1 + sum(CASE WHEN ww.bin >= rr.bin THEN ww.n ELSE 0 END)) / (1 + sum(ww.n)) AS p
+    FROM rr JOIN ww ON ww.encoding = rr.encoding AND ww.band <= rr.band GROUP BY rr.encoding, rr.band, rr.bin, reported, m, ww.band
+), low AS (
+    SELECT encoding, band, min(bin) AS bin FROM (SELECT encoding, band, bin, reported, m, min(p) AS p FROM p GROUP BY ALL)
+    WHERE p * m <= 0.01 * reported GROUP BY ALL
+), extra AS (
+    SELECT r, 'random' AS kind, b, e FROM sample JOIN t USING (encoding, s) JOIN low ON low.encoding = sample.encoding AND low.band = sample.band AND t.bin >= low.bin
+), spans AS (
+    SELECT r, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, list_position(['assign', 'access', 'hex', 'random'], kind)) AS line,
+        string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, list_position(['assign', 'access', 'hex'], kind)) FILTER (WHERE kind <> 'random') AS based,
+        count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+        count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'random') AS n_random
+    FROM (SELECT r, kind, b, e FROM base UNION ALL SELECT r, kind, b, e FROM extra) GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(based, '')) AS base_sha256, coalesce(line, '') AS spans, coalesce(n_random, 0) AS n_random FROM d LEFT JOIN spans USING (r)
 """,
     "op13_conversation_prefix_trie": r"""
 WITH t AS (

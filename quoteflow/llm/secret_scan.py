@@ -38,9 +38,12 @@ KINDS = ["assign", "access", "hex", "random"]
 _OPEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ASSIGN = _OPEN + "([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}+"
-HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
+HEX = "[0-9a-f]{24,}+"
+_RUN = "[A-Za-z0-9+/_=-]{14,}+"
 #: An assignment, or a run that stops where one begins.
 _EITHER = rf"{ASSIGN}|(?<![A-Za-z0-9+/_=-])(?:(?!{_OPEN}[A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]){{14,}}+"
+#: What every assignment has, and few texts.
+_GIVEN = r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]"
 
 # fixed values: the alphabets of the encodings, in the order of their symbols' values
 ALPHABETS = {
@@ -51,7 +54,7 @@ ALPHABETS = {
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as an array of (begin, end, found)."""
+    """All matches of a pattern as an array of (begin, end, found), in the order of the text."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(
         gaps,
@@ -72,7 +75,11 @@ def matches(text: Column, pattern: str) -> Column:
         placed = F.filter(F.reduce(rounds, parts, doubled), lambda x: x["found"].isNotNull())
         return F.transform(placed, lambda x: F.struct((x["end"] - x["n"]).alias("begin"), x["end"].alias("end"), x["found"].alias("found")))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, summed)).otherwise(F.array().cast("array<struct<begin:int,end:int,found:string>>"))
+    return let(parts, summed)
+
+
+def _if(condition: Column, found: Column) -> Column:
+    return F.when(condition, found).otherwise(F.array().cast("array<struct<begin:int,end:int,found:string>>"))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -217,7 +224,10 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id and the spans (begin, kind as a number of ``KINDS``, end) of every row, by begin, then kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    rows = rows.select("doc_id", matches(F.col("text"), _EITHER).alias("either"), matches(F.col("text"), ACCESS).alias("access"), matches(F.col("text"), HEX).alias("hex"))
+    text = F.col("text")
+    either = F.when(text.rlike(_GIVEN) & text.rlike(ASSIGN), matches(text, _EITHER)).otherwise(matches(text, _RUN))
+    access, hexes = _if(text.contains("AKIA"), matches(text, ACCESS)), _if(text.rlike(HEX), matches(text, HEX))
+    rows = rows.select("doc_id", either.alias("either"), access.alias("access"), hexes.alias("hex"))
     assigned = F.filter("either", lambda x: F.length(F.regexp_extract(x["found"], f"^{ASSIGN}", 1)) >= 6)
     base = F.array_sort(F.concat(_spans(assigned, "assign"), _spans(F.col("access"), "access"), _spans(F.col("hex"), "hex")))
     found = cut(rows.select("doc_id", base.alias("base"), _runs(F.col("either")).alias("runs"), _ordinary(F.col("either")).alias("windows")), "secrets")
