@@ -31,7 +31,9 @@ def generation(arrival_ts: Column, window: timedelta) -> Column:
     return F.floor((millis - F.pmod(millis, F.lit(width))) / width).cast("bigint")
 
 
-def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[str] = KEY) -> DataFrame:
+def decisions(
+    ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[str] = KEY, remembered: DataFrame | None = None
+) -> DataFrame:
     """One row per key and generation: first and last arrival, copies, and whether it is accepted.
 
     Copies are counted before the first shuffle, so a key that holds a large share of all rows
@@ -39,6 +41,9 @@ def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[st
 
     A key's generations fall into runs without gaps. After a gap the next one is always accepted,
     and inside a run every second one is, starting with the first.
+
+    ``remembered`` has keys and generations they were accepted in before these ticks came, as ``memory`` gives them.
+    Such a generation begins a run, and what comes in it now is a re-send.
     """
     candidates = (
         ticks.withColumn("gen", generation(F.col("arrival_ts"), window))
@@ -49,15 +54,19 @@ def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[st
             F.min(_arrival_order()).alias("_order"),
             F.count(F.lit(1)).alias("copies"),
         )
-        # All keys of a source start alike; sorting by a hash first settles nearly every comparison.
-        .withColumn("_hash", F.xxhash64(*key))
+        .withColumn("_before", F.lit(False))
     )
+    if remembered is not None:
+        candidates = _with_memory(candidates, remembered, key)
+    # All keys of a source start alike; sorting by a hash first settles nearly every comparison.
+    candidates = candidates.withColumn("_hash", F.xxhash64(*key))
     by_key = Window.partitionBy("_hash", *key).orderBy("gen")
     previous = F.lag("gen").over(by_key)
     run_start = F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         candidates.withColumn("_starts", F.when(previous.isNull() | (F.col("gen") - previous > 1), F.col("gen")))
-        .withColumn("accepted", (F.col("gen") - run_start) % 2 == 0)
+        .withColumn("accepted", ((F.col("gen") - run_start) % 2 == 0) & ~F.col("_before"))
+        .filter("copies > 0")
         .select(
             *key,
             "gen",
@@ -70,6 +79,32 @@ def decisions(ticks: DataFrame, window: timedelta = DEFAULT_WINDOW, key: list[st
     )
 
 
+def _with_memory(candidates: DataFrame, remembered: DataFrame, key: list[str]) -> DataFrame:
+    """Candidates and remembered generations as one row for each key and generation.
+
+    What is remembered is two generations and joins the shuffle that the candidates need anyway.
+    """
+    others = [c for c in candidates.columns if c not in (*key, "gen", "copies", "_before")]
+    types = dict(candidates.dtypes)
+    before = remembered.select(
+        *key, "gen", *[F.lit(None).cast(types[c]).alias(c) for c in others], F.lit(0).cast("bigint").alias("copies"), F.lit(True).alias("_before")
+    )
+    return candidates.unionByName(before).groupBy(*key, "gen").agg(
+        *[F.max(c).alias(c) for c in others], F.sum("copies").alias("copies"), F.bool_or("_before").alias("_before")
+    )
+
+
+def memory(decided: DataFrame, remembered: DataFrame | None = None, key: list[str] = KEY) -> DataFrame:
+    """Keys and generations that ticks from now on can still meet: those accepted in the newest generation and the one before."""
+    accepted = decided.filter("accepted").select(*key, "gen")
+    if remembered is not None:
+        accepted = accepted.unionByName(remembered.select(*key, "gen"))
+        newest = decided.select("gen").unionByName(remembered.select("gen")).agg(F.max("gen").alias("newest"))
+    else:
+        newest = decided.agg(F.max("gen").alias("newest"))
+    return accepted.join(F.broadcast(newest), F.col("gen") >= F.col("newest") - 1).drop("newest")  # one row
+
+
 def _order_base() -> Column:
     return F.unix_micros("arrival_ts").cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19))
 

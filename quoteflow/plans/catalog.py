@@ -328,6 +328,16 @@ def stream_ticks_landed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame
     return _plain(folders.store.rows(spark))
 
 
+@_query
+def dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five batch runs store, cut anywhere in time, each with the memory of the one before."""
+    folders = jobs.Folders(scratch_dir(spark, "runs"))
+    folders.store.create(spark)
+    for run, part in enumerate(_stretches(_frames(spark, sf_dir), 5)):
+        batch.run_batch(part, folders, run=run, remember=True)
+    return _plain(folders.store.rows(spark))
+
+
 @_query
 def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty small batches merged into one, and what they were removed."""

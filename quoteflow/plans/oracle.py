@@ -204,6 +204,7 @@ FROM fr JOIN (VALUES ('exchange-a', 'A'), ('exchange-b', 'B'), ('exchange-c', 'C
         "stream_dedup_watermark": _with(_TICKS, f"SELECT DISTINCT {_FIVE}, 0 AS ts_sub_us FROM tk"),
         "stream_ticks_landed": stored,
         "store_compacted": stored,
+        "dedup_across_runs": stored,
         "dedup_decisions_by_source": _with(
             _DECIDED,
             """SELECT t.source, t.received, a.accepted, t.received - a.accepted AS deduplicated

@@ -53,6 +53,11 @@ class Folders:
         """What was observed of every batch that landed."""
         return f"{self.base}/landings"
 
+    @property
+    def memory(self) -> str:
+        """Keys that batch runs remember for the next."""
+        return f"{self.base}/memory"
+
     @property
     def archive(self) -> str:
         """Where files that the store query has taken may be moved to."""

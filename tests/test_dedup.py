@@ -9,6 +9,7 @@ from helpers import T0, at, tick, ticks
 from pyspark.sql import functions as F
 
 from quoteflow.operators import dedup
+from quoteflow.session import settled
 
 MINUTE = 60
 
@@ -136,3 +137,27 @@ def test_the_dedup_aggregates_by_hash(spark):
 def test_the_window_must_be_positive(window):
     with pytest.raises(ValueError, match="positive"):
         dedup.window_millis(window)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_cut_anywhere_in_time_decide_as_one_run(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted((tick(rng.random() * 1500, i, ticker=f"K{rng.randrange(12)}") for i in range(400)), key=lambda r: r[6])
+    whole = {(r.ticker, r.gen) for r in dedup.decisions(ticks(spark, rows)).filter("accepted").collect()}
+    cuts = [0, *sorted(rng.sample(range(400), 5)), 400]
+    got, before = [], None
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        decided = settled(dedup.decisions(ticks(spark, rows[a:b]), remembered=before), "run")
+        got += [(r.ticker, r.gen) for r in decided.filter("accepted").collect()]
+        before = settled(dedup.memory(decided, before), "memory")
+        assert before.select("gen").distinct().count() <= 2
+    assert len(got) == len(set(got)) and set(got) == whole
+
+
+def test_a_run_without_ticks_keeps_what_is_remembered(spark):
+    first = dedup.decisions(ticks(spark, [tick(0, 0)]))
+    kept = dedup.memory(first)
+    empty = dedup.decisions(ticks(spark, []), remembered=kept)
+    assert empty.isEmpty() and dedup.memory(empty, kept).count() == 1
+    again = dedup.decisions(ticks(spark, [tick(1, 1)]), remembered=dedup.memory(empty, kept))
+    assert [(r.copies, r.accepted) for r in again.collect()] == [(1, False)]
