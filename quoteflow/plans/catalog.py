@@ -17,7 +17,7 @@ from quoteflow.session import configure, scratch_dir, settled
 from quoteflow.sources.frames import read_frames, stream_frames
 from quoteflow.sources.registry import bind_formats, registry_table
 from quoteflow.streaming import dedup as stream_dedup
-from quoteflow.streaming import jobs, sink
+from quoteflow.streaming import jobs, sink, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -272,6 +272,18 @@ def stream_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(decided.filter("accepted").select(TICKS.fieldNames()))
 
 
+@_query
+def stream_tracked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After each of four micro-batches, the keys in the state that the newest ticks can meet."""
+    base, rows = scratch_dir(spark, "stream-state"), []
+    for nth, landing in enumerate(_landing(spark, sf_dir, base)):
+        ticks = normalize.ticks(normalize.classify(stream_frames(spark, landing)))
+        newest = _run_to_table(stream_dedup.exact(ticks, buckets=STREAM_BUCKETS), base).agg(F.max("gen")).first()[0]
+        if newest is not None:
+            rows.append((nth, newest, state.tracked(state.exact_keys(spark, f"{base}/checkpoint"), newest)))
+    return spark.createDataFrame(rows, "nth int, gen long, tracked_keys long")
+
+
 @_query
 def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retention beyond the last re-send, so every key survives exactly once."""

@@ -205,6 +205,13 @@ FROM fr JOIN (VALUES ('exchange-a', 'A'), ('exchange-b', 'B'), ('exchange-c', 'C
         "stream_ticks_landed": stored,
         "store_compacted": stored,
         "dedup_across_runs": stored,
+        "stream_tracked_keys": _with(
+            _DECIDED,
+            """, span AS (SELECT min(at_us) AS low, (max(at_us) - min(at_us)) // 4 + 1 AS width FROM fr),
+newest AS (SELECT nth, max(gen) AS gen FROM tk, span, (VALUES (0), (1), (2), (3)) AS n(nth) WHERE (at_us - low) // width <= nth GROUP BY nth)
+SELECT nth, newest.gen, (SELECT count(*) FROM acc, span WHERE acc.gen IN (newest.gen, newest.gen - 1) AND (at_us - low) // width <= nth) AS tracked_keys
+FROM newest""",
+        ),
         "dedup_decisions_by_source": _with(
             _DECIDED,
             """SELECT t.source, t.received, a.accepted, t.received - a.accepted AS deduplicated
