@@ -1,0 +1,119 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from brute import documents
+
+from quoteflow.llm import ranked_search
+from quoteflow.llm.ranked_search import ranked
+
+_UPPER = {c: c + 32 for c in range(65, 91)}
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(_UPPER))
+
+
+def plain(docs, items, top=20):
+    bags = [(i, Counter(terms(t))) for i, t in docs]
+    bags = [(i, c) for i, c in bags if c]
+    n_docs, n_terms = len(bags), sum(sum(c.values()) for _, c in bags)
+    df = Counter(x for _, c in bags for x in c)
+    out = []
+    for item, text in sorted({x for x in items if x[0] is not None and x[1] is not None}):
+        scores = []
+        for i, c in bags:
+            m = 75 + 25 * sum(c.values()) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (1000000000 * c[x] // (1000 * c[x] + 12 * m)) for x in terms(text) if c[x])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, k, i, -s) for k, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:top], 1)]
+    return sorted(out, key=repr)
+
+
+def items(spark, rows):
+    return spark.createDataFrame([(i, t, None) for i, t in rows], "item_id long, text string, rank int")
+
+
+def check(spark, docs, queries, **how):
+    got = ranked(documents(spark, docs).repartition(3), items(spark, queries), **how)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(docs, queries, how.get("top", 20))
+
+
+DOCS = [
+    (1, "Der Hund und die Katze, die KATZE"),
+    (2, "der hund; und die katze! die katze?"),  # the same bag
+    (3, "katze katze katze"),
+    (4, None),
+    (5, ""),
+    (6, " .,;- "),
+    (7, "ÄPFEL äpfel Äpfel 日本語 x1 X1"),  # only A-Z are lower-cased
+    (None, "katze ohne nummer"),
+    (None, "katze ohne nummer"),
+    (8, "katze"),
+    (8, "katze"),  # the same row twice
+    (8, "hund hund"),
+    (9, "unrelated words only"),
+    (10, "antidisestablishmentarianism antidisestablishmentarianisms antidisest"),
+]
+ITEMS = [
+    (1, "katze hund"),
+    (2, "katze katze KATZE"),  # repeats count
+    (3, "nowhere to be found"),
+    (4, ""),
+    (5, None),
+    (None, "katze"),
+    (6, "äpfel 日本語 x1"),
+    (7, "katze hund"),
+    (7, "katze hund"),  # one item
+    (8, "antidisestablishmentarianism"),  # its first eight bytes and length are not enough
+    (9, "antidisestablishmentarianisms und"),
+]
+
+
+def test_awkward_rows(spark):
+    check(spark, DOCS, ITEMS)
+    check(spark, DOCS, ITEMS, top=2)
+
+
+def test_unequal_rows_of_one_item_rank_on_their_own(spark):
+    got = ranked(documents(spark, DOCS), items(spark, [(1, "hund"), (1, "katze")])).collect()
+    assert sorted(map(tuple, got), key=repr) == plain(DOCS, [(1, "hund"), (1, "katze")])
+
+
+def test_empty_tables(spark):
+    assert ranked(documents(spark, []), items(spark, ITEMS)).collect() == []
+    assert ranked(documents(spark, DOCS), items(spark, [])).collect() == []
+    assert ranked(documents(spark, [(1, "..."), (2, None)]), items(spark, ITEMS)).collect() == []
+
+
+def test_many_copies_give_their_least_ids(spark):
+    docs = [(1000 - i, "gleicher text hier") for i in range(300)] + [(2000 + i, f"text nummer {i}") for i in range(40)]
+    check(spark, docs, [(1, "gleicher text"), (2, "nummer 7"), (3, "text")])
+
+
+def test_items_in_blocks_and_scores_in_parts(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 2 + i % 9))) for i in range(60)]
+    queries = [(i, f"w{i % 17} w{(3 * i) % 17} w1") for i in range(30)]
+    check(spark, docs, queries, pairs=20, most=7)
+    monkeypatch.setattr(ranked_search, "_CELLS", 64)
+    check(spark, docs, queries, top=3)
+
+
+def test_a_long_text_is_read_in_parts(spark):
+    long = "katze, " * 400_000 + "hund" + "x" * 1_300_000 + " ende"
+    check(spark, [(1, long), (2, "katze hund ende")], [(1, "katze"), (2, "ende hund")])
+
+
+@pytest.mark.parametrize("most", [5, 7, 64])
+def test_parts_cut_no_term(most):
+    import pyarrow as pa
+
+    texts = ["alpha beta, gamma", "", "d" * 40, "é" * 9 + " x", None, "last"]
+    parts = [x for x in ranked_search._terms(pa.array(texts), most)]
+    assert sum(len(p[0]) for p in parts) == sum(len(terms(t)) for t in texts)
+    lens = [(int(r), int(s)) for p in parts for r, s in zip(p[0], p[2], strict=True)]
+    assert lens == [(i, len(x.encode())) for i, t in enumerate(texts) for x in terms(t)]
