@@ -23,6 +23,7 @@ with a null id come back with a null component. Other columns are ignored. No ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,20 @@ def _join(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """Ids in any steps spread evenly over the groups."""
+    return (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _grouped(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = _group(batch.column("id").to_numpy(), groups).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column("id")], ["g", "id"])
+
+    return run
+
+
 def _count(groups: int):
     """Of one bucket, the n-grams of two documents or more, with a class of their frequency, by document."""
 
@@ -136,7 +151,7 @@ def _count(groups: int):
         kept = each >= 2
         token, at = token[kept] | (bucket << np.uint64(48)), at[kept]
         rank = np.minimum(255, 8 * np.log2(each[kept])).astype(np.uint8)
-        group = np.mod(ids, groups)[at]
+        group = _group(ids, groups)[at]
         order = np.lexsort((ids[at], group))
         token, at, rank, group = token[order], at[order], rank[order], group[order]
         bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
@@ -274,7 +289,7 @@ class NgramJoin:
         blocks = pieces(self.grams, BLOCK)
         packed = self.docs.mapInArrow(_deal(self.n, blocks), _PACKED)
         shared = packed.groupBy("bucket").applyInArrow(_count(blocks), _SHARED)
-        others = self.copies.filter("id <> rep").select(F.expr(f"cast(pmod(id, {blocks}) as int)").alias("g"), "id")
+        others = self.copies.filter("id <> rep").select("id").mapInArrow(_grouped(blocks), "g int, id long")
         made = shared.groupBy("g").cogroup(others.groupBy("g")).applyInArrow(_records(self.num, self.den), _RECORD)
         return cut(made, "records")
 
@@ -305,7 +320,7 @@ class NgramJoin:
         """
         prefix = cut(self._prefix(), "prefix")
         found, seen, member, before = None, None, None, None
-        for turn in range(64):
+        for turn in count():
             known = prefix.withColumn("c", F.col("id"))
             if member is not None:
                 known = prefix.join(member, "id", "left").withColumn("c", F.coalesce("c", "id"))

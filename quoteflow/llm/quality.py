@@ -137,7 +137,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> n
     junk, good = (votes == 2).sum(1), (votes == 1).sum(1)
     p = np.where(junk >= 1, 0.5 + 0.5 * junk / np.maximum(junk + good, 1), 0.05)
     for _ in range(rounds):
-        share = np.clip((counts * p).sum() / counts.sum(), 1e-4, 0.5)
+        share = np.clip((counts * p).sum() / counts.sum(), 1e-4, 1 - 1e-4)
         log = np.tile(np.log([share, 1 - share]), (len(patterns), 1))
         for k, weight in enumerate((counts * p, counts * (1 - p))):
             for j in range(m):

@@ -2,11 +2,12 @@
 
 A text is cut into chunks of ``chunk`` bytes that overlap by ``overlap``. Each chunk is a row of its own, wherever
 its document came from, and is encoded with the offsets of its tokens. Neighbours are spliced at a place in their
-overlap where both have a token boundary and a letter or digit is followed by a space or line feed. The pattern
-that splits text before merging takes white space only at the front of a match, so every reading of the text,
-whatever lies further left or right, has a boundary there: the tokens before it and behind it are those of the whole
-text. Where an overlap has no such place the document is done again with chunks and overlaps twice as wide, at last
-as one chunk.
+overlap where both have a token boundary and a letter is followed by something else, or a number by something that
+is none, in any script. The pattern that splits text before merging takes letters, and numbers, as whole runs with
+nothing behind them, so every reading of the text, whatever lies further left or right, has a boundary there: the
+tokens before it and behind it are those of the whole text. Characters count as letters, numbers or others only where
+Unicode has said so since its version 3.2, as libraries have versions of their own. Where an overlap has no such place
+the document is done again with chunks and overlaps twice as wide, at last as one chunk.
 
 The counts are those of the ``tokenizers`` library for the .json file, with the strings of special tokens read as
 those tokens. Texts whose characters are all in ``PLAIN`` are encoded from the same vocabulary's rank file, several
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,17 +80,29 @@ def encoder(model: str, ranks: str) -> Encoder:
     return Encoder(model, ranks)
 
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """1 for letters, 2 for numbers, 3 for other characters, 0 where versions of Unicode may differ."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x30000):
+        now, then = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))
+        if then != "Cn" and then != "Cs" and {"L": 1, "N": 2}.get(now, 3) == {"L": 1, "N": 2}.get(then[0], 3):
+            out[c] = {"L": 1, "N": 2}.get(now, 3)
+    return out
 
 
-def _marks(data: np.ndarray, ends: np.ndarray, low: int, high: int, base: int) -> list[dict]:
-    """Places between ``low`` and ``high`` where any reading has a boundary, and the tokens before each."""
-    low, high = max(low, 1), min(high, len(data))
-    if high <= low:
-        return []
-    after, here = data[low - 1 : high - 1], data[low:high]
-    places = np.flatnonzero(_WORD[after] & ((here == 32) | (here == 10))) + low
+def _edges(text: str) -> np.ndarray:
+    """Where, in bytes, a letter or number of a text is followed by a character of another class."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _classes()[points]
+    at = np.flatnonzero((kind[:-1] % 3 > 0) & (kind[1:] > 0) & (kind[1:] != kind[:-1])) + 1
+    widths = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    return (np.cumsum(widths) - widths)[at]
+
+
+def _marks(edges: np.ndarray, ends: np.ndarray, low: int, high: int, base: int) -> list[dict]:
+    """The ``edges`` from ``low`` to ``high`` where this reading has a boundary, and the tokens before each."""
+    places = edges[(edges >= low) & (edges < high)]
     count = np.searchsorted(ends, places, side="right")
     sure = (count > 0) & (ends[np.maximum(count, 1) - 1] == places)
     return [{"at": base + int(p), "n": int(c)} for p, c in zip(places[sure], count[sure], strict=True)]
@@ -113,10 +127,9 @@ def _encoded(model: str, ranks: str, chunk: int, overlap: int):
                     left.append([])
                     right.append([])
                     continue
-                data = np.frombuffer(text.encode(), np.uint8)
-                ends = np.cumsum(known.bytes[ids])
-                left.append(_marks(data, ends, 1, overlap, base + skip) if k else [])
-                right.append([] if last else _marks(data, ends, chunk - overlap - skip, len(data), base + skip))
+                edges, ends = _edges(text), np.cumsum(known.bytes[ids])
+                left.append(_marks(edges, ends, 1, overlap, base + skip) if k else [])
+                right.append([] if last else _marks(edges, ends, chunk - overlap - skip, len(raw), base + skip))
             columns = [batch.column("row"), batch.column("k"), batch.column("last"), pa.array(tokens, pa.int64())]
             kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
             columns += [pa.array(left, kind), pa.array(right, kind)]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import classes, documents, jaccard_links, shingles
 
@@ -82,3 +83,23 @@ def test_no_rows(spark):
     assert jaccard_classes(documents(spark, []), 3, 9, 10).collect() == []
     assert NgramJoin(documents(spark, [])).links().collect() == []
     assert keep_one(documents(spark, [])).count() == 0
+
+
+def test_ids_in_steps_spread_over_all_groups():
+    from quoteflow.llm.ngram_join import _group
+
+    for step in (1, 10, 100, 1 << 20):
+        sizes = np.bincount(_group(np.arange(-5000, 5000, dtype=np.int64) * step, 100), minlength=100)
+        assert sizes.min() > 50 and sizes.max() < 200
+
+
+def test_a_line_in_a_third_of_all_documents_and_ids_in_steps(spark):
+    rng = random.Random(4)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(90)]
+    texts = [f"{t} {line}" if i % 3 == 0 else t for i, t in enumerate(texts)] + [texts[5] + " q", texts[8]]
+    rows = [(100 * i, t) for i, t in enumerate(texts)]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = classes(sets, jaccard_links(sets, 9, 10))
+    got = {r.doc_id: r.component_id for r in jaccard_classes(documents(spark, rows), 3, 9, 10).collect()}
+    assert got == want

@@ -91,3 +91,11 @@ def test_labels_it_never_saw(spark):
     good = [r.keep for r in rows if r.quality == 1]
     assert np.mean(junk) < 0.06 and np.mean(good) > 0.995
     assert quality.SAMPLE >= 1000
+
+
+def test_a_corpus_of_mostly_junk_gets_a_share_above_a_half():
+    m = len(quality.LABELLERS)
+    all_junk, all_good = sum(2 * 3**i for i in range(m)), sum(3**i for i in range(m))
+    p = quality.posteriors(np.array([all_junk, all_good, 0]), np.array([900.0, 100.0, 50.0]))
+    assert p[0] > 0.99 and p[1] < 0.01
+    assert p[2] > 0.6  # nobody voted: the share of junk speaks

@@ -3,7 +3,9 @@ import re
 
 import pytest
 from brute import documents
+from pyspark.sql import functions as F
 
+from quoteflow.llm import token_counts as token_counts_module
 from quoteflow.llm.pieces import model_path
 from quoteflow.llm.token_counts import MODEL, PLAIN, RANKS, encoder, token_counts
 
@@ -40,3 +42,25 @@ def test_plain_characters_mean_the_same_to_both_libraries(library):
 
 def test_no_rows(spark):
     assert token_counts(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("stock", ["слово ", "Ελληνικά και ", "汉字，没有空格。", "ภาษาไทยไม่มีช่องว่าง", "हिन्दी पाठ ", "日本語の文、です"])
+def test_texts_of_any_script_are_spliced_at_once(spark, library, stock):
+    text = stock * (300_000 // len(stock.encode()))
+    docs = documents(spark, [(1, text)])
+    rows = docs.select("text").withColumn("row", F.lit(1).cast("long"))
+    parts = token_counts_module._parts(rows, 8192, 1024)
+    encoded = parts.mapInArrow(token_counts_module._encoded(MODEL, RANKS, 8192, 1024), token_counts_module._ENCODED)
+    assert parts.count() > 30
+    assert [r.tokens for r in token_counts_module._spliced(encoded).collect()] == [count(library, text)]
+
+
+def test_edges_are_boundaries_of_any_reading(library):
+    rng = random.Random(5)
+    stock = ["a", "é", "字", "1", "٣", " ", "\n", "'s", "'", "。", "ก", "ั", "-", " ", "😀", "Ж"]
+    for _ in range(200):
+        text = "".join(rng.choices(stock, k=30))
+        raw = text.encode()
+        for at in token_counts_module._edges(text).tolist():
+            a, b = raw[:at].decode(), raw[at:].decode()
+            assert count(library, a) + count(library, b) == count(library, text), (a, b)
