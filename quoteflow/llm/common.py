@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import tempfile
 import threading
@@ -109,6 +110,14 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             end = min(n, max(begin + 1, end))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system: a Python worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _offsets(column: pa.Array) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, pieces, shipped, sliced
+from quoteflow.llm.common import cut, give_back, pieces, shipped, sliced
 from quoteflow.llm.components import components
 from quoteflow.llm.words import mix, shingles, words
 
@@ -162,6 +162,8 @@ def _count(groups: int):
             out[0].append(int(group[i]))
             for k, x in enumerate(row):
                 out[k + 1].append(x.tobytes())
+        del ids, sizes, at, token, order, rank, group, each, kept
+        give_back()
         return pa.table(
             [pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]],
             names=["g", "ids", "sizes", "lens", "tokens", "rank"],
@@ -190,8 +192,12 @@ def _records(num: int, den: int):
                 if prefix > 0 and int(ids[i]) not in gone:
                     for x, value in zip(out, (int(ids[i]), n, prefix, token[i:j].tobytes()), strict=True):
                         x.append(value)
+            del lens, ids, sizes, token, rank, order
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "n", "prefix", "tokens"])
+        made = pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "n", "prefix", "tokens"])
+        del out
+        give_back()
+        return made
 
     return run
 
@@ -227,6 +233,7 @@ def _verify(num: int, den: int):
                 hit.append(den * shared >= num * (n[i] + m[i] - shared))
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+        give_back()
 
     return run
 
