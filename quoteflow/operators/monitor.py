@@ -165,6 +165,13 @@ def high_water(metrics_df: DataFrame) -> DataFrame:
     return carry(metrics_df, [], F.to_date("ts"), ["ts"], running={"high_water": ("max", "outbound_count")})
 
 
+def waiting(changes: DataFrame) -> DataFrame:
+    """Add how many rows wait after each change, and the most that did so far; ``changes`` has ``at`` and ``change``."""
+    order = ["at", "change"]
+    level = carry(changes, [], F.to_date("at"), order, running={"waiting": ("sum", "change")})
+    return carry(level, [], F.to_date("at"), order, running={"high_water": ("max", "waiting")})
+
+
 def throughput(classified: DataFrame, interval: str = "1 second") -> DataFrame:
     """Per interval and source: ticks, malformed and ignored frames that arrived. Batch or streaming."""
     return (

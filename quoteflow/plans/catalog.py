@@ -16,8 +16,9 @@ from quoteflow.schemas import KEY, TICKS
 from quoteflow.session import configure, scratch_dir, settled
 from quoteflow.sources.frames import read_frames, stream_frames
 from quoteflow.sources.registry import bind_formats, registry_table
+from quoteflow.sources.store import path_exists
 from quoteflow.streaming import dedup as stream_dedup
-from quoteflow.streaming import jobs, sink, state
+from quoteflow.streaming import jobs, silence, sink, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -493,6 +494,38 @@ def backlog_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(marked.select("ts", "outbound_count", monitor.fill().alias("outbound_fill"), "high_water"))
 
 
+@_query
+def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What waited for the store when each of four batches had landed, and the most that had, by recorded times."""
+    folders = jobs.Folders(scratch_dir(spark, "stream-backlog"))
+    folders.store.create(spark)
+    policy = lambda ticks: stream_dedup.within_watermark(ticks, timedelta(minutes=10))
+    for landing in _landing(spark, sf_dir, folders.base):
+        jobs.run_available(stream_frames(spark, landing), folders, deduplicate=policy)
+    return jobs.backlog_over_time(spark, folders).filter("batch_id is not null").select("batch_id", "waiting", "high_water")
+
+
+@_query
+def stream_silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources fall silent after the last event; the clock says so, as no frame does."""
+    base = scratch_dir(spark, "stream-silence")
+    _frames(spark, sf_dir).write.parquet(f"{base}/frames")
+    events = silence.silence_events(stream_frames(spark, f"{base}/frames"), timedelta(seconds=3))
+    query = (
+        events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(processingTime="500 milliseconds").start()
+    )
+    try:
+        for _ in range(240):
+            query.awaitTermination(0.5)
+            table = spark.read.schema(silence.EVENTS).parquet(f"{base}/out") if path_exists(spark, f"{base}/out/_spark_metadata") else None
+            if table is not None and table.select("source").distinct().count() == len(SOURCES):
+                break
+    finally:
+        query.stop()
+    return _plain(spark.read.schema(silence.EVENTS).parquet(f"{base}/out").withColumnRenamed("at", "last"))
+
+
 @_query
 def idle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(monitor.idle_gaps(_frames(spark, sf_dir), SILENCE))

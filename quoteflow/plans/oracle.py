@@ -304,6 +304,15 @@ FROM rate WHERE received_per_second IS NOT NULL""",
             """SELECT ts_us, outbound_count, CAST(outbound_count AS DOUBLE) / CAST(10000 AS DOUBLE) AS outbound_fill,
        max(outbound_count) OVER (ORDER BY gen) AS high_water FROM m""",
         ),
+        "stream_backlog": _with(
+            _TICKS,
+            """, span AS (SELECT min(at_us) AS low, (max(at_us) - min(at_us)) // 4 + 1 AS width FROM fr),
+w AS (SELECT (at_us - low) // width AS batch_id, count(*) AS waiting FROM tk, span GROUP BY 1)
+SELECT batch_id, waiting, max(waiting) OVER (ORDER BY batch_id) AS high_water FROM w""",
+        ),
+        "stream_silent_sources": _with(
+            _FRAMES, "SELECT source, 'silent' AS event, max(at_us) AS last_us, count(*) AS frames FROM fr GROUP BY source"
+        ),
         "idle_gaps": _with(
             _GAPS,
             f"""SELECT source, before_us AS idle_from_us, at_us AS idle_until_us

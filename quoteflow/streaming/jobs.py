@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from quoteflow.config import JobConfig, SinkOptions
-from quoteflow.operators import audit, dedup, normalize
+from quoteflow.operators import audit, dedup, monitor, normalize
 from quoteflow.schemas import CLASSIFIED, STATUS_IGNORED, STATUS_PARSE_ERROR, STATUS_TICK
 from quoteflow.sources.registry import bind_formats
 from quoteflow.sources.store import Sink, StoreMissing, TickStore, path_exists
 from quoteflow.streaming import dedup as stream_dedup
-from quoteflow.streaming.landing import Lander, read_landed, stream_landed
-from quoteflow.streaming.sink import batch_writer, read_counters, read_dead_letter, read_late
+from quoteflow.streaming.landing import Lander, read_journal, read_landed, stream_landed
+from quoteflow.streaming.sink import batch_writer, read_commits, read_counters, read_dead_letter, read_late
 
 Dedup = Callable[[DataFrame], DataFrame]  # ticks -> decisions
 
@@ -75,6 +75,10 @@ class Folders:
     def late(self) -> str:
         return f"{self.base}/late"
 
+    @property
+    def commits(self) -> str:
+        return f"{self.base}/commits"
+
     @property
     def counters(self) -> str:
         return f"{self.base}/counters"
@@ -141,7 +145,7 @@ def start_store(
     decide = deduplicate or (lambda df: stream_dedup.exact(df, window, buckets=buckets))
     write = batch_writer(
         sink or folders.store.sink(), folders.dead_letter, folders.counters, options or SinkOptions(), folders.store.ledger,
-        late_path=folders.late,
+        late_path=folders.late, commits_path=folders.commits,
     )
     writer = (
         decide(ticks)
@@ -223,6 +227,18 @@ def backlog(spark: SparkSession, folders: Folders) -> DataFrame:
     )
 
 
+def backlog_over_time(spark: SparkSession, folders: Folders) -> DataFrame:
+    """How many ticks waited for the store after each landing and each commit, and the most that ever did.
+
+    From the times recorded when it happened; ``batch_id`` is that of the landing, or null for a commit.
+    """
+    landings = read_journal(spark, folders.landings).select("batch_id", "at", F.col("ticks").alias("change"))
+    commits = read_commits(spark, folders.commits).select(
+        F.lit(None).cast("bigint").alias("batch_id"), "at", (-F.col("taken")).alias("change")
+    )
+    return monitor.waiting(landings.unionByName(commits))
+
+
 def tracked_keys(spark: SparkSession, folders: Folders) -> DataFrame:
     """Keys the deduplication remembers, per generation, from the counters of all batches."""
     accepted = F.sum(F.col("written") + F.col("dropped")).alias("accepted")

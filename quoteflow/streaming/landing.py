@@ -12,7 +12,7 @@ distributed or local file system; the batches of one folder belong to one checkp
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ JOURNAL = T.StructType(
         T.StructField("ticks", T.LongType()),
         T.StructField("parse_errors", T.LongType()),
         T.StructField("ignored", T.LongType()),
+        T.StructField("at", T.TimestampType()),  # by the driver's clock
     ]
 )
 
@@ -63,7 +64,7 @@ class Lander:
         aside = f"{self.path}/_aside/{place}"
         writer.partitionBy("status").parquet(aside)
         got = seen.get
-        row = (batch_id, got["newest"], got["ticks"], got["parse_errors"], got["ignored"])
+        row = (batch_id, got["newest"], got["ticks"], got["parse_errors"], got["ignored"], datetime.now(UTC))
         spark.createDataFrame([row], JOURNAL).coalesce(1).write.mode("append").parquet(self.journal)
         move_path(spark, aside, f"{self.path}/{place}")
         self.known = batch_id
@@ -71,10 +72,11 @@ class Lander:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """What was observed of each batch; a batch that was landed again says the same again."""
+    """What was observed of each batch; of one that was written again, the last time."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], JOURNAL)
-    return spark.read.schema(JOURNAL).parquet(path).distinct()
+    last = F.max_by(F.struct(*JOURNAL.fieldNames()), "at").alias("x")
+    return spark.read.schema(JOURNAL).parquet(path).groupBy(F.col("batch_id").alias("of")).agg(last).select("x.*")
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

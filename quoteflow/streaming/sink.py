@@ -54,6 +54,15 @@ DEAD_LETTER = T.StructType(
     ]
 )
 
+# When a batch was taken off what waits, and how many ticks it had.
+COMMITS = T.StructType(
+    [
+        T.StructField("taken", T.LongType()),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 LATE = T.StructType([*TICKS.fields, T.StructField("gen", T.LongType()), T.StructField("batch_id", T.LongType())])
 
 
@@ -86,11 +95,12 @@ def batch_writer(
     ledger: Ledger,
     sleep: Callable[[float], None] = time.sleep,
     late_path: str | None = None,
+    commits_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over dedup decisions.
 
     ``ledger`` is that of the tick store; with another sink it only says what became of each batch. Ticks that a
-    policy calls late go to the table at ``late_path``.
+    policy calls late go to the table at ``late_path``, and when each batch was done to the one at ``commits_path``.
     """
     first = True
 
@@ -118,6 +128,8 @@ def batch_writer(
                 _add(_dead_rows(accepted, str(error), attempt), dead_letter_path, batch_id, "attempt")
                 ledger.settle(spark, batch_id, attempt, DROPPED)
             _replace(_counters(decided, stored=error is None), counters_path, batch_id)
+            if commits_path is not None:
+                _replace(decided.agg(F.sum("copies").alias("taken"), F.current_timestamp().alias("at")), commits_path, batch_id)
         finally:
             decided.unpersist()
 
@@ -167,6 +179,11 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return _read_or_empty(spark, path, COUNTERS)
 
 
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """When each batch was done, and how many ticks it took."""
+    return _read_or_empty(spark, path, COMMITS)
+
+
 def read_late(spark: SparkSession, path: str) -> DataFrame:
     """The ticks that came too late for the policy, with their generation and batch."""
     return _read_or_empty(spark, path, LATE)

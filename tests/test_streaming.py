@@ -20,9 +20,12 @@ from quoteflow.schemas import FRAMES, KEY, TICKS
 from quoteflow.sources.frames import stream_frames, text_frames
 from quoteflow.sources.store import StoreMissing
 from quoteflow.streaming import dedup as stream_dedup
-from quoteflow.streaming import jobs
+from quoteflow.streaming import jobs, state
 from quoteflow.streaming.combine import combine
+from quoteflow.streaming.landing import Lander, read_journal, read_landed
 from quoteflow.streaming.progress import ProgressRecorder, progress_row
+from quoteflow.streaming.silence import EVENTS, silence_events
+from quoteflow.streaming.sink import read_counters, read_late, replay_dead_letter
 
 DECISION = [*KEY, "gen", "arrival_ts", "frame_seq", "copies", "accepted"]
 
@@ -372,3 +375,129 @@ def test_a_running_flow_stores_on_its_own_and_stops_gracefully(spark, folder):
     seen = recorder.table(spark)
     assert {r.query for r in seen.select("query").distinct().collect()} >= {"land", "store"}
     assert seen.filter("fill < 0 OR ts IS NULL").count() == 0
+
+
+def test_under_the_watermark_policy_the_gauges_add_up_and_late_ticks_are_kept(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    policy = lambda df: stream_dedup.within_watermark(df, timedelta(minutes=4))
+    for seconds in ([0, 1, 1, 5000], [5001, 5001, 4900], [2, 3, 5002, 4761, 4760]):
+        rows = [("exchange-c", "C", f"SYM|{s}|1|{s}", at(s), i) for i, s in enumerate(seconds)]
+        jobs.run_available(land(spark, folder, rows), folders, deduplicate=policy)
+        assert [r.backlog for r in jobs.backlog(spark, folders).collect()] == [0]
+    late = read_late(spark, folders.late)
+    # the watermark was at 5001 - 240 seconds: what lies on it is late, as the operator has it
+    assert sorted(int(r.price) for r in late.collect()) == [2, 3, 4760, 4761]
+    row = balanced(spark, folders)
+    assert (row.received, row.deduplicated, row.written, row.late_dropped) == (12, 2, 6, 4)
+    flow = jobs.flow(spark, folders).agg(F.sum("taken"), F.sum("written"), F.sum("late_dropped"), F.sum("deduplicated")).first()
+    assert tuple(flow) == (12, 6, 4, 2)
+
+
+def test_a_replayed_batch_lands_once(spark, folder):
+    lander = Lander(f"{folder}/n", f"{folder}/journal")
+    first = normalize.classify(spark.createDataFrame(frame_rows(0, 10, 0), FRAMES))
+    lander(first, 0)
+    # a new process that was told of the batch again, after the folder was there and before
+    Lander(f"{folder}/n", f"{folder}/journal")(first, 0)
+    assert read_landed(spark, f"{folder}/n").count() == 20
+    first.write.parquet(f"{folder}/n/_aside/batch_id=1")  # cut off while it was written aside
+    Lander(f"{folder}/n", f"{folder}/journal", rows_per_file=3)(normalize.classify(spark.createDataFrame(frame_rows(10, 10, 600), FRAMES)), 1)
+    landed = read_landed(spark, f"{folder}/n")
+    assert landed.count() == 40
+    heard = {r.heard for r in landed.filter("frame_seq >= 20").select("heard").distinct().collect()}
+    assert heard == {landed.filter("frame_seq < 20").agg(F.max("arrival_ts")).first()[0]}
+    assert [tuple(r)[2:5] for r in read_journal(spark, f"{folder}/journal").orderBy("batch_id").collect()] == [(16, 2, 2), (16, 2, 2)]
+    files = glob.glob(f"{folder}/n/batch_id=1/status=*/*.parquet")
+    assert max(spark.read.parquet(f).count() for f in files) <= 3
+
+
+def test_taken_files_are_archived_and_still_accounted_for(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    for n in range(3):
+        frames = land(spark, folder, frame_rows(n * 20, 20, n * 100))
+        jobs.start_land(frames, folders).awaitTermination()
+        jobs.start_store(jobs.landed_ticks(spark, folders, archive=True), folders).awaitTermination()
+    assert glob.glob(f"{folders.archive}/**/*.parquet", recursive=True)
+    assert jobs.landed(spark, folders).count() == 120
+    row = balanced(spark, folders)
+    assert (row.received, row.deduplicated, row.written) == (96, 48, 48)
+
+
+def test_a_replay_of_the_dead_letter_shows_in_the_gauges(spark, folder):
+    folders = jobs.Folders(folder)
+    switch = Switch(folders.store.create(spark).sink())
+    switch.down = True
+    options = SinkOptions(max_attempts=1)
+    jobs.run_available(land(spark, folder, frame_rows(0, 50, 0)), folders, sink=switch, options=options)
+    sums = lambda: tuple(jobs.flow(spark, folders).agg(F.sum("written"), F.sum("dropped"), F.sum("accepted")).first())
+    assert sums() == (0, 40, 40)
+    replay_dead_letter(spark, folders.dead_letter, folders.store, folders.counters, batch_id=-1)
+    assert sums() == (40, 0, 40) and balanced(spark, folders).written == 40
+
+
+def test_no_micro_batch_is_above_the_bound_and_a_lone_tick_is_stored(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    for rows in (frame_rows(0, 60, 0), frame_rows(60, 1, 600)):
+        jobs.run_available(land(spark, folder, rows), folders, options=SinkOptions(max_rows=10))
+    sizes = [r.n for r in read_counters(spark, folders.counters).groupBy("batch_id").agg(F.sum("received").alias("n")).collect()]
+    assert max(sizes) <= 10 and sum(sizes) == 98 and folders.store.rows(spark).count() == 49
+
+
+def test_the_backlog_follows_landings_and_commits(spark, folder):
+    folders = jobs.Folders(folder)
+    folders.store.create(spark)
+    for n in (10, 40, 20):
+        frames = land(spark, folder, [("exchange-c", "C", f"S|{i}|1|1", at(n * 100 + i), i) for i in range(n)])
+        jobs.start_land(frames, folders).awaitTermination()
+        if n != 10:  # the first batch waits for the second
+            jobs.start_store(jobs.landed_ticks(spark, folders), folders).awaitTermination()
+    seen = jobs.backlog_over_time(spark, folders).orderBy("at").collect()
+    assert [(r.batch_id, r.waiting, r.high_water) for r in seen] == [(0, 10, 10), (1, 50, 50), (None, 0, 50), (2, 20, 50), (None, 0, 50)]
+
+
+def test_the_state_says_what_is_remembered(spark, folder):
+    landing = f"{folder}/ticks"
+    for gen in range(4):
+        ticks(spark, [tick(gen * 120, 10 * gen + i, ticker=f"G{gen}", price=1 + i) for i in range(5 + gen)]).coalesce(1).write.mode("append").parquet(landing)
+        drain(stream_dedup.exact(spark.readStream.schema(TICKS).parquet(landing), buckets=1), folder)
+    first = dedup.generation(F.lit(at(0)), dedup.DEFAULT_WINDOW)
+    base = spark.range(1).select(first.alias("g")).first().g
+    keys = state.exact_keys(spark, f"{folder}/checkpoint")
+    assert {r.gen - base: r["keys"] for r in keys.collect()} == {1: 6, 2: 7, 3: 8}
+    assert state.tracked(keys, base + 3) == 15
+    other = f"{folder}/w"
+    retention = timedelta(minutes=10)
+    drain(stream_dedup.within_watermark(spark.readStream.schema(TICKS).parquet(landing), retention), other)
+    kept = state.watermark_keys(spark, f"{other}/checkpoint", retention)
+    assert {r.gen - base: r["keys"] for r in kept.collect()} == {0: 5, 1: 6, 2: 7, 3: 8}
+
+
+def test_silence_is_found_by_the_clock_and_its_end_is_told(spark, folder):
+    def send(source, seconds):
+        land(spark, folder, [(source, "C", "x", at(seconds), 1), (source, "C", "x", at(seconds + 1), 2)])
+
+    def told(n):
+        until = time.monotonic() + 90
+        while time.monotonic() < until:
+            if os.path.isdir(f"{folder}/out/_spark_metadata"):
+                rows = spark.read.schema(EVENTS).parquet(f"{folder}/out").orderBy("at", "event").collect()
+                if len(rows) >= n:
+                    return [(r.source[-1], r.event, (r.at - at(0).replace(tzinfo=None)).total_seconds(), r.frames) for r in rows]
+            time.sleep(0.3)
+        raise AssertionError("nothing was said")
+
+    send("exchange-a", 0)
+    send("exchange-b", 10)
+    query = (
+        silence_events(stream_frames(spark, f"{folder}/frames"), timedelta(seconds=1)).writeStream.format("parquet")
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime="200 milliseconds").start()
+    )
+    try:
+        assert told(2) == [("a", "silent", 1, 2), ("b", "silent", 11, 2)]  # although nobody is heard from
+        send("exchange-a", 20)
+        assert told(4)[2:] == [("a", "heard", 20, 0), ("a", "silent", 21, 2)]
+    finally:
+        query.stop()
