@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stretches(frames: DataFrame, count: int) -> list[DataFrame]:
-    """The frames cut into consecutive stretches of arrival time."""
+    """The frames, written once, cut into consecutive stretches of arrival time."""
+    frames = settled(frames, "frames")
     at = F.unix_micros("arrival_ts")
     low, high = frames.agg(F.min(at), F.max(at)).first()
     if low is None:
@@ -107,9 +109,12 @@ def _landing(spark: SparkSession, sf_dir: str, base: str, count: int = 4) -> Ite
 
 def _late_landing(spark: SparkSession, sf_dir: str, base: str, count: int = 4) -> Iterator[str]:
     """As ``_landing``, but all frames of every seventeenth event come with the last stretch."""
-    frames, slow = _frames(spark, sf_dir), F.floor(F.col("frame_seq") / 10) % 17 == 0
-    parts = [part.filter(~slow) for part in _stretches(frames, count)]
-    for part in [*parts[:-1], parts[-1].unionByName(frames.filter(slow))]:
+    slow = F.floor(F.col("frame_seq") / 10) % 17 == 0
+    parts = _stretches(_frames(spark, sf_dir), count)
+    late = reduce(DataFrame.unionByName, [part.filter(slow) for part in parts])
+    for nth, part in enumerate(parts):
+        part = part.filter(~slow)
+        part = part.unionByName(late) if nth == len(parts) - 1 else part
         part.write.mode("append").parquet(f"{base}/frames")
         yield f"{base}/frames"
 
