@@ -13,7 +13,7 @@ from quoteflow.llm.common import table
 from quoteflow.llm.pieces import model_path
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 
@@ -26,11 +26,11 @@ def duck():
     return con
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     import __spark_entry__
 
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE) < set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE) < set(QUERIES)
     assert "pipeline" in __spark_entry__.queries() and set(QUERIES) < set(__spark_entry__.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "pii", "sentencepiece"]
 
