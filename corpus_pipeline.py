@@ -1,7 +1,8 @@
 """From raw documents to token digests: quality, near-duplicates, benchmark items, personal data, tokens.
 
-``STAGES`` are run one after the other; each writes its result as Parquet, in small batches of texts whatever the
-session's settings are, and gives it as read back, which the next one takes. The first four return the columns of ``documents``. Rows that are kept keep their ``doc_id``.
+``STAGES`` are run one after the other; each gets what the one before it wrote as Parquet. Stages that end in Python
+write their result themselves, in small batches of texts whatever the session's settings are. The first four return
+the columns of ``documents``. Rows that are kept keep their ``doc_id``.
 
 Defined cases are those of the operators: documents without words are rejected as junk; of documents linked at
 Jaccard 0.8 on 5-word shingles the one of the least id stays; documents that contain 0.8 of a benchmark item's
@@ -23,12 +24,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return cut(ngram_join.keep_one(docs), "distinct")
+    return ngram_join.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
-    return cut(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), "clean")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
     return docs
