@@ -11,7 +11,10 @@ A task never gives back pairs: only how many links each vector found there and e
 group that hangs together inside it. Equal vectors of a label count as one with a weight before any of this. So a
 hot group costs products, but no rows.
 
-The number of pivots is bounded (``PIVOTS``); beyond that cells grow and are dealt into more blocks.
+Vectors are checked, scaled to length one and hashed in one pass in numpy, and travel as packed doubles. Which of them
+are equal is settled by ids and hashes of 128 bits alone. Pivots are those whose id has one of the least hashes: a
+threshold leaves about as many candidates as wanted, and only their ids are ranked. How many come does not change the
+result. The number of pivots is bounded (``PIVOTS``); beyond that cells grow and are dealt into more blocks.
 
 Defined cases: a vector links with nothing if its label or itself is null, if it is empty or zero, or holds null or
 non-finite components. Vectors of different length never link. An id that repeats stands for its least vector (by
@@ -28,18 +31,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteflow.llm.common import cut, pieces
+from quoteflow.llm.common import cut, pieces, shipped
 from quoteflow.llm.components import components
+from quoteflow.llm.words import mix
 
 #: Vectors that one pivot is for, pivots in all, and vectors in one side of a matrix product.
 CELL, PIVOTS, BLOCK = 2048, 4096, 2048
-_PLACED = "label int, dim int, id long, copies long, vector array<double>, cell int, home boolean"
+_UNITS = "id long, label int, dim int, k1 long, k2 long, vector binary"
+_PLACED = "label int, dim int, id long, copies long, vector binary, cell int, home boolean"
 _FOUND = "id long, links long, root long"
 
 
-def _unit(batch_column: pa.Array) -> np.ndarray:
-    values = batch_column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(batch_column), -1)
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row once: with its vector at length one and two hashes of that, or without if it can't link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column("embedding")
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is a nan
+        named = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+        named &= batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+        left = np.ones(len(sizes), bool)
+        for size in np.unique(sizes[named & (sizes > 0)]).tolist():
+            rows = np.flatnonzero(named & (sizes == size))
+            part = values[begins[rows][:, None] + np.arange(size)]
+            most = np.abs(part).max(1)
+            sound = np.isfinite(part).all(1) & (most > 0)
+            rows, part = rows[sound], part[sound] / most[sound, None]
+            part = part / np.sqrt((part * part).sum(1))[:, None] + 0.0  # no negative zeros
+            left[rows] = False
+            bits, place = part.view(np.uint64), mix(np.arange(1, size + 1, dtype=np.uint64))
+            keys = [np.add.reduce(mix(bits ^ place), 1, np.uint64), np.add.reduce(mix(bits + mix(~place)), 1, np.uint64)]
+            packed = pa.array([x.tobytes() for x in part], pa.binary())
+            same = pa.array(np.full(len(rows), size, np.int32))
+            yield _row(batch.take(pa.array(rows)), same, *[pa.array(x.view(np.int64)) for x in keys], packed)
+        rest = np.flatnonzero(left)
+        nulls = [pa.nulls(len(rest), kind) for kind in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield _row(batch.take(pa.array(rest)), *nulls)
+
+
+def _row(batch: pa.RecordBatch, *columns: pa.Array) -> pa.RecordBatch:
+    names = ["id", "label", "dim", "k1", "k2", "vector"]
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *columns], names)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    if not len(column):
+        return np.zeros((0, 1))
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    begin, end = int(ends[0]), int(ends[-1])
+    return np.frombuffer(column.buffers()[2], np.uint8, end - begin, begin).view(np.float64).reshape(len(column), -1)
 
 
 def _place(pivots, radius: float):
@@ -61,7 +105,7 @@ def _place(pivots, radius: float):
                     continue
                 for i in range(0, len(rows), 4096):
                     some = part.slice(i, 4096)
-                    away = 2 - 2 * (_unit(some.column("vector")) @ centre.T)  # squared distances
+                    away = 2 - 2 * (_unpacked(some.column("vector")) @ centre.T)  # squared distances
                     home = away.argmin(1)
                     gap = away - away.min(1)[:, None]
                     apart = np.sqrt(np.maximum(0, 2 - 2 * (centre[home] @ centre.T)))
@@ -88,7 +132,7 @@ def _meet(least: float):
         table = table.combine_chunks()
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
-        vectors = _unit(table.column("vector").chunk(0)) if table.num_rows else np.zeros((0, 1))
+        vectors = _unpacked(table.column("vector").chunk(0)) if table.num_rows else np.zeros((0, 1))
         order = np.lexsort((ids, side))
         ids, copies, side, vectors = ids[order], copies[order], side[order], vectors[order]
         left = np.flatnonzero(side == 0)
@@ -157,57 +201,56 @@ def _tasks(placed: DataFrame) -> DataFrame:
     )
 
 
+def _pivots(units: DataFrame, every: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Of every label and length with more different vectors than one cell is for, about one in so many."""
+    kind = ["label", "dim"]
+    each = max(CELL, pieces(rows or 1, PIVOTS))
+    wanted = units.groupBy(*kind).agg(F.count("*").alias("m")).filter(F.col("m") > each)  # at most PIVOTS rows
+    wanted = wanted.select(*kind, "m", F.expr(f"cast(ceil(m / {each}) as int)").alias("k"))
+    spread = F.expr("shiftrightunsigned(xxhash64(id), 11) / double(9007199254740992) < (k + 4 * sqrt(k) + 8) / m")
+    some = units.select(*kind, "id").join(wanted, kind).filter(spread)
+    order = F.row_number().over(Window.partitionBy(*kind).orderBy(F.xxhash64("id"), "id"))
+    chosen = some.withColumn("nth", order).filter("nth <= k").select("id")  # at most 2 * PIVOTS ids
+    found: dict[int, list] = {}
+    for row in every.join(F.broadcast(chosen), "id").select(*kind, "vector").toLocalIterator():
+        found.setdefault(row["label"] << 32 | row["dim"], []).append(np.frombuffer(row["vector"], np.float64))
+    return {key: np.array(x) for key, x in found.items()}
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("label").cast("int").alias("label"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+    components_of = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        components_of = components_of.cast("array<double>")
+    rows = shipped(vectors).select(
+        F.col("vec_id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), components_of.alias("embedding")
     )
-    counts = rows.agg(F.count("vec_id").alias("n"), F.countDistinct("vec_id").alias("ids")).first()
+    counts = rows.agg(F.count("id").alias("n"), F.countDistinct("id").alias("ids")).first()
     if counts["n"] > counts["ids"]:
-        known = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x"))
-        lone = rows.filter("vec_id is null").select("vec_id", "label", "embedding")
-        rows = known.select("vec_id", "x.label", "x.embedding").unionByName(lone)
-    sound = (
-        "vec_id is not null and label is not null and size(embedding) > 0"
-        " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
-        " and exists(embedding, x -> x <> 0)"
-    )
-    usable = rows.filter(F.expr(sound))
-    equal = cut(
-        usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors"
-    )
-    scaled = equal.withColumn("most", F.expr("array_max(transform(embedding, x -> abs(x)))"))
-    scaled = scaled.withColumn("vector", F.expr("transform(embedding, x -> x / most)"))
-    scaled = scaled.withColumn("length", F.expr("sqrt(aggregate(vector, 0D, (s, x) -> s + x * x))"))
-    unit = scaled.select(
-        "label", F.size("embedding").alias("dim"), "id", "copies", F.expr("transform(vector, x -> x / length)").alias("vector")
-    )
-    sizes = unit.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    each = max(CELL, pieces(counts["n"] or 1, PIVOTS))
-    order = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("id"), "id"))
-    wanted = sizes.filter(F.col("n") > each).withColumn("k", F.expr(f"cast(ceil(n / {each}) as int)"))
-    chosen = unit.join(wanted.select("label", "dim", "k"), ["label", "dim"]).withColumn("nth", order).filter("nth <= k")
-    pivots: dict[int, list] = {}
-    for row in chosen.select("label", "dim", "vector").toLocalIterator():  # at most 2 * PIVOTS rows
-        pivots.setdefault(row["label"] << 32 | row["dim"], []).append(row["vector"])
-    shared = spark.sparkContext.broadcast({k: np.array(v) for k, v in pivots.items()})
+        known = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("x"))
+        rows = known.select("id", "x.label", "x.embedding").unionByName(rows.filter("id is null"))
+    every = cut(rows.mapInArrow(_units, _UNITS), "units")
+    usable = every.filter("dim is not null")
+    key = ["label", "dim", "k1", "k2"]
+    groups = usable.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = cut(usable.select("id", *key).join(groups, key).select("id", "rep", "copies"), "copies")
+    units = usable.join(copies, "id", "left").filter("rep is null or rep = id")
+    units = units.select("label", "dim", "id", F.coalesce("copies", F.lit(1)).alias("copies"), "vector")
+    shared = spark.sparkContext.broadcast(_pivots(units, usable, counts["n"]))
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    placed = cut(unit.mapInArrow(_place(shared, radius), _PLACED), "placed")
+    placed = cut(units.mapInArrow(_place(shared, radius), _PLACED), "placed")
     found = _tasks(placed).groupBy("label", "dim", "cell", "a", "b").applyInArrow(_meet(least), _FOUND)
     found = cut(found, "met")
     member = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    reps = (
-        equal.select("label", "embedding", "id", "copies")
-        .join(links, "id", "left")
-        .join(member.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("label", "embedding", F.expr("copies - 1 + coalesce(links, 0)").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    linked = usable.join(reps, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~F.coalesce(F.expr(sound), F.lit(False))).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    member = member.select(F.col("node").alias("rep"), "component")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    named = every.select("id").join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    linked = named.join(links, "rep", "left").join(member, "rep", "left")
+    component = F.coalesce("component", "rep")
+    return linked.select(
+        F.col("id").alias("vec_id"),
+        F.expr("coalesce(copies, 1) - 1 + coalesce(links, 0)").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -52,6 +52,25 @@ def test_awkward_rows(spark):
     assert [tuple(r) for r in more if r[0] is None] == [(None, 0, None, True)]
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(8,3)", "int"])
+def test_other_kinds_of_numbers(spark, kind):
+    rows = [(i, 0, [float(x) for x in v]) for i, v in enumerate([(3, 4), (6, 8), (0, -2), (-0.0, -1), (4, -3)])]
+    frame = vectors(spark, rows).selectExpr("vec_id", "label", f"cast(embedding as array<{kind}>) as embedding")
+    assert {r[0]: tuple(r)[1:] for r in near_duplicates(frame).collect()} == brute(rows)
+
+
+def test_pivots_are_of_different_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 10)
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, [float(x) for x in rng.normal(size=4)]) for i in range(200)] + [(1000 + i, 0, [1.0, 2.0, 3.0, 4.0]) for i in range(400)]
+    seen, whole = [], embedding_dedup._pivots
+    monkeypatch.setattr(embedding_dedup, "_pivots", lambda *args: seen.append(whole(*args)) or seen[-1])
+    got = {r[0]: tuple(r)[1:] for r in near_duplicates(vectors(spark, rows)).collect()}
+    (pivots,) = seen[0].values()
+    assert 10 <= len(pivots) <= 21 and len(np.unique(pivots, axis=0)) == len(pivots)
+    assert got[1000][0] >= 399 and got[1399][1] == got[1000][1]
+
+
 def test_no_rows(spark):
     assert near_duplicates(vectors(spark, [])).collect() == []
     assert near_duplicates(vectors(spark, [(1, None, None)])).collect()[0][:3] == (1, 0, 1)
