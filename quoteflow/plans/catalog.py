@@ -15,7 +15,7 @@ from quoteflow.operators import audit, dedup, fanin, monitor, normalize
 from quoteflow.plans import batch, event_feed
 from quoteflow.schemas import KEY, TICKS
 from quoteflow.session import configure, scratch_dir, settled
-from quoteflow.sources.frames import read_frames, stream_frames
+from quoteflow.sources.frames import land_text, read_frames, stream_frames, text_frames
 from quoteflow.sources.registry import bind_formats, registry_table
 from quoteflow.sources.store import path_exists
 from quoteflow.streaming import dedup as stream_dedup
@@ -606,6 +606,20 @@ def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.adjacent_duplicates(_ticks(spark, sf_dir))
 
 
+@_query
+def adjacent_duplicates_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for feeds that landed as lines: files are in the order of their numbers, lines in that of their places."""
+    frames = settled(_frames(spark, sf_dir), "frames")
+    number = F.regexp_extract("path", "part-([0-9]+)", 1).cast("long")
+    feeds = []
+    for source in SOURCES:
+        path = f"{scratch_dir(spark, 'lines')}/{source.name}"
+        feed = frames.filter(F.col("source") == source.name).repartitionByRange("arrival_ts", "frame_seq")
+        land_text(feed.sortWithinPartitions("arrival_ts", "frame_seq"), path)
+        feeds.append(text_frames(spark, path, source.name, source.format, arrival=F.timestamp_seconds(number)))
+    return audit.adjacent_duplicates(normalize.ticks(normalize.classify(fanin.fan_in(feeds))))
+
+
 @_query
 def store_scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(audit.first_rows(_stored(spark, sf_dir), 100))

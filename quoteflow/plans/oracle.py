@@ -373,6 +373,7 @@ SELECT source, count(*) AS received, count(*) FILTER (same) AS adjacent_duplicat
             f"SELECT {_FIVE} FROM acc ORDER BY acc.ts_us, acc.source, acc.ticker, acc.price, acc.volume LIMIT 100",
         ),
     }
+    sql["adjacent_duplicates_text"] = sql["adjacent_duplicates"]  # the same feeds, landed as text
     for fmt in "abc":
         sql[f"normalize_format_{fmt}"] = _with(
             _TICKS, f"SELECT {_TICK_COLUMNS} FROM tk WHERE source = 'exchange-{fmt}'"

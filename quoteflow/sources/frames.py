@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteflow.schemas import FRAMES
+from quoteflow.sources.lines import text_lines
 
 
 def read_frames(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -25,23 +26,21 @@ def stream_frames(
 
 def text_frames(
     spark: SparkSession, path: str, source: str, fmt: str, stream: bool = False,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = None, arrival: Column | None = None,
 ) -> DataFrame:
     """One feed landed as plain text, a frame per line, as a table or as a stream.
 
-    Lines carry no arrival time of their own; their file's modification time stands in. ``frame_seq`` is a
-    hash of file and line, the same however the file is read and split: it settles which of two equal
-    arrival times is first, and does not give the order of lines in a file.
+    ``arrival`` says when a line arrived, in terms of ``path``, ``modified`` and ``raw``; without it the time its file
+    was modified stands in. ``frame_seq`` is the byte where the line begins, above it 15 bits of a hash of the file's
+    name: the order of lines inside a file, the same however the file is read and cut.
     """
-    reader = spark.readStream if stream else spark.read
-    if stream and max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path).select(
+    file = F.shiftleft(F.pmod(F.xxhash64("path"), F.lit(1 << 15)), 48)
+    return text_lines(spark, path, stream, max_files_per_trigger).select(
         F.lit(source).alias("source"),
         F.lit(fmt).alias("format"),
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_modification_time").alias("arrival_ts"),
-        F.xxhash64("_metadata.file_path", "value").alias("frame_seq"),
+        "raw",
+        (F.col("modified") if arrival is None else arrival).alias("arrival_ts"),
+        (file + F.col("place")).alias("frame_seq"),
     )
 
 
