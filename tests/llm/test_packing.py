@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from brute import documents
 
-from quoteflow.llm.packing import END, best_fit, packed, position_ids, write_packed
+from quoteflow.llm import packing
+from quoteflow.llm.packing import END, best_fit, packed, position_ids, read_matrices, write_matrices, write_packed
 from quoteflow.llm.pieces import model_path
 
 
@@ -54,3 +56,29 @@ def test_written_rows_and_no_rows(spark, tmp_path):
     assert write_packed(docs, path, length=16).first() == packed(docs, length=16).first()
     assert write_packed(docs).count() == 1
     assert packed(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [3, 1024])
+def test_matrices_read_back_as_packed(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(packing, "_AT_ONCE", at_once)
+    rows = [(i, "word " * random.Random(i).randint(0, 90)) for i in range(60)] + [(None, "of no id"), (7, None), (8, "")]
+    docs = documents(spark, rows)
+    path = write_matrices(docs, str(tmp_path / "matrices"), length=32, shard=300)
+    Path(path, "shards", "lost.ids").write_bytes(b"left by an attempt that was lost")
+    parts = ["n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "doc_begins"]
+    got, want = read_matrices(spark, path), packed(docs, length=32, shard=300)
+    assert sorted(map(repr, got.select(parts).collect())) == sorted(map(repr, want.select(parts).collect()))
+    assert got.select("pack_id").distinct().count() == got.count()
+    for shard in spark.read.parquet(f"{path}/manifest").collect():
+        load = lambda part, kind: np.memmap(f"{path}/shards/{shard.shard}.{part}", kind, "r")  # noqa: E731, B023
+        ids, cu, at = load("ids", "<u2").reshape(shard.rows, shard.length), load("cu", "<i4"), load("at", "<i8")
+        assert shard.width == 2 and len(at) == shard.rows + 1 and len(load("resets", "<i4")) == shard.segments
+        last = cu[at[1:] - 1]
+        assert last.sum() == shard.n_tokens and all(not row[n:].any() for row, n in zip(ids, last, strict=True))
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_matrices(docs, path, length=32)
+
+
+def test_matrices_of_no_rows(spark, tmp_path):
+    path = write_matrices(documents(spark, [(1, None), (2, "")]), str(tmp_path / "none"))
+    assert read_matrices(spark, path).collect() == []
