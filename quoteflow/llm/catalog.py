@@ -12,7 +12,7 @@ from quoteflow.llm.common import table
 from quoteflow.llm.decontaminate import contained_items
 from quoteflow.llm.embedding_dedup import near_duplicates
 from quoteflow.llm.ngram_join import jaccard_classes
-from quoteflow.llm.packing import packed
+from quoteflow.llm.packing import read_matrices, write_matrices
 from quoteflow.llm.pieces import digests, piece_ids
 from quoteflow.llm.prefix_trie import conversation_trie
 from quoteflow.llm.ranked_search import ranked
@@ -51,8 +51,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts' ids as packed rows of 2048."""
-    return packed(table(spark, sf_dir, "documents"))
+    """All texts' ids as packed rows of 2048, written as matrices and read back."""
+    return read_matrices(spark, write_matrices(table(spark, sf_dir, "documents")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
