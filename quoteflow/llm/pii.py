@@ -420,8 +420,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts by kind, a digest of the base spans and all spans as text."""
+    """Counts by kind and a digest of the base spans, and all spans as text."""
     line = "array_join(transform({}, x -> concat_ws(':', x.kind, cast(x.begin as string), cast(x.end as string))), ',')"
-    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     base = F.sha2(F.expr(line.format("filter(spans, x -> x.base)")), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(line.format("spans")).alias("spans"))

@@ -172,6 +172,15 @@ def test_rows_and_redaction(spark):
     assert out[3] == ("mail [EMAIL] and [IP], [PHONE]", 30) and out[4][0] == "é [CARD]!"
 
 
+def test_counts_are_of_the_patterns_alone(spark):
+    text = "ring +1 (867) 555-2364 soon. Again: 867 555 2364. jane.doe@site.example.com; Jane.Doe said"
+    (got,) = digests(find(documents(spark, [(1, text)]), trained(spark))).collect()
+    assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == (1, 0, 0, 1)
+    assert got.spans.count("phone") == 2 and got.spans.count("email") == 2
+    line = ",".join(f"{KINDS[k]}:{b}:{e}" for b, e, k in sorted(plain(text)))
+    assert got.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
 def test_no_rows(spark):
     assert digests(find(documents(spark, []))).collect() == []
     assert redact(documents(spark, [])).collect() == []
