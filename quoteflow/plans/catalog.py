@@ -14,7 +14,7 @@ from quoteflow.functions.formats import FORMATS
 from quoteflow.operators import audit, dedup, fanin, monitor, normalize
 from quoteflow.plans import batch, event_feed
 from quoteflow.schemas import KEY, TICKS
-from quoteflow.session import configure, scratch_dir, settled
+from quoteflow.session import configure, dealt, scratch_dir, settled
 from quoteflow.sources.frames import land_text, read_frames, stream_frames, text_frames
 from quoteflow.sources.registry import bind_formats, registry_table
 from quoteflow.sources.store import path_exists
@@ -360,9 +360,9 @@ def dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty small batches merged into one, and what they were removed."""
     store = jobs.Folders(scratch_dir(spark, "compacted")).store.create(spark)
-    accepted = settled(dedup.deduplicate(_ticks(spark, sf_dir)), "accepted")
-    for i in range(50):
-        store.write(accepted.filter(F.pmod(F.xxhash64(*KEY, "frame_seq"), F.lit(50)) == i), i, files_per_batch=1)
+    batches = dealt(dedup.deduplicate(_ticks(spark, sf_dir)), F.pmod(F.xxhash64(*KEY, "frame_seq"), F.lit(50)), 50, "accepted")
+    for i, accepted in enumerate(batches):
+        store.write(accepted, i, files_per_batch=1)
     store.compact(spark, before=date.max)
     store.vacuum(spark, timedelta(0))
     return _plain(store.rows(spark))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTINGS = {
     # Event times are instants; text without an offset is read as UTC.
@@ -49,6 +51,14 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, share: Column, count: int, purpose: str) -> list[DataFrame]:
+    """The table in ``count`` shares, by a column that says which from 0 on; written once, and each reads its own files only."""
+    path, shares = f"{scratch_dir(df.sparkSession, purpose)}/rows", T.StructField("_share", T.IntegerType())
+    df.withColumn("_share", share.cast("int")).repartition(count, "_share").write.partitionBy("_share").parquet(path)
+    whole = df.sparkSession.read.schema(T.StructType([*df.schema.fields, shares])).parquet(path)
+    return [whole.filter(F.col("_share") == i).drop("_share") for i in range(count)]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share a table that comes in fewer pieces than there are cores among all of them.
 

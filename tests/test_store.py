@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quoteflow.config import SinkOptions
 from quoteflow.operators import dedup
 from quoteflow.schemas import STORE
+from quoteflow.session import dealt
 from quoteflow.sources.store import StoreMissing, TickStore, jdbc_sink
 from quoteflow.streaming.sink import (
     batch_writer,
@@ -304,3 +305,11 @@ def test_files_of_a_write_under_way_outlive_a_vacuum(spark, store):
     stray.write.mode("append").partitionBy("event_date", "batch_id", "attempt").parquet(store.path)
     assert store.vacuum(spark, timedelta(minutes=5)) == 0 and len(stored_files(store)) >= 2
     assert store.vacuum(spark, timedelta(0)) == 1 and store.rows(spark).count() == 2
+
+
+def test_shares_are_written_once_and_read_apart(spark, tmp_path):
+    rows = spark.range(1000).withColumn("n", F.when(F.col("id") % 7 != 0, F.col("id")))
+    shares = dealt(rows, F.pmod(F.col("id"), F.lit(5)), 6, "shares")
+    assert [sorted(r.id for r in s.collect()) for s in shares] == [*[list(range(i, 1000, 5)) for i in range(5)], []]
+    read = [{r[0] for r in s.select(F.input_file_name()).distinct().collect()} for s in shares]
+    assert all(s.dtypes == rows.dtypes for s in shares) and sum(map(len, read)) == len(set().union(*read)) == 5
