@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from datetime import timedelta
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,13 @@ DECISIONS = T.StructType(
 
 _Decision = Row(*DECISIONS.fieldNames())
 
+# Decisions as they leave the state operator, which builds no decimals, instants or other objects for each row.
+_PLAIN = ("price", "volume", "ts", "ts_sub_us")
+_DECIDED = T.StructType(
+    [T.StructField(f.name, T.StringType() if f.name in _PLAIN else T.LongType() if f.name == "arrival_ts" else f.dataType) for f in DECISIONS]
+)
+_ROWS_OUT = 50_000
+
 
 # Keys are kept in this many groups unless a flow is started with another number. It is part of the state
 # layout, so it stays the same for the life of a checkpoint, and it should be well above the number of
@@ -60,45 +69,59 @@ class GenerationRule(StatefulProcessor):
         self.places = [handle.getMapState(f"place{i}", "key string", "seen boolean") for i in range(self.keep)]
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        # One entry per generation and key, however many copies arrive.
-        seen: dict[tuple[int, str], list] = {}
-        for row in rows:
-            entry = seen.setdefault((row.gen, row.identity), [row, row.first_ts, row.frame_seq, 0])
-            if (row.first_ts, row.frame_seq) < (entry[1], entry[2]):
-                entry[1], entry[2] = row.first_ts, row.frame_seq
-            entry[3] += row.copies
+        for row in self._decide(pd.DataFrame([r.asDict() for r in rows])).itertuples(index=False):
+            yield _Decision(*row)
+
+    def _decide(self, offered: pd.DataFrame) -> pd.DataFrame:
+        """One row per generation and key, however many copies arrive, and whether it is accepted.
+
+        A key's generations fall into stretches that begin after a gap, at one that is remembered, and after it. Inside
+        a stretch every second one is accepted, starting with the first, unless it is remembered.
+        """
+        code = pd.factorize(offered["identity"], use_na_sentinel=False)[0]
+        gen, copies = offered["gen"].to_numpy(np.int64), offered["copies"].to_numpy(np.int64)
+        order = np.lexsort((offered["frame_seq"], offered["first_ts"], gen, code))
+        code, gen = code[order], gen[order]
+        starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (gen[1:] != gen[:-1])])
+        copies = np.add.reduceat(copies[order], starts)
+        code, gen, first = code[starts], gen[starts], offered.iloc[order[starts]]
+        identity = first["identity"].to_numpy()
 
         state = self.held.get()
         before = list(state[0]) if state is not None else [None] * self.keep  # which generation is in which place
         held = list(before)
-        newest = max([g for g in held if g is not None] + [g for g, _ in seen])
-        taken: dict[int, set[str]] = {}  # by this micro-batch
-        for gen, identity in sorted(seen):
-            row, first_ts, frame_seq, copies = seen[gen, identity]
-            accepted = not any(
-                identity in taken.get(g, ()) or self._remembered(held, before, g, identity) for g in (gen, gen - 1, gen + 1)
-            )
-            if accepted:
-                taken.setdefault(gen, set()).add(identity)
-                if gen > newest - self.keep:
-                    self._add(held, gen, identity)
-            yield _Decision(*[row[c] for c in KEY], gen, first_ts, frame_seq, copies, accepted)
-        for place, gen in enumerate(held):
-            if gen is not None and gen <= newest - self.keep:
+        known = [g for g in held if g is not None]
+        newest = max([*known, int(gen.max())])
+        remembered = np.zeros(len(gen), bool)
+        for i in np.flatnonzero(np.isin(gen, [g + d for g in known for d in (-1, 0, 1)])):
+            g = int(gen[i])
+            remembered[i] = any(self._remembered(before, x, identity[i]) for x in (g, g - 1, g + 1))
+
+        apart = np.r_[True, (code[1:] != code[:-1]) | (gen[1:] - gen[:-1] > 1) | remembered[:-1]] | remembered
+        at = np.arange(len(gen))
+        accepted = ((at - np.maximum.accumulate(np.where(apart, at, 0))) % 2 == 0) & ~remembered
+
+        taken = np.flatnonzero(accepted & (gen > newest - self.keep))
+        for i in taken[np.argsort(gen[taken], kind="stable")]:
+            self._add(held, int(gen[i]), identity[i])
+        for place, g in enumerate(held):
+            if g is not None and g <= newest - self.keep:
                 self.places[place].clear()
                 held[place] = None
         if held != before:
             self.held.update((held,))
+        out = first.assign(arrival_ts=first["first_ts"], copies=copies, accepted=accepted)
+        return out[DECISIONS.fieldNames()]
 
     def close(self) -> None:
         pass
 
-    def _remembered(self, held: list, before: list, gen: int, identity: str) -> bool:
+    def _remembered(self, held: list, gen: int, identity: str) -> bool:
         place = gen % self.keep
-        return held[place] == before[place] == gen and self.places[place].containsKey((identity,))
+        return held[place] == gen and self.places[place].containsKey((identity,))
 
     def _add(self, held: list, gen: int, identity: str) -> None:
-        # Generations come in order, so no later tick of the batch asks for what was here.
+        # What the batch's ticks can meet was looked up before.
         place = gen % self.keep
         if held[place] != gen:
             if held[place] is not None:
@@ -107,6 +130,15 @@ class GenerationRule(StatefulProcessor):
         self.places[place].updateValue((identity,), (True,))
 
 
+class GenerationRuleInFrames(GenerationRule):
+    """The same over pandas frames; a row's numbers, times and decimals are plain numbers and text there."""
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        decided = self._decide(pd.concat(list(rows), ignore_index=True))
+        for begin in range(0, len(decided), _ROWS_OUT):
+            yield decided.iloc[begin : begin + _ROWS_OUT]
+
+
 def _identity() -> Column:
     """The key as one text, different for different keys."""
     lengths = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in ("source", "ticker")]
@@ -128,13 +160,20 @@ def exact(
     """
     window_ms = dedup.window_millis(window)
     late_ms = dedup.window_millis(window if lateness is None else lateness)
-    return (
+    offered = (
         combine(ticks, window, fold)
         .withColumn("identity", _identity())
         .withColumn("bucket", F.pmod(F.xxhash64("identity"), F.lit(buckets)))
-        .groupBy("bucket")
-        .transformWithState(GenerationRule(2 + -(-late_ms // window_ms)), DECISIONS, "Append", "None")
-    )
+        .select(
+            "bucket", "identity", "source", "ticker", F.col("price").cast("string"), F.col("volume").cast("string"),
+            F.unix_micros("ts").cast("string").alias("ts"), F.col("ts_sub_us").cast("string"),
+            "gen", F.unix_micros("first_ts").alias("first_ts"), "frame_seq", "copies",
+        )
+    )
+    rule = GenerationRuleInFrames(2 + -(-late_ms // window_ms))
+    instants = {"ts": F.timestamp_micros(F.col("ts").cast("bigint")), "arrival_ts": F.timestamp_micros("arrival_ts")}
+    decided = offered.groupBy("bucket").transformWithStateInPandas(rule, _DECIDED, "Append", "None")
+    return decided.select(*[instants.get(f.name, F.col(f.name).cast(f.dataType)).alias(f.name) for f in DECISIONS])
 
 
 def within_watermark(

@@ -4,8 +4,9 @@ import glob
 import os
 import random
 import time
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from helpers import at, tick, ticks
 from pyspark.errors import StreamingQueryException
@@ -151,6 +152,34 @@ def test_generations_in_maps_agree_with_a_plain_memory(seed):
         assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_frames_are_decided_as_rows_are(seed):
+    """The rule takes a bucket's ticks as frames, in any number and order, with copies of one tick in several."""
+    rng = random.Random(seed)
+    by_row, by_frame = bucket(), stream_dedup.GenerationRuleInFrames(keep=3)
+    by_frame.held, by_frame.places = Value(), [Map() for _ in range(3)]
+    for nth in range(20):
+        offered = []
+        for i in range(200):
+            key, gen = f"k{rng.randrange(15)}", max(0, nth * 2 + rng.randrange(-4, 5))
+            offered.append(Row(**{c: key for c in KEY}, identity=key, gen=gen, first_ts=rng.randrange(3), frame_seq=i, copies=rng.randrange(1, 4)))
+        rows = sorted(tuple(r) for r in by_row.handleInputRows((0,), iter(offered), None))
+        frame = pd.DataFrame([r.asDict() for r in offered]).sample(frac=1, random_state=seed)
+        frames = list(by_frame.handleInputRows((0,), iter([frame[:90], frame[90:]]), None))
+        assert sorted(tuple(r) for f in frames for r in f.itertuples(index=False)) == rows
+        assert sum(r[-2] for r in rows) == sum(r.copies for r in offered)
+        assert by_row.held.get() == by_frame.held.get() and [m.x for m in by_row.places] == [m.x for m in by_frame.places]
+
+
+def test_exact_gives_decimals_and_times_back_as_they_were(spark, folder):
+    old = datetime(1, 1, 1, 0, 0, 0, 1, tzinfo=UTC)
+    rows = [tick(i, i, price=p, volume=v, ts=old if i else None, sub=9 - i) for i, (p, v) in enumerate([("1E-18", "-99999999999999999999.999999999999999999"), ("0", "100"), ("-0.5", "3")])]
+    ticks(spark, rows).write.parquet(f"{folder}/ticks")
+    drain(stream_dedup.exact(spark.readStream.schema(TICKS).parquet(f"{folder}/ticks"), buckets=4), folder)
+    got = spark.read.schema(stream_dedup.DECISIONS).parquet(f"{folder}/out").select(DECISION)
+    assert same(got, dedup.decisions(ticks(spark, rows)).select(DECISION)) and got.filter("accepted").count() == 3
+
+
 def test_a_tick_out_of_order_meets_its_neighbours_and_none_is_lost(spark, folder):
     landing = f"{folder}/ticks"
     # generations 10, then 9 (a re-send of what is stored), 30, then 12 (long past: taken)
