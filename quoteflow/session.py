@@ -60,9 +60,10 @@ def dealt(df: DataFrame, share: Column, count: int, purpose: str) -> list[DataFr
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share a table that comes in fewer pieces than there are cores among all of them.
+    """Share a table that comes in fewer files than there are cores among all of them.
 
-    Parsing costs far more than moving such a small table once. A table in many files is left alone.
+    Parsing costs far more than moving such a table once. How many pieces Spark cuts its files into says little: a file
+    has its rows in a few groups, and pieces in which no group lies are empty. A table in many files is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quoteflow.config import SinkOptions
 from quoteflow.operators import dedup
 from quoteflow.schemas import STORE
-from quoteflow.session import dealt
+from quoteflow.session import dealt, spread
 from quoteflow.sources.store import StoreMissing, TickStore, jdbc_sink
 from quoteflow.streaming.sink import (
     batch_writer,
@@ -313,3 +313,17 @@ def test_shares_are_written_once_and_read_apart(spark, tmp_path):
     assert [sorted(r.id for r in s.collect()) for s in shares] == [*[list(range(i, 1000, 5)) for i in range(5)], []]
     read = [{r[0] for r in s.select(F.input_file_name()).distinct().collect()} for s in shares]
     assert all(s.dtypes == rows.dtypes for s in shares) and sum(map(len, read)) == len(set().union(*read)) == 5
+
+
+def test_a_file_with_one_group_of_rows_is_shared_among_all_cores(spark, tmp_path):
+    spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = spark.read.parquet(str(tmp_path / "one"))
+        cores = spark.sparkContext.defaultParallelism
+        assert table.rdd.getNumPartitions() >= cores
+        held = spread(table).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(held) == cores and max(r["count"] for r in held) < 20000 / cores * 1.5
