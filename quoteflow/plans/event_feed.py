@@ -53,7 +53,8 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the pattern names just that entry, be it one file or a folder of them, which a plain path may not
-    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    events = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    return events.repartition(spark.sparkContext.defaultParallelism)  # as in spread; a stream's files are not known yet
 
 
 def quotes(events: DataFrame) -> DataFrame:
