@@ -2,7 +2,8 @@
 
 All is column functions and joins of tables of bounded size; no text leaves the JVM. A text is cut by a pattern into
 matches and the gaps between them; places are running sums of their lengths, made in as many rounds as the logarithm
-of their number, so that a text of any number of matches costs little more than reading it.
+of their number, so that a text of any number of matches costs little more than reading it. Only texts whose matches can be
+spans are cut; most cost three searches, with classes that Java keeps as one table of bits.
 
 The battery. Runs of 16 or more letters, digits and ``+/_=-`` that no pattern covers are given the smallest encoding that
 explains them: hex (one case, with letters and digits), base32, base64 (with upper case, lower case and digits). Three
@@ -15,7 +16,8 @@ text by text, are cut to windows of each length band's least length, put into ea
 case, as the hex of half of them) and given the same tests. A run's p is the share of windows that look at least as
 random, by the best of its own and the shorter bands, whose windows look more random; Benjamini-Hochberg at ``RATE`` in
 each band of each encoding keeps the share of ordinary runs among those reported below that rate. Runs and windows are
-counted once, however often they come. Tables with too little ordinary writing to tell give no further spans.
+counted once, however often they come, and windows are tested once. Tables with too little ordinary writing to tell give
+no further spans.
 
 Defined cases: a null text counts as empty. A row gives a row, also where ids repeat or are null. Other columns are
 ignored. No rows give no rows. Places are in code points, ends exclusive. Spans that the tests add have the kind ``random``.
@@ -23,6 +25,8 @@ ignored. No rows give no rows. Places are in code points, ends exclusive. Spans
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +39,19 @@ BINS = 100
 EDGES = [16, 24, 32, 48, 64]
 KINDS = ["assign", "access", "hex", "random"]
 
-_OPEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-ASSIGN = _OPEN + "([A-Za-z0-9+/_.=-]+)"
+# Written out, a class is one lookup in a table of bits; ranges are compared one after the other.
+_SYMBOL = f"[{string.ascii_lowercase}{string.ascii_uppercase}{string.digits}+/_=-]"
+_VALUE = f"[{string.ascii_lowercase}{string.ascii_uppercase}{string.digits}+/_.=-]"
+#: What opens an assignment; most places fail by their first letter.
+_OPEN = r"""(?=[aApPsStT])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN = f"{_OPEN}({_VALUE}+)"
 ACCESS = "AKIA[A-Z0-9]{16,}+"
-HEX = "[0-9a-f]{24,}+"
-_RUN = "[A-Za-z0-9+/_=-]{14,}+"
+HEX = "[0123456789abcdef]{24,}+"
+_RUN = f"(?<!{_SYMBOL}){_SYMBOL}{{14,}}+"
 #: An assignment, or a run that stops where one begins.
-_EITHER = rf"{ASSIGN}|(?<![A-Za-z0-9+/_=-])(?:(?!{_OPEN}[A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]){{14,}}+"
-#: What every assignment has, and few texts.
-_GIVEN = r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]"
+_EITHER = rf"{ASSIGN}|(?<!{_SYMBOL})(?:(?!{_OPEN}{_VALUE}){_SYMBOL}){{14,}}+"
+#: What every assignment has, from the last letter of its name on, and few texts.
+_GIVEN = rf"""[dDtTnNyY]["']?\x20*[:=]\x20*["']?{_VALUE}"""
 
 # fixed values: the alphabets of the encodings, in the order of their symbols' values
 ALPHABETS = {
@@ -55,7 +63,15 @@ ALPHABETS = {
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern as an array of (begin, end, found), in the order of the text."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _placed(F.split(text, pattern, -1), _all(text, pattern))
+
+
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _placed(gaps: Column, found: Column) -> Column:
+    """Matches with their places, from the gaps between them."""
     parts = F.zip_with(
         gaps,
         found,
@@ -98,6 +114,11 @@ def _encoding(run: Column) -> Column:
     )
 
 
+def _encoded(run: Column) -> Column:
+    """Whether a run is long enough and in an encoding, all of which have digits."""
+    return (F.length(run) >= EDGES[0]) & run.rlike("[0-9]") & _encoding(run).isNotNull()
+
+
 def _symbols(run: Column, encoding: Column) -> Column:
     body = F.regexp_replace(run, "=+$", "")
     return F.when(encoding == "hex", F.lower(body)).when(encoding == "base32", body).otherwise(F.translate(body, "-_", "+/"))
@@ -121,26 +142,36 @@ def likelihood(symbols: Column, alphabet: str) -> Column:
     """How far symbols look independent and uniform over an alphabet: Fisher's value of three tests, 0 to 1."""
     size = len(alphabet)
 
-    def tested(x: Column) -> Column:
+    def counted(x: Column) -> Column:
         n = F.length(x["s"]).cast("double")
-        each = F.transform(F.split(F.lit(alphabet), ""), lambda c: n - F.length(F.replace(x["s"], c, F.lit(""))))
+        # what is not in the symbols adds nothing; long runs are not made arrays
+        held = F.when(F.length(x["s"]) <= 256, F.array_distinct(F.split(x["s"], ""))).otherwise(F.split(F.lit(alphabet), ""))
+        each = F.transform(held, lambda c: n - F.length(F.replace(x["s"], c, F.lit(""))))
         squares = F.reduce(each, F.lit(0.0), lambda total, count: total + count * count)
-        chi = (squares * size / n - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
         low, high = _times(x["half"], "0"), _times(x["half"], "1")
-        expected = 2.0 * low * high / n + 1
-        spread = (expected - 1) * (expected - 2) / (n - 1)
         runs = 1 + _times(x["half"], "01") + _times(x["half"], "10")
-        runs_z = _normal_or(F.abs(runs - expected) / F.sqrt(spread), spread > 0)
         steps = sum((a - b) ** 2 * _times(x["level"], f"{a}{b}") for a in range(4) for b in range(4) if a != b)
-        serial_z = F.abs(steps - 2.5 * (n - 1)) / F.sqrt(8.25 * (n - 1) + 2.0 * (n - 2))
-        one_sided, two_sided = _beyond(chi), [_beyond(z) + F.log(F.lit(2.0)) for z in (runs_z, serial_z)]
+        expected = 2.0 * low * high / n + 1
+        return F.struct(n.alias("n"), squares.alias("squares"), expected.alias("expected"), runs.alias("runs"), steps.alias("steps"))
+
+    def tested(x: Column) -> Column:
+        n, expected = x["n"], x["expected"]
+        chi = (x["squares"] * size / n - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        runs_z = _normal_or(F.abs(x["runs"] - expected) / F.sqrt(spread), spread > 0)
+        serial_z = F.abs(x["steps"] - 2.5 * (n - 1)) / F.sqrt(8.25 * (n - 1) + 2.0 * (n - 2))
+        return F.struct(chi.alias("chi"), runs_z.alias("runs"), serial_z.alias("serial"))
+
+    def together(x: Column) -> Column:
+        one_sided, two_sided = _beyond(x["chi"]), [_beyond(z) + F.log(F.lit(2.0)) for z in (x["runs"], x["serial"])]
         y = -(one_sided + sum(F.least(F.lit(0.0), p) for p in two_sided))
         return let(y, lambda y: F.exp(-y) * (1 + y + y * y / 2))
 
     level = "".join(str(4 * i // size) for i in range(size))
-    levels = F.translate(symbols, alphabet, level)
-    made = F.struct(symbols.alias("s"), levels.alias("level"), F.translate(levels, "0123", "0011").alias("half"))
-    return let(made, tested)
+    half = "".join(str(2 * i // size) for i in range(size))
+    made = F.struct(symbols.alias("s"), F.translate(symbols, alphabet, level).alias("level"), F.translate(symbols, alphabet, half).alias("half"))
+    # each step names what the next one uses several times
+    return let(let(let(made, counted), tested), together)
 
 
 def _tested(symbols: Column, encoding: Column) -> Column:
@@ -175,32 +206,27 @@ def _runs(runs: Column) -> Column:
     )
 
 
-def _ordinary(runs: Column) -> Column:
-    """Windows of the long words of a text, in each encoding: encoding, band, bin and code."""
-    words = F.filter(F.transform(runs, lambda x: x["found"]), lambda w: w.rlike(r"^[A-Za-z]+\z"))
+def _ordinary(found: Column) -> Column:
+    """The long words of a text, joined."""
+    return F.array_join(F.filter(found, lambda w: w.rlike(r"^[A-Za-z]+\z")), "")
 
-    def forms(band: int, edge: int):
-        def of(w: Column) -> Column:
-            spelled = {"hex": F.lower(F.hex(F.substring(w, 1, edge // 2))), "base32": F.upper(w), "base64": w}
-            return F.array(*[F.struct(F.lit(k).alias("encoding"), F.lit(band).alias("band"), s.alias("s")) for k, s in spelled.items()])
 
-        return of
+def _windows(words: DataFrame) -> DataFrame:
+    """Different windows of the joined words of all texts, in each encoding: encoding, band and bin.
 
-    def tested(x: Column) -> Column:
-        bins = _tested(x["s"], x["encoding"]).alias("bin")
-        return F.struct(x["encoding"].alias("encoding"), x["band"].alias("band"), bins, F.xxhash64(x["s"]).alias("code"))
-
-    def windows(joined: Column) -> Column:
-        cut_up = [F.regexp_extract_all(joined, F.lit(f".{{{edge}}}"), F.lit(0)) for edge in EDGES]
-        made = [F.flatten(F.transform(w, forms(band, edge))) for (band, edge), w in zip(enumerate(EDGES), cut_up, strict=True)]
-        return F.transform(F.concat(*made), tested)
-
-    return let(F.array_join(words, ""), windows)
+    They are made different before they are tested.
+    """
+    cut_up = F.concat(*[_all(F.col("words"), f".{{{edge}}}") for edge in EDGES])
+    windows = words.filter(F.length("words") >= EDGES[0]).select(F.explode(cut_up).alias("w"))
+    w = F.col("w")
+    spelled = {"hex": F.lower(F.hex(F.substr(w, F.lit(1), F.expr("length(w) div 2").cast("int")))), "base32": F.upper(w), "base64": w}
+    forms = F.array(*[F.struct(F.lit(k).alias("encoding"), s.alias("s")) for k, s in spelled.items()])
+    rows = windows.select(F.explode(forms).alias("x")).select("x.encoding", "x.s").distinct()
+    return rows.select("encoding", _band(F.length("s")).alias("band"), _tested(F.col("s"), F.col("encoding")).alias("bin"))
 
 
-def _counts(found: DataFrame, column: str, name: str) -> DataFrame:
+def _counts(rows: DataFrame, name: str) -> DataFrame:
     """How many different runs or windows fall into each encoding, band and bin; at most 3 x 5 x 100 rows."""
-    rows = found.select(F.explode(column).alias("x")).select("x.encoding", "x.band", "x.bin", "x.code").distinct()
     return rows.groupBy("encoding", "band", "bin").agg(F.count("*").alias(name))
 
 
@@ -225,13 +251,19 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     text = F.col("text")
-    either = F.when(text.rlike(_GIVEN) & text.rlike(ASSIGN), matches(text, _EITHER)).otherwise(matches(text, _RUN))
-    access, hexes = _if(text.contains("AKIA"), matches(text, ACCESS)), _if(text.rlike(HEX), matches(text, HEX))
-    rows = rows.select("doc_id", either.alias("either"), access.alias("access"), hexes.alias("hex"))
+    rows = rows.select("doc_id", "text", (text.rlike(_GIVEN) & text.rlike(ASSIGN)).alias("given"))
+    rows = rows.select("*", F.when(F.col("given"), _all(text, _EITHER)).otherwise(_all(text, _RUN)).alias("found"))
+    gaps = F.when(F.col("given"), F.split(text, _EITHER, -1)).otherwise(F.split(text, _RUN, -1))
+    either = _if(F.col("given") | F.exists("found", _encoded), _placed(gaps, F.col("found")))
+    # without assignments a key of hex digits is in one of the runs
+    with_hex = F.when(F.col("given"), text.rlike(HEX)).otherwise(F.exists("found", lambda x: x.rlike(HEX)))
+    access, hexes = _if(text.contains("AKIA"), matches(text, ACCESS)), _if(with_hex, matches(text, HEX))
+    rows = rows.select("doc_id", either.alias("either"), access.alias("access"), hexes.alias("hex"), _ordinary(F.col("found")).alias("words"))
     assigned = F.filter("either", lambda x: F.length(F.regexp_extract(x["found"], f"^{ASSIGN}", 1)) >= 6)
     base = F.array_sort(F.concat(_spans(assigned, "assign"), _spans(F.col("access"), "access"), _spans(F.col("hex"), "hex")))
-    found = cut(rows.select("doc_id", base.alias("base"), _runs(F.col("either")).alias("runs"), _ordinary(F.col("either")).alias("windows")), "secrets")
-    bins = least_bins(_counts(found, "runs", "n_runs"), _counts(found, "windows", "n_windows"), rate)
+    found = cut(rows.select("doc_id", base.alias("base"), _runs(F.col("either")).alias("runs"), "words"), "secrets")
+    runs = found.select(F.explode("runs").alias("x")).select("x.encoding", "x.band", "x.bin", "x.code").distinct()
+    bins = least_bins(_counts(runs, "n_runs"), _counts(_windows(found), "n_windows"), rate)
     return _with_accepted(found, bins)
 
 

@@ -102,6 +102,39 @@ def test_the_battery_agrees_with_a_plain_one(spark, name):
     assert sum(v > 0.05 for v in values[:40]) >= 34 and max(values[40:44]) < 0.02
 
 
+@pytest.mark.parametrize("name", list(ALPHABETS))
+def test_each_count_of_the_battery_is_made_once(spark, name):
+    df = spark.range(1).select(F.col("id").cast("string").alias("s")).select(likelihood(F.col("s"), ALPHABETS[name]).alias("p"))
+    plan = df._jdf.queryExecution().analyzed().expressions().mkString()
+    # one for the symbols, two and two for the halves, twelve for the levels; the halves' counts are not spelled out again
+    assert plan.count("replace(") <= 17, plan.count("replace(")
+
+
+def test_windows_are_tested_once_however_often_they_come(spark):
+    texts = [(0, "Internationalschaft and Konstraverschaft"), (1, "Internationalschaft and Konstraverschaft"), (2, "InternationalschaftX and")]
+    words = spark.createDataFrame([("".join(re.findall("[A-Za-z]{14,}", t)),) for _, t in texts], "words string")
+    windows = secret_scan._windows(words)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    distinct = next(i for i, line in enumerate(plan) if "Aggregate" in line)  # upper nodes come first
+    assert any("translate" in line for line in plan[: distinct + 1]) and not any("translate" in line for line in plan[distinct + 1 :])
+    want = set()
+    for (w,) in words.collect():
+        for edge in [16, 24, 32, 48, 64]:
+            for k in range(len(w) // edge):
+                s = w[k * edge : (k + 1) * edge]
+                want |= {("hex", s[: edge // 2].encode().hex()), ("base32", s.upper()), ("base64", s)}
+    bands = {16: 0, 24: 1, 32: 2, 48: 3, 64: 4}
+    tested = sorted((e, bands[len(s)], min(99, int(100 * plain_likelihood(s, ALPHABETS[e])))) for e, s in want)
+    assert sorted(tuple(r) for r in windows.select("encoding", "band", "bin").collect()) == tested
+
+
+def test_long_runs_and_short_ones_are_counted_alike(spark):
+    rng, alphabet = random.Random(5), ALPHABETS["base64"]
+    rows = ["".join(rng.choices(alphabet, k=n)) for n in (255, 256, 257, 5000)]
+    got = spark.createDataFrame([(x,) for x in rows], "s string").select("s", likelihood(F.col("s"), alphabet).alias("p")).collect()
+    assert [r.p for r in got] == [pytest.approx(plain_likelihood(r.s, alphabet), rel=1e-6, abs=1e-12) for r in got]
+
+
 def prose(rng, n):
     parts = "tion ver ein ung schaft heit lich keit inter national ment able über con stra".split()
     words = ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(n)]
